@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm import media, mixing, packing, sharding, topk
+from factloom.llm import media, mixing, near_dedup, packing, sharding, topk
 from factloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,27 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five highest integer inner products of each query vector."""
     vectors = topk.whole_vectors(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query(
+    "op8_near_dedup",
+    r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+x AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS i FROM t WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') AS g FROM t WHERE len(w) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * m >= 80 * (p.n + q.n - m)),
+r AS (SELECT a AS v, a AS u FROM l UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.u),
+c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.v = d.doc_id
+""",
+)
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their four-word shingles."""
+    return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)

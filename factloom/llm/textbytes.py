@@ -94,10 +94,10 @@ def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarra
         if m >= k:
             out.append(np.unique(full[a : b - k + 1]))
         elif m:
-            h = np.uint64(m)
+            h = np.full(1, m, np.uint64)
             for i in range(m):
-                h = h + words[a + i] * odd[i]
-            out.append(mix64(np.array([h * np.uint64(3) + np.uint64(1)], np.uint64)))
+                h += words[a + i : a + i + 1] * odd[i]
+            out.append(mix64(h * np.uint64(3) + np.uint64(1)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
