@@ -1,7 +1,74 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Quality classifier, language identification, near-duplicate removal, mixing of
+sources and packing, each over all that the stage before it kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.llm import langid, mixing, near_dedup, packing, quality
+from factloom.llm.common import fold, read_table, written
+from factloom.llm.queries import WORD_TOKENIZER
+
+#: Below this confidence a language is not accepted.
+SURE = 0.5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    labels = read_table(spark, sf_dir, "labels")
+    learning = docs.filter(fold("doc_id", 4) != 2)
+    model = quality.learn(learning, labels.filter(fold("doc_id", 4) != 2))
+    scored = docs.withColumn("_text", F.col("text"))
+    return quality.predict(scored, model, 0.7, "_text").filter("predicted = 1").select(*docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is identified with some confidence."""
+    model = langid.learn(docs.filter(fold("doc_id", 4) != 2))
+    guessed = langid.predict(docs, model)
+    return guessed.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8); of rows that repeat an id, one."""
+    kept = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
+    joined = docs.join(kept, "doc_id", "left_semi")
+    return joined.dropDuplicates(["doc_id"]).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at weights 5, 2, 1, none above three times its size; a row for each document and pass.
+
+    ``n_chars`` becomes the length of the text that is left.
+    """
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens: the pieces of documents with their ids and places."""
+    return packing.pack_documents(docs, WORD_TOKENIZER, capacity=4096, end_id=1)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_languages),
+    ("near_dedup", keep_first),
+    ("mix", mix),
+    ("pack", pack),
+]
+
+#: SQL can express neither the classifiers nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read again."""
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

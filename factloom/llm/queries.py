@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.llm import media, mixing, near_dedup, packing, sharding, topk
+from factloom.llm import langid, lm_scoring, media, mixing, near_dedup, packing, quality, sharding, token_counts, topk
 from factloom.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None):
@@ -123,3 +124,27 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.v = d.doc_i
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their four-word shingles."""
     return near_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+@query("op3_lm_score")
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts scored by a suffix tree and by add-one unigrams."""
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of whole texts."""
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+@query("op5_langid")
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text."""
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
