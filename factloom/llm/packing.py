@@ -12,6 +12,8 @@ driver and the result is that of one global best-fit decreasing pass.
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 from collections import deque
 from collections.abc import Iterator
 
@@ -102,31 +104,84 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return runs, bins
 
 
+class _Numbered(dict):
+    """Words to numbers; a new word gets the next one and is noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+
+#: Marks that may close a word; the apostrophe is left out, since contractions are pre-tokens of their own.
+CLOSING = ".,;:!?*$%&|#\"()[]{}<>/+-=_@~^`"
+
+
 class WordEncoder:
     """Ids of texts by a ``tokenizers`` file, one distinct word at a time.
 
     Holds for tokenizers whose pre-tokens never span a space, newline, tab or
     carriage return and that put no id for white space; each distinct word is
-    encoded once and remembered.
+    encoded once and remembered. Words of letters with closing marks are taken
+    apart here and only their parts are given to the file's model: letters and
+    marks are pre-tokens of their own in the file named by ``parts``; any other
+    file or word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        split = next((x["pattern"].get("Regex", "") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), "")
+        self.parts = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split.endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(shown)]
+        self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbered()
+        self.pieces: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, self.width)
         self.ends = np.zeros(1 << 14, np.int64)
         self.n = 0
 
+    def _part(self, text: str) -> list[int]:
+        got = self.pieces.get(text)
+        if got is None:
+            shown = text if text.isascii() else "".join(map(self.byte_level.__getitem__, text.encode()))
+            got = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return got
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        whole = []
+        for w in words:
+            core = w.rstrip(CLOSING)
+            if self.parts and core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and "\u03a3" not in core and "\u0130" not in core):
+                tail = w[len(core) :]
+                out.append(self._part(core.lower()) + self._part(tail) if tail else self._part(core.lower()))
+            else:
+                whole.append(w)
+                out.append(None)
+        if whole:
+            rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
+            out = [next(rest).ids if x is None else x for x in out]
+        return out
+
     def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = self._encoded(words)
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), self.width, int(lens.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(got), self.width, int(lens.sum()))
         at = int(self.ends[self.n - 1]) if self.n else 0
         while at + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -140,21 +195,14 @@ class WordEncoder:
         """The ids of each text."""
         if self.n > WORD_CACHE:
             self.reset()
-        known, new, spots, counts = self.known, [], [], []
+        spots, counts, number = [], [], self.known.__getitem__
         for t in texts:
             words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            try:
-                spot = list(map(known.__getitem__, words))
-            except KeyError:
-                for w in words:
-                    if w not in known:
-                        known[w] = len(known)
-                        new.append(w)
-                spot = list(map(known.__getitem__, words))
-            spots.extend(spot)
-            counts.append(len(spot))
-        if new:
-            self._learn(new)
+            spots.extend(map(number, words))
+            counts.append(len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
         at = np.array(spots, np.int64)
         stop = self.ends[at]
         begin = np.where(at > 0, self.ends[at - 1], 0)
