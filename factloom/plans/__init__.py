@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from factloom.plans import corpus  # noqa: F401
+    from factloom.plans import corpus, entities, inventory, reports, scores  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
