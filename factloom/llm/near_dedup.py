@@ -133,61 +133,143 @@ def _in_nodes(kind: str, floor: int):
         ok = (like >= floor) & (label != label[hub])
         return np.column_stack([v[ok], np.full(ok.sum(), v[hub]), like[ok]])
 
-    def pairs(v, sig, label, side):
+    def needed(v, sig, label, side):
         if len(np.unique(label)) < 2:
             return None
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        found = []
+        want = np.zeros(len(v), bool)
         for lo in range(0, len(left), 256):
             i = left[lo : lo + 256]
-            ok = (label[i][:, None] != label[right][None, :]) & ((v[i][:, None] > v[right][None, :]) | (side[right] > 0)[None, :])
-            if ok.any():
-                like = _alike(sig[i], sig[right])
-                a, b = np.nonzero(ok & (like >= floor))
-                found.append(np.column_stack([v[i[a]], v[right[b]], like[a, b]]))
-        return np.concatenate(found) if found else None
+            ok = (label[i][:, None] != label[right][None, :]) & (_alike(sig[i], sig[right]) >= floor)
+            want[i] |= ok.any(axis=1)
+            want[right] |= ok.any(axis=0)
+        return want
 
-    one = star if kind == "star" else pairs
+    def run_star(t: pa.Table) -> pa.Table:
+        found = [x for _, o in _nodes_of(t) if (x := star(*o)) is not None]
+        rows = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
+        return pa.table({"a": np.maximum(rows[:, 0], rows[:, 1]), "b": np.minimum(rows[:, 0], rows[:, 1]), "of": rows[:, 0], "like": rows[:, 2]})
+
+    def run_needed(t: pa.Table) -> pa.Table:
+        keep = np.zeros(len(t), bool)
+        for at, o in _nodes_of(t):
+            if (x := needed(*o)) is not None:
+                keep[at] = x
+        return t.filter(pa.array(keep)).select(["_g", "part", "v", "side", "label"])
+
+    return run_star if kind == "star" else run_needed
+
+
+def _nodes_of(t: pa.Table) -> Iterator[tuple[np.ndarray, tuple]]:
+    """Rows of each node with two members or more: their places, and v, sig, label, side."""
+    part, v, side, label = (t.column(c).to_numpy() for c in ("part", "v", "side", "label"))
+    sig = _sigs(t.column("sig"))
+    order = np.argsort(part, kind="stable")
+    for o in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        if len(o) > 1:
+            yield o, (v[o], sig[o], label[o], side[o])
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
+    n = np.array([len(s) for s in sets])
+    ids, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = count > 1
+    number = np.cumsum(shared) - 1
+    use = shared[col]
+    row, col = row[use], number[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for lo in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(col, [lo, lo + columns])
+        m = np.zeros((len(sets), columns), np.float32)
+        m[row[a:b], col[a:b] - lo] = 1
+        out += m[left] @ m[right].T
+    return out.astype(np.int64)
+
+
+def _links_in_nodes(percent: int):
+    """Links between members of different labels, one for each two labels of a node, by full sets."""
 
     def run(t: pa.Table) -> pa.Table:
         part, v, side, label = (t.column(c).to_numpy() for c in ("part", "v", "side", "label"))
-        sig = _sigs(t.column("sig"))
+        lists = t.column("shingles").combine_chunks()
+        flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         order = np.argsort(part, kind="stable")
-        cut = np.flatnonzero(np.diff(part[order])) + 1
-        found = [x for o in np.split(order, cut) if len(o) > 1 and (x := one(v[o], sig[o], label[o], side[o])) is not None]
-        rows = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
-        return pa.table({"a": np.maximum(rows[:, 0], rows[:, 1]), "b": np.minimum(rows[:, 0], rows[:, 1]), "of": rows[:, 0], "like": rows[:, 2]})
+        a_out, b_out = [], []
+        for o in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            left, right = np.flatnonzero(side[o] <= 0), np.flatnonzero(side[o] >= 0)
+            if len(o) < 2 or not len(left) or not len(right):
+                continue
+            sets = [flat[ends[i] : ends[i + 1]] for i in o]
+            n = np.array([len(x) for x in sets])
+            both = common_counts(sets, left, right)
+            linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (label[o][left][:, None] != label[o][right][None, :])
+            i, j = np.nonzero(linked)
+            if len(i):
+                la, lb = label[o][left[i]], label[o][right[j]]
+                _, once = np.unique(np.column_stack([np.minimum(la, lb), np.maximum(la, lb)]), axis=0, return_index=True)
+                a_out.append(v[o][left[i[once]]])
+                b_out.append(v[o][right[j[once]]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return run
 
 
-def candidates(members: DataFrame, labels: DataFrame, classes: DataFrame, kind: str, threshold: float, leaf: int, group_rows: int = 8192) -> DataFrame:
-    """Pairs (a > b) of different labels whose signatures may belong to a link.
+def _spread_rows(members: DataFrame, labels: DataFrame, classes: DataFrame, in_pairs: bool, leaf: int, group_rows: int) -> DataFrame:
+    """Rows (_g, part, v, side, label, sig) of the nodes that hold more than one label.
 
-    Nodes above ``leaf`` members come in chunks: for stars each chunk by
-    itself, for pairs every two chunks together, so that none is left out and
-    no task holds more than two chunks of a node beside small nodes.
+    Nodes above ``leaf`` members come in chunks: by themselves, or every two
+    chunks together, so that no two members are left out and no task holds
+    more than two chunks of a node beside small nodes.
     """
-    near = threshold - 3.5 * (threshold * (1 - threshold) / SIG) ** 0.5
     here = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
     spread = here.groupBy("node").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("node")
     here = here.join(spread, "node")
     chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / leaf)).cast("int")
     here = here.withColumn("_n", chunks).withColumn("_c", F.pmod(F.xxhash64("v", "node"), F.col("_n")).cast("int"))
-    if kind == "star":
+    if not in_pairs:
         here = here.withColumn("part", F.xxhash64("node", "_c")).withColumn("side", F.lit(0))
     else:
         other = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_c")).alias("i"), F.greatest(o, F.col("_c")).alias("j"))))
         here = here.withColumn("_o", other).withColumn("part", F.xxhash64("node", "_o.i", "_o.j"))
         here = here.withColumn("side", F.when(F.col("_o.i") == F.col("_o.j"), 0).when(F.col("_c") == F.col("_o.i"), -1).otherwise(1))
-    total = here.count()
-    groups = max(1, -(-total // group_rows))
-    rows = here.join(classes.select("v", "sig"), "v").select(F.pmod("part", F.lit(groups)).alias("_g"), "part", "v", "side", "label", "sig")
-    found = rows.groupBy("_g").applyInArrow(_in_nodes(kind, int(np.floor(near * SIG))), "a long, b long, of long, like long")
-    if kind == "star":  # each class meets the hub most like it
-        best = F.max_by(F.struct("a", "b"), F.struct("like", "b")).alias("p")
-        return found.groupBy("of").agg(best).select("p.a", "p.b").distinct()
-    return found.select("a", "b").distinct()
+    groups = max(1, -(-here.count() // group_rows))
+    rows = here.select("part", "v", "side", "label").join(classes.select("v", "sig"), "v")
+    return rows.select(F.pmod("part", F.lit(groups)).alias("_g"), "part", "v", "side", "label", "sig")
+
+
+def _floor(threshold: float) -> int:
+    """Signature agreements below which a pair is no link, by 3.5 standard deviations."""
+    return int(np.floor((threshold - 3.5 * (threshold * (1 - threshold) / SIG) ** 0.5) * SIG))
+
+
+def hub_pairs(members: DataFrame, classes: DataFrame, threshold: float, leaf: int, group_rows: int = 8192) -> DataFrame:
+    """Each class with the hub most like it: pairs (a > b)."""
+    alone = classes.select("v").limit(0).withColumn("label", F.col("v"))
+    rows = _spread_rows(members, alone, classes, False, leaf, group_rows)
+    found = rows.groupBy("_g").applyInArrow(_in_nodes("star", _floor(threshold)), "a long, b long, of long, like long")
+    best = F.max_by(F.struct("a", "b"), F.struct("like", "b")).alias("p")
+    return found.groupBy("of").agg(best).select("p.a", "p.b").distinct()
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, leaf: int, group_rows: int = 8192) -> DataFrame:
+    """Links (a > b) between different labels: within nodes all pairs are compared on full sets.
+
+    Only members whose signature comes near that of a member with another
+    label bring their sets.
+    """
+    rows = _spread_rows(members, labels, classes, True, leaf, group_rows)
+    schema = "_g long, part long, v long, side int, label long"
+    needed = written(rows.groupBy("_g").applyInArrow(_in_nodes("needed", _floor(percent / 100)), schema), "needed")
+    # equal parts of several trees are compared once
+    shape = needed.groupBy("part").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.xxhash64("v", "side").cast("decimal(20,0)")).alias("_s"))
+    once = shape.groupBy("_n", "_s").agg(F.min("part").alias("part"))
+    needed = needed.join(once.select("part"), "part", "left_semi")
+    return needed.join(sets, "v").groupBy("_g").applyInArrow(_links_in_nodes(percent), "a long, b long").distinct()
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, words: int, doc_id: str, text: str) -> DataFrame:
@@ -246,7 +328,7 @@ def near_duplicates(
     trees: int = 12,
     levels: int = 4,
     deepest: int = 12,
-    leaf: int = 2048,
+    leaf: int = 1024,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -279,10 +361,9 @@ def near_duplicates(
 
     wanted = classes.select("v", "rep").join(members.select("v").distinct(), "v")
     sets = written(set_table(docs, wanted, words, doc_id, text), "sets")
-    alone = classes.select("v").limit(0).withColumn("label", F.col("v"))
-    first = written(confirmed(candidates(members, alone, classes, "star", threshold, leaf), sets, percent), "links")
+    first = written(confirmed(hub_pairs(members, classes, threshold, leaf), sets, percent), "links")
     labels = components(first)
-    second = written(confirmed(candidates(members, labels, classes, "pairs", threshold, leaf), sets, percent), "links")
+    second = written(remaining_links(members, labels, classes, sets, percent, leaf), "links")
     labels = components(first.unionByName(second))
 
     named = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
