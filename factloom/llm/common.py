@@ -79,7 +79,7 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray,
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def doc_runs(offsets: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def doc_runs(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents whose texts together have about ``limit`` bytes; a longer text is a range of its own."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -74,7 +74,7 @@ def ngram_codes(sym: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -
 class Tally:
     """Counts of 64-bit keys; memory is bounded by the number of distinct keys."""
 
-    def __init__(self, most: int = 1 << 22) -> None:
+    def __init__(self, most: int = 1 << 20) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, most
 
@@ -286,7 +286,7 @@ def score_documents(
         out = []
         for b in t.combine_chunks().to_batches():
             data, offs = text_column(b)
-            for lo, hi in doc_runs(offs, 1 << 23):
+            for lo, hi in doc_runs(offs, 1 << 21):
                 part = data[offs[lo] : offs[hi]]
                 sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], model.depth)
                 h = tb.word_hashes(part, start, end).view(np.int64)

@@ -29,14 +29,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(21, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     if size not in _powers:
         both = []
         for base in (_P, _INV):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
             both.append(np.cumprod(x, dtype=np.uint64))
-        if size > 1 << 22:
+        if size > 1 << 21:
             return both[0], both[1]
         _powers[size] = (both[0], both[1])
     return _powers[size]
