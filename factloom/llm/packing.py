@@ -245,27 +245,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, rows_per_task: int = 50_000) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, tokens_per_group: int = 1 << 23) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a column ``length`` of 1..capacity.
 
     ``pieces`` must give the same rows each time it is read (a written table).
-    Ranks are numbered within (length, salt), with a salt as wide as the most
-    frequent length needs, so that a length shared by a third of all rows is
-    spread over many tasks. Empty input gives no rows; equal rows are packed
-    one by one.
+    Ranks are numbered within (length, salt). Each length has as many salts as
+    keep a group near ``tokens_per_group`` tokens, so that a length shared by a
+    third of all rows is spread over many tasks. Empty input gives no rows;
+    equal rows are packed one by one.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_runs(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=1) // rows_per_task))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(salts)))
+    salts = spark.createDataFrame([(n, -(-n * m // tokens_per_group)) for n, m in counts.items()] or [], "length int, _salts long")
+    # at most ``capacity`` rows
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_salts"))).drop("_salts")
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
     in_salt = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(in_salt) - 1)
-    if salts > 1:
-        # at most capacity x salts rows, salts being rows / rows_per_task: small beside the pieces, but it grows with them
-        ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
+    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
     # A run ends where a length or a level does: their number depends on the capacity alone.
     plan = spark.createDataFrame(
         [{"length": a, "_lo": b, "_hi": c, "_bin": d, "_per": e, "_base": f} for a, b, c, d, e, f in runs] or [],
