@@ -120,7 +120,7 @@ def mix_spans(
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 7,
     slots_per_shard: int = 4096,
-    rows_per_task: int = 50_000,
+    rows_per_task: int = 10_000,
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
@@ -190,8 +190,9 @@ def mix_spans(
     )
     begin = F.greatest(F.col("at"), F.col("block") * b)
     end = F.least(F.col("at") + F.col("size"), F.col("block") * b + F.col("take"))
+    # the slots grow with the corpus, which Spark's estimate for rows made in Python doesn't show: never broadcast them
     spans = (
-        filled.join(pieces, ["source_no", "block"])
+        filled.hint("merge").join(pieces, ["source_no", "block"])
         .select("shard", "slot", "source_no", "epoch", "block", "at", "doc_id", (begin - F.col("at")).alias("first_word"), (end - begin).alias("n_words"))
         .filter("n_words > 0")
     )
