@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textbytes as tb
-from factloom.llm.common import doc_runs, map_arrow, text_column, written
+from factloom.llm.common import doc_runs, give_back, map_arrow, text_column, written
 
 SIG = 64
 _MULT = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 63, SIG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -148,6 +148,7 @@ def _in_nodes(kind: str, floor: int):
     def run_star(t: pa.Table) -> pa.Table:
         found = [x for _, o in _nodes_of(t) if (x := star(*o)) is not None]
         rows = np.concatenate(found).astype(np.int64) if found else np.zeros((0, 3), np.int64)
+        give_back()
         return pa.table({"a": np.maximum(rows[:, 0], rows[:, 1]), "b": np.minimum(rows[:, 0], rows[:, 1]), "of": rows[:, 0], "like": rows[:, 2]})
 
     def run_needed(t: pa.Table) -> pa.Table:
@@ -155,6 +156,7 @@ def _in_nodes(kind: str, floor: int):
         for at, o in _nodes_of(t):
             if (x := needed(*o)) is not None:
                 keep[at] = x
+        give_back()
         return t.filter(pa.array(keep)).select(["_g", "part", "v", "side", "label"])
 
     return run_star if kind == "star" else run_needed
@@ -170,7 +172,7 @@ def _nodes_of(t: pa.Table) -> Iterator[tuple[np.ndarray, tuple]]:
             yield o, (v[o], sig[o], label[o], side[o])
 
 
-def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 4096) -> np.ndarray:
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1024) -> np.ndarray:
     """Sizes of the intersections of every left with every right set, by products of 0/1 matrices."""
     n = np.array([len(s) for s in sets])
     ids, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -214,6 +216,7 @@ def _links_in_nodes(percent: int):
                 a_out.append(v[o][left[i[once]]])
                 b_out.append(v[o][right[j[once]]])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+        give_back()
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return run
@@ -256,7 +259,7 @@ def hub_pairs(members: DataFrame, classes: DataFrame, threshold: float, leaf: in
     return found.groupBy("of").agg(best).select("p.a", "p.b").distinct()
 
 
-def remaining_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, leaf: int, group_rows: int = 8192) -> DataFrame:
+def remaining_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, leaf: int, group_rows: int = 2048) -> DataFrame:
     """Links (a > b) between different labels: within nodes all pairs are compared on full sets.
 
     Only members whose signature comes near that of a member with another

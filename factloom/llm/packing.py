@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import written
+from factloom.llm.common import give_back, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids binary"
 #: Distinct words that a worker remembers before it starts anew.
@@ -241,6 +241,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
                     [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
+        give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
