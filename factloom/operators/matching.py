@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from factloom.functions.text import squish, squish_for_matching
 
 #: Terms too broad to search for.
-BROAD_TERMS = ("tax", "taxes", "budget", "act", "bill", "law", "reform", "spending", "economic", "fiscal", "revenue", "deficit")
+BROAD_TERMS = (
+    "investment tax credit", "balanced budget", "taxpayer relief", "excess profits tax", "depreciation guidelines", "temporary income tax",
+    "revenue", "economic growth", "jobs", "tax reduction", "job creation", "tax equity",
+)
+
+#: Fixed value: names of acts inside longer names.
+FORMAL_NAME = r"([A-Z][\w-]+(?:\s+[A-Z][\w-]+)*\s+Act\s+of\s+\d{4})"
+#: Fixed value: names that tell of an event, its action and its subject.
+EVENT_NAME = r"^(Expiration|Suspension|Restoration|Changes)\s+(?:in\s+)?(.*?)(?:\s+and\s+|$)"
 
 
 def passage_matches(chunks: DataFrame, passages: DataFrame, key: list[str], order: list[str], text: str = "text", name: str = "name", passage: str = "passage", probe: int = 100, shorter: int = 60, least: int = 50) -> DataFrame:
@@ -50,23 +58,35 @@ def all_terms_present(text: Column, rules: list[list[str]]) -> Column:
 
 
 def search_terms(names: DataFrame, name: str = "name") -> DataFrame:
-    """Search terms of a name with the rule they come from; a term keeps its first rule."""
-    n = F.col(name)
-    inner = F.regexp_extract(n, r"\(([^)]*)\)", 1)
-
-    def many(rule: int, kind: str, terms: Column) -> Column:
-        return F.transform(terms, lambda t: F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("mechanism"), F.trim(t).alias("term")))
+    """Search terms of a name with the mechanism they come from; a term keeps its first mechanism.
 
-    rules = F.concat(
-        many(1, "full_name", F.array(n)),
-        many(2, "split", F.when(F.contains(n, F.lit(" and ")), F.split(n, " and ")).otherwise(F.array().cast("array<string>"))),
-        many(3, "parenthetical", F.array(inner, F.regexp_replace(inner, " of ", " of the "), F.regexp_extract(n, r"^([^(]*)\(", 1))),
-        many(4, "formal_name", F.regexp_extract_all(n, F.lit(r"((?:[A-Z][\w-]* )+Act of \d{4})"))),
-        many(5, "public_law", F.regexp_extract_all(n, F.lit(r"(Public Law \d+-\d+)"))),
-    )
-    rows = names.select(name, F.explode(rules).alias("_r")).select(name, "_r.*").filter(F.length("term") > 0).filter(~F.lower("term").isin(*BROAD_TERMS))
-    w = Window.partitionBy(name, "term").orderBy("rule")
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(name, "term", "mechanism")
+    Null names give no rows. Terms are compared with the broad ones ignoring case.
+    """
+    n = F.col(name)
+    none = F.array().cast("array<string>")
+    inner = F.regexp_extract(n, r"\(([^)]+)\)", 1)
+    with_article = F.when(F.contains(inner, F.lit(" of ")) & ~F.contains(inner, F.lit(" of the ")), F.array(F.regexp_replace(inner, r"^(.*?) of ", "$1 of the ")))
+    before = F.when(F.contains(n, F.lit("(")), F.array(F.regexp_replace(n, r"^(.*?)\s*\([^)]+\)", "$1")))
+    action, subject = F.lower(F.regexp_extract(n, EVENT_NAME, 1)), F.lower(F.trim(F.regexp_extract(n, EVENT_NAME, 2)))
+    event = F.when(action != "", F.array(F.concat(action, F.lit(" of the "), subject), F.concat(action, F.lit(" of "), subject)))
+    mechanisms = [
+        ("Full name", F.array(n)),
+        ("Split on 'and'", F.when(F.contains(n, F.lit(" and ")), F.split(n, " and "))),
+        ("Parenthetical", F.array(inner)),
+        ("Parenthetical + article", with_article),
+        ("Before parenthetical", before),
+        ("Embedded formal name", F.regexp_extract_all(n, F.lit(FORMAL_NAME))),
+        ("Public Law number", F.array(F.regexp_extract(n, r"Public Law \d+-\d+", 0))),
+        ("Action + subject", event),
+    ]
+
+    def entries(order: int, mechanism: str, terms: Column) -> Column:
+        return F.transform(F.coalesce(terms, none), lambda t: F.struct(F.lit(order).alias("order"), F.lit(mechanism).alias("mechanism"), F.trim(t).alias("term")))
+
+    found = [entries(i, kind, terms) for i, (kind, terms) in enumerate(mechanisms)]
+    rows = names.filter(n.isNotNull()).select(name, F.explode(F.concat(*found)).alias("_t")).select(name, "_t.*")
+    kept = rows.filter((F.length("term") > 0) & ~F.lower("term").isin(*BROAD_TERMS))
+    return kept.groupBy(name, "term").agg(F.min_by("mechanism", "order").alias("mechanism"))
 
 
 def negatives(chunks: DataFrame, *positives: DataFrame, key: list[str]) -> DataFrame:
@@ -80,3 +100,28 @@ def several_names(matches: DataFrame, key: list[str], name: str = "name", least:
     """Chunks that match at least ``least`` names."""
     names = F.array_sort(F.collect_set(name))
     return matches.groupBy(*key).agg(names.alias("names"), F.countDistinct(name).alias("n_names")).filter(F.col("n_names") >= least)
+
+
+def term_counts(chunks: DataFrame, terms: DataFrame, key: list[str], text: str = "text", name: str = "name", term: str = "term", mechanism: str = "mechanism") -> DataFrame:
+    """Chunks that hold each term, by name and mechanism; terms without a chunk count 0."""
+    t = terms.select(name, term, mechanism, squish(F.lower(term)).alias("_term")).distinct()
+    here = chunks.select(*key, squish_for_matching(F.col(text)).alias("_t"))
+    counts = here.join(t.select("_term").distinct(), F.contains(F.col("_t"), F.col("_term"))).groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    return t.join(counts, "_term", "left").select(name, term, mechanism, F.coalesce("_n", F.lit(0)).alias("n_chunks"))
+
+
+def contains_either(a: Column, b: Column) -> Column:
+    """One of two strings holds the other, ignoring case; null if either is null."""
+    x, y = F.lower(a), F.lower(b)
+    return F.contains(x, y) | F.contains(y, x)
+
+
+def coverage_status(names: DataFrame, first: DataFrame, second: DataFrame, name: str = "name") -> DataFrame:
+    """Q20: number and share of the names found in both tiers, in one of them or in none."""
+    marked = names.select(name).distinct()
+    for tier, flag in ((first, "_one"), (second, "_two")):
+        marked = marked.join(tier.select(name).distinct().withColumn(flag, F.lit(True)), name, "left")
+    one, two = F.col("_one").isNotNull(), F.col("_two").isNotNull()
+    status = F.when(one & two, "both").when(one, "tier 1 only").when(two, "tier 2 only").otherwise("uncovered")
+    counts = marked.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
