@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from factloom.plans import consensus, corpus, entities, inventory, reports, scores, terms  # noqa: F401
+    from factloom.plans import consensus, corpus, entities, inventory, replies, reports, scores, terms  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
