@@ -9,6 +9,8 @@ from factloom.session import build_session
 HEADLINE = [
     "density_bins", "chunk_summary", "tier1_passage_match", "negatives_anti", "fuzzy_align", "name_clusters", "partition_metrics", "vector_separation",
     "binary_metrics", "fleiss_kappa", "quarter_sets", "cumulative_share", "forward_fill", "stratified_split", "scope_tally", "dup_hash",
+    "search_terms", "term_counts", "paragraph_features", "chunk_checks", "repaired_clusters", "evidence_reasons", "act_evidence", "order_agreement",
+    "gate_metrics", "cluster_frequency", "boundary_rows", "signed_proxy", "density_grid", "name_grid", "windowed_counts", "clusters_vs_gold",
 ]
 
 

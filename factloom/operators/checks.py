@@ -100,7 +100,7 @@ def disagreement(a: Column, b: Column) -> Column:
     """Q13: both known and different; texts are read as truth values first."""
     def truth(x: Column) -> Column:
         t = F.lower(F.trim(x.cast("string")))
-        return F.when(t.isin("true", "yes", "1"), True).when(t.isin("false", "no", "0"), False)
+        return F.when(t.isin("true", "t", "yes", "1"), True).when(t.isin("false", "f", "no", "0"), False)
 
     return F.coalesce(truth(a) != truth(b), F.lit(False))
 

@@ -54,7 +54,7 @@ def left_out_folds(positives: DataFrame, negatives: DataFrame, act: str, key: st
     numbered_folds = folds.select(F.col(act).alias("fold")).withColumn("_f", F.row_number().over(Window.orderBy("fold")) - 1)
     numbered = dealt.withColumn("_f", (F.row_number().over(Window.orderBy("_o", key)) - 1) % F.lit(max(n_folds, 1)))
     sampled = numbered.join(numbered_folds, "_f").select("fold", F.lit(None).cast(positives.schema[act].dataType).alias(act), key, F.lit("negative").alias("role"))
-    one_each = positives.groupBy(act).agg(F.minWindow.orderBy(key, F.struct(order, F.col(key))).alias(key))
+    one_each = positives.groupBy(act).agg(F.min_by(key, F.struct(order, F.col(key))).alias(key))
     near = one_each.withColumn("_f", F.row_number().over(Window.orderBy(act)) - 1)
     steps = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(n_shots, n_folds - 1))))).alias("_step")
     wanted = numbered_folds.select("fold", "_f", steps).withColumn("_f", (F.col("_f") + F.col("_step")) % F.lit(max(n_folds, 1)))

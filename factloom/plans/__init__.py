@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from factloom.plans import checks, consensus, corpus, entities, inventory, replies, reports, scores, studies, tallies, terms  # noqa: F401
+    from factloom.plans import checks, consensus, corpus, entities, inventory, recodes, replies, reports, scores, studies, tallies, terms  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
