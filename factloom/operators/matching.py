@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,34 @@ FORMAL_NAME = r"([A-Z][\w-]+(?:\s+[A-Z][\w-]+)*\s+Act\s+of\s+\d{4})"
 EVENT_NAME = r"^(Expiration|Suspension|Restoration|Changes)\s+(?:in\s+)?(.*?)(?:\s+and\s+|$)"
 
 
+#: Up to so many distinct terms are sent to every task as one automaton.
+MOST_TERMS = 200_000
+
+
+def holding(rows: DataFrame, text: str, terms: DataFrame, term: str, most: int = MOST_TERMS) -> DataFrame:
+    """Each row with each distinct term that its text holds, in a column ``term``.
+
+    An automaton of all terms reads every text once, however many terms there
+    are. More than ``most`` terms are joined by containment instead. Null
+    texts, null terms and empty terms give no rows.
+    """
+    words = terms.select(term).filter(F.length(term) > 0).distinct()
+    listed = [r[0] for r in words.limit(most + 1).collect()]
+    if len(listed) > most:
+        return rows.join(words, F.contains(F.col(text), F.col(term)))
+
+    @F.pandas_udf("array<string>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word in listed:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        for texts in batches:
+            yield pd.Series([sorted({w for _, w in automaton.iter(t)}) if t and listed else [] for t in texts], dtype=object)
+
+    return rows.withColumn(term, F.explode(found(F.col(text))))
+
+
 def passage_matches(chunks: DataFrame, passages: DataFrame, key: list[str], order: list[str], text: str = "text", name: str = "name", passage: str = "passage", probe: int = 100, shorter: int = 60, least: int = 50) -> DataFrame:
     """For each passage of more than ``least`` characters the first chunk that holds its first ``probe`` ones.
 
@@ -31,7 +63,8 @@ def passage_matches(chunks: DataFrame, passages: DataFrame, key: list[str], orde
     first = Window.partitionBy(name, "_p").orderBy(*order)
 
     def hits(p: DataFrame, n: int) -> DataFrame:
-        met = here.join(p.withColumn("_probe", F.substring("_p", 1, n)), F.contains(F.col("_t"), F.col("_probe")))
+        probes = p.withColumn("_probe", F.substring("_p", 1, n))
+        met = holding(here, "_t", probes, "_probe").drop("_t").join(probes, "_probe")
         return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*key, name, "_p")
 
     long_ = hits(found, probe)
@@ -43,7 +76,8 @@ def term_matches(chunks: DataFrame, terms: DataFrame, key: list[str], exclude: D
     """All chunks that hold any term of a name, without chunks of ``exclude`` (whatever their name)."""
     here = chunks if exclude is None else chunks.join(exclude.select(*key).distinct(), key, "left_anti")
     t = terms.select(name, squish(F.lower(term)).alias("_term")).filter(F.length("_term") > 0).distinct()
-    return here.select(*key, squish_for_matching(F.col(text)).alias("_t")).join(t, F.contains(F.col("_t"), F.col("_term"))).select(*key, name).distinct()
+    texts = here.select(*key, squish_for_matching(F.col(text)).alias("_t"))
+    return holding(texts, "_t", t, "_term").drop("_t").join(t, "_term").select(*key, name).distinct()
 
 
 def all_terms_present(text: Column, rules: list[list[str]]) -> Column:
@@ -103,10 +137,10 @@ def several_names(matches: DataFrame, key: list[str], name: str = "name", least:
 
 
 def term_counts(chunks: DataFrame, terms: DataFrame, key: list[str], text: str = "text", name: str = "name", term: str = "term", mechanism: str = "mechanism") -> DataFrame:
-    """Chunks that hold each term, by name and mechanism; terms without a chunk count 0."""
+    """Chunks that hold each term, by name and mechanism; terms without a chunk, and empty terms, count 0."""
     t = terms.select(name, term, mechanism, squish(F.lower(term)).alias("_term")).distinct()
     here = chunks.select(*key, squish_for_matching(F.col(text)).alias("_t"))
-    counts = here.join(t.select("_term").distinct(), F.contains(F.col("_t"), F.col("_term"))).groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
+    counts = holding(here, "_t", t, "_term").groupBy("_term").agg(F.count(F.lit(1)).alias("_n"))
     return t.join(counts, "_term", "left").select(name, term, mechanism, F.coalesce("_n", F.lit(0)).alias("n_chunks"))
 
 

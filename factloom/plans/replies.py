@@ -27,8 +27,8 @@ def evidence_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         f'{{"evidence":[{fine}],"enacted_signals":[],"timing_signals":[{{"quote":"a"}}]}}', f'{{"evidence":[{fine}],"enacted_signals":[{fine}],"timing_signals":[]}}',
     ]
     reply = F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    body = replies.parsed(reply, replies.EVIDENCE)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), replies.evidence_reason(body).alias("reason"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), replies.parsed(reply, replies.EVIDENCE).alias("body"))
+    return rows.select("orderkey", replies.evidence_reason(F.col("body")).alias("reason"))
 
 
 @register("verdicts", """WITH v AS (SELECT o_orderkey AS k, o_orderpriority AS label, ['increase', 'decrease', 'no_change', 'mixed'][o_orderkey % 4 + 1] AS sign FROM orders)

@@ -36,3 +36,12 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "name string")
     assert matching.search_terms(empty).count() == 0
     assert matching.coverage_status(empty, empty, empty).count() == 0
+
+
+def test_automaton_and_join_find_the_same(spark):
+    texts = spark.createDataFrame([(1, "abcabc bc"), (2, None), (3, ""), (4, "été abc"), (5, "zzz")], "k int, t string")
+    terms = spark.createDataFrame([("abc",), ("bc",), ("bc",), ("ét",), ("",), (None,), ("q",)], "term string")
+    want = [(1, "abc"), (1, "bc"), (4, "abc"), (4, "bc"), (4, "ét")]
+    for most in (10, 2):
+        assert sorted((r.k, r.term) for r in matching.holding(texts, "t", terms, "term", most).collect()) == want
+    assert matching.holding(texts, "t", terms.limit(0), "term").count() == 0
