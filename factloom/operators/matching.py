@@ -60,16 +60,10 @@ def passage_matches(chunks: DataFrame, passages: DataFrame, key: list[str], orde
     """
     found = passages.select(name, squish(F.lower(passage)).alias("_p")).filter(F.length("_p") > least).distinct()
     here = chunks.select(*key, squish_for_matching(F.col(text)).alias("_t"), *[c for c in order if c not in key])
-    first = Window.partitionBy(name, "_p").orderBy(*order)
-
-    def hits(p: DataFrame, n: int) -> DataFrame:
-        probes = p.withColumn("_probe", F.substring("_p", 1, n))
-        met = holding(here, "_t", probes, "_probe").drop("_t").join(probes, "_probe")
-        return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*key, name, "_p")
-
-    long_ = hits(found, probe)
-    short = hits(found.join(long_.select(name, "_p"), [name, "_p"], "left_anti"), shorter)
-    return long_.unionByName(short).select(*key, name).distinct()
+    probes = found.select(name, "_p", F.posexplode(F.array(F.substring("_p", 1, probe), F.substring("_p", 1, shorter))).alias("_short", "_probe"))
+    met = holding(here, "_t", probes, "_probe").drop("_t").join(probes, "_probe")
+    first = Window.partitionBy(name, "_p").orderBy("_short", *order)
+    return met.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select(*key, name).distinct()
 
 
 def term_matches(chunks: DataFrame, terms: DataFrame, key: list[str], exclude: DataFrame | None = None, text: str = "text", name: str = "name", term: str = "term") -> DataFrame:

@@ -45,3 +45,11 @@ def test_automaton_and_join_find_the_same(spark):
     for most in (10, 2):
         assert sorted((r.k, r.term) for r in matching.holding(texts, "t", terms, "term", most).collect()) == want
     assert matching.holding(texts, "t", terms.limit(0), "term").count() == 0
+
+
+def test_shorter_probes_count_only_without_longer_ones(spark):
+    long_, short = "a b c " * 30, "a b c " * 11 + "else"
+    chunks = spark.createDataFrame([(1, 1, short), (1, 2, long_), (2, 1, "q r s " * 11 + "x")], "doc_id long, chunk_id int, text string")
+    passages = spark.createDataFrame([("long", long_), ("cut", "q r s " * 30), ("tiny", "a b"), ("none", "z y " * 40), (None, None)], "name string, passage string")
+    got = matching.passage_matches(chunks, passages, ["doc_id", "chunk_id"], ["doc_id", "chunk_id"])
+    assert sorted((r.name, r.doc_id, r.chunk_id) for r in got.collect()) == [("cut", 2, 1), ("long", 1, 2)]
