@@ -81,3 +81,37 @@ def coverage_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("mode_year", """WITH n AS (SELECT o_custkey AS k, CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, y) AS r FROM n) SELECT k AS custkey, y AS modal_year FROM r WHERE r = 1""")
 def mode_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.mode(F.year("o_orderdate"), True).alias("modal_year"))
+
+
+@register("type_coverage", """SELECT source, min(y) AS first_year, max(y) AS last_year, printf('%d-%d', min(y), max(y)) AS span, count(*) AS n_docs, sum(p)::BIGINT AS n_pages FROM (SELECT source, CAST(1990 + doc_id % 20 AS INTEGER) AS y, len(string_split(text, chr(10))) AS p FROM documents) GROUP BY 1""")
+def type_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("source", (1990 + F.col("doc_id") % 20).cast("int").alias("y"), F.size(F.split("text", "\n")).alias("p"))
+    a, z = F.min("y"), F.max("y")
+    return rows.groupBy("source").agg(a.alias("first_year"), z.alias("last_year"), F.format_string("%d-%d", a, z).alias("span"), F.count(F.lit(1)).alias("n_docs"), F.sum("p").alias("n_pages"))
+
+
+@register("quarter_lists", """WITH q AS (SELECT o_custkey AS custkey, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS q, o_orderstatus AS s, o_orderkey AS k FROM orders), f AS (SELECT custkey, s, min(k) AS k FROM q GROUP BY 1, 2)
+SELECT custkey, n AS n_quarters, statuses FROM (SELECT custkey, count(DISTINCT q) AS n FROM q GROUP BY 1) JOIN (SELECT custkey, string_agg(s, ',' ORDER BY k) AS statuses FROM f GROUP BY 1) USING (custkey)""")
+def quarter_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q"), F.quarter("o_orderdate").cast("string")).alias("q"), "o_orderkey", "o_orderstatus")
+    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]))
+    return rows.groupBy("custkey").agg(F.countDistinct("q").alias("n_quarters"), F.array_join(seen, ",").alias("statuses"))
+
+
+@register("curve_with_origin", """WITH d AS (SELECT n_regionkey AS region, s_suppkey AS k, s_acctbal AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0),
+c AS (SELECT region, row_number() OVER w AS place, sum(v) OVER w / sum(v) OVER (PARTITION BY region) AS s FROM d WINDOW w AS (PARTITION BY region ORDER BY v DESC, k ROWS UNBOUNDED PRECEDING))
+SELECT region, CAST(place AS INTEGER) AS place, round(s, 6) AS cum_share FROM c UNION ALL SELECT DISTINCT region, 0, 0.0 FROM d""")
+def curve_with_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("region"), "s_suppkey", "s_acctbal")
+    w = W.partitionBy("region").orderBy(F.desc("s_acctbal"), "s_suppkey")
+    share = F.sum("s_acctbal").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("s_acctbal").over(W.partitionBy("region"))
+    curve = d.select("region", F.row_number().over(w).alias("place"), F.round(share, 6).alias("cum_share"))
+    return curve.unionByName(d.select("region").distinct().select("region", F.lit(0).alias("place"), F.lit(0.0).alias("cum_share")))
+
+
+@register("matching_gains", """WITH c AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE contains(p_name, 'e') GROUP BY 1), d AS (SELECT p_brand AS b, count(*) AS n FROM part WHERE contains(lower(p_name), 'e') OR p_size > 40 GROUP BY 1), k AS (SELECT DISTINCT p_brand AS b FROM part)
+SELECT b AS brand, coalesce(c.n, 0) AS before, coalesce(d.n, 0) AS after, coalesce(d.n, 0) - coalesce(c.n, 0) AS gained FROM k LEFT JOIN c USING (b) LEFT JOIN d USING (b)""")
+def matching_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plain, wide = F.contains("p_name", F.lit("e")), F.contains(F.lower("p_name"), F.lit("e")) | (F.col("p_size") > 40)
+    got = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count_if(plain).alias("before"), F.count_if(wide).alias("after"))
+    return got.withColumn("gained", F.col("after") - F.col("before"))
