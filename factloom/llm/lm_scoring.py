@@ -2,17 +2,20 @@
 
 The tree models the lower-cased text as its bytes: words with one separator
 between them, closed by an end symbol. Contexts of up to ``depth`` symbols are
-candidates if they have at least a share ``p_min`` of all symbols, so that at
-most depth / p_min contexts exist whatever the corpus has. A context is kept if
-its next-symbol distribution diverges enough from that of its longest suffix
-(count times Kullback-Leibler divergence); distributions are smoothed towards
-the suffix's. Kept contexts with their prefixes and suffixes form an automaton
-whose state after any text is the longest kept suffix; scoring steps through
-all texts side by side.
+candidates if they occur ``least`` times, so the tree grows with the corpus up
+to the distinct strings of ``depth`` symbols that the corpus has. A context is
+kept if its next-symbol distribution diverges enough from that of its longest
+kept suffix (count times Kullback-Leibler divergence); distributions are
+smoothed towards that suffix's.
+
+The tree isn't broadcast. Contexts are parted by their last three symbols, so
+that a context and its suffixes of three symbols or more are in one part;
+shorter ones are a table of at most the distinct strings of three symbols, which
+every part gets. Blocks of documents ask the parts for the probabilities of the
+distinct strings of depth + 1 symbols they hold, and for the counts of their words.
 
 Counts of symbol n-grams and of words come from all learning documents, summed
-in each task before they are shuffled. Word counts can't be broadcast: blocks of
-documents ask for the counts of the words they hold.
+in each task before they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textbytes as tb
-from factloom.llm.common import doc_runs, fold, partitions_for, text_column, written
+from factloom.llm.common import doc_runs, fold, give_back, partitions_for, text_column, written
 
 SPACE, END = 32, 256
 BITS = 9
 SYMBOLS = 257
+#: Last symbols of a context that choose its part.
+HEAD = 3
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -100,20 +105,29 @@ class Tally:
 def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(kind, key, n): kind 0 symbol n-grams of depth + 1, kind 1 words by hash, kind 2 texts; of docs (text)."""
 
+    def out(kind: int, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(k), 1 << 17):
+            m = len(k[lo : lo + (1 << 17)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(k[lo : lo + m]), pa.array(n[lo : lo + m].astype(np.int64))], names=["kind", "key", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, words, texts = Tally(), Tally(), 0
+        tallies, texts = [Tally(), Tally()], 0
         for b in batches:
             data, offs = text_column(b)
             texts += b.num_rows
             for lo, hi in doc_runs(offs):
                 part = data[offs[lo] : offs[hi]]
                 sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-                grams.add(ngram_codes(sym, begin, count, depth + 1))
-                words.add(tb.word_hashes(part, start, end).view(np.int64))
-        for kind, (k, n) in ((0, grams.total()), (1, words.total()), (2, (np.zeros(1, np.int64), np.array([texts])))):
-            for lo in range(0, len(k), 1 << 17):
-                m = len(k[lo : lo + (1 << 17)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(k[lo : lo + m]), pa.array(n[lo : lo + m].astype(np.int64))], names=["kind", "key", "n"])
+                tallies[0].add(ngram_codes(sym, begin, count, depth + 1))
+                tallies[1].add(tb.word_hashes(part, start, end).view(np.int64))
+                for kind in (0, 1):
+                    if tallies[kind].most > 1 << 20:  # over half of that are distinct: sent on, so that a task's memory is bounded
+                        yield from out(kind, *tallies[kind].total())
+                        tallies[kind] = Tally()
+        for kind in (0, 1):
+            yield from out(kind, *tallies[kind].total())
+        yield from out(2, np.zeros(1, np.int64), np.array([texts]))
+        give_back()
 
     part = docs.select("text").mapInArrow(run, "kind int, key long, n long")
     return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -216,17 +230,109 @@ def grow_tree(rows: tuple, depth: int, keep_bits: float) -> SuffixTree:
     return SuffixTree(column, follow, logp, depth)
 
 
-def tree_rows(grams: DataFrame, depth: int, p_min: float) -> tuple:
-    """Candidate contexts: at most 1 / p_min of each length, each with at most 257 next symbols."""
-    shape = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")
-    context = F.expr(f"shiftright(key, {BITS}) & (shiftleft(1L, {BITS} * d) - 1)")
-    by = grams.select("key", "n", shape).groupBy("d", context.alias("c"), F.expr(f"cast(key & {(1 << BITS) - 1} AS int)").alias("s")).agg(F.sum("n").alias("n"))
-    total = F.sum(F.when(F.col("d") == 0, F.col("n")))
-    sums = by.groupBy("d", "c").agg(F.sum("n").alias("m"))
-    whole = by.agg(total.alias("t"))
-    frequent = sums.crossJoin(F.broadcast(whole)).filter(F.col("m") >= F.lit(p_min) * F.col("t")).select("d", "c")
-    table = by.join(frequent, ["d", "c"]).select("d", "c", "s", "n").toArrow()
-    return tuple(table.column(c).to_numpy() for c in ("d", "c", "s", "n"))
+def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each wanted code in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
+
+
+@dataclass
+class Level:
+    """All contexts of one length: the codes with a next symbol, their counts and probabilities; contexts, their counts, next symbols and whether kept."""
+
+    pair: np.ndarray
+    count: np.ndarray
+    p: np.ndarray
+    context: np.ndarray
+    n: np.ndarray
+    kinds: np.ndarray
+    kept: np.ndarray
+
+
+def grow_level(key: np.ndarray, number_of: np.ndarray, length: int, up: Level | None, least: int, keep_bits: float) -> Level:
+    """Contexts of ``length`` from counts of longer or as long codes; ``up`` has the contexts shorter by one, those of other parts too."""
+    code = key & ((1 << BITS * (length + 1)) - 1)
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    pair = code[first]
+    count = np.add.reduceat(number_of[order], first).astype(float) if len(code) else np.zeros(0)
+    if up is None:
+        total = count.sum()
+        return Level(pair, count, (count + 1) / (total + SYMBOLS), np.zeros(1, np.int64), np.array([total]), np.array([len(pair)]), np.ones(1, bool))
+    if not len(pair):
+        none = np.zeros(0, np.int64)
+        return Level(pair, count, np.zeros(0), none, none, none, np.zeros(0, bool))
+    context = pair >> BITS
+    at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    n, kinds = np.add.reduceat(count, at), np.diff(np.append(at, len(pair)))
+    before = up.p[np.searchsorted(up.pair, pair & ((1 << BITS * length) - 1))]
+    each_n, each_kinds = np.repeat(n, kinds), np.repeat(kinds, kinds)
+    gain = np.add.reduceat(count * np.log2(count / each_n / before), at)
+    kept = (n >= least) & (gain >= keep_bits)
+    p = np.where(np.repeat(kept, kinds), (before * each_kinds + count) / (each_n + each_kinds), before)
+    return Level(pair, count, p, context[at], n, kinds, kept)
+
+
+def probabilities(levels: list[Level], key: np.ndarray) -> np.ndarray:
+    """Probability of the last symbol of each code after the longest kept suffix of the symbols before it."""
+    root = levels[0]
+    at, there = find(root.pair, key & ((1 << BITS) - 1))
+    p = np.full(len(key), 1.0 / (root.n[0] + SYMBOLS))
+    p[there] = root.p[at[there]]
+    for length, level in enumerate(levels[1:], 1):
+        code = key & ((1 << BITS * (length + 1)) - 1)
+        at, there = find(level.context, code >> BITS)
+        some = np.flatnonzero(there)
+        some = some[level.kept[at[some]]]
+        at = at[some]
+        place, seen = find(level.pair, code[some])
+        count = np.where(seen, level.count[place], 0.0) if len(place) else np.zeros(0)
+        p[some] = (p[some] * level.kinds[at] + count) / (level.n[at] + level.kinds[at])
+    return p
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each code, by the last symbols of its context; as ``part_column``."""
+    return (((key >> BITS) & ((1 << BITS * HEAD) - 1)) * 2654435761 >> 16) % parts
+
+
+def part_column(key: str, parts: int) -> Column:
+    suffix = F.shiftright(key, BITS).bitwiseAND(F.lit((1 << BITS * HEAD) - 1))
+    return F.pmod(F.shiftright(suffix * F.lit(2654435761), 16), F.lit(parts)).cast("int")
+
+
+def packed(key: np.ndarray) -> bytes:
+    """Ascending codes as their differences, byte by byte of all, compressed."""
+    planes = np.diff(key, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def grams_of(t: pa.Table, depth: int) -> np.ndarray:
+    """Distinct codes of depth + 1 symbols of a block's texts, ascending."""
+    seen = Tally()
+    for b in t.combine_chunks().to_batches():
+        data, offs = text_column(b)
+        for lo, hi in doc_runs(offs):
+            seen.add(ngram_codes(*symbols(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)[:3], depth + 1))
+    return seen.total()[0]
+
+
+def head_levels(grams: DataFrame, least: int, keep_bits: float) -> list[Level]:
+    """Contexts shorter than HEAD symbols, of all parts."""
+    t = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * HEAD) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
+    levels: list[Level] = []
+    for length in range(HEAD):
+        levels.append(grow_level(key, n, length, levels[-1] if levels else None, least, keep_bits))
+    return levels
 
 
 def score_documents(
@@ -234,9 +340,10 @@ def score_documents(
     folds: int = 7,
     held: int = 2,
     depth: int = 6,
-    p_min: float = 4e-6,
+    least: int = 4,
     keep_bits: float = 6.0,
     block_bytes: int = 12 << 20,
+    part_bytes: int = 4 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -257,13 +364,27 @@ def score_documents(
     ends = int(totals[2]["n"]) if 2 in totals else 0
     train = ends + (int(totals[1]["n"]) if 1 in totals else 0)
     distinct = (ends > 0) + (int(totals[1]["v"]) if 1 in totals else 0)
-    tree = grow_tree(tree_rows(counts.filter("kind = 0"), depth, p_min), depth, keep_bits)
-    shared = spark.sparkContext.broadcast(tree)  # at most 2 * depth / p_min states, of which texts have about a fortieth
+    grams = counts.filter("kind = 0").select("key", "n")
+    shared = spark.sparkContext.broadcast(head_levels(grams, least, keep_bits))
 
     size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     blocks = partitions_for(spark, size, block_bytes)
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
 
+    parts = partitions_for(spark, size, part_bytes)
+
+    def grams_asked(t: pa.Table) -> pa.Table:
+        key = grams_of(t, depth)
+        part = part_of(key, parts)
+        order = np.argsort(part, kind="stable")
+        key, part = key[order], part[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size_of = np.diff(np.append(cut, len(key)))
+        rows_out = [packed(key[lo : lo + m]) for lo, m in zip(cut.tolist(), size_of.tolist())]
+        block = t.column("block")[0].as_py()
+        give_back()
+        return pa.table({"block": pa.array(np.full(len(cut), block, np.int32)), "part": pa.array(part[cut].astype(np.int32)), "n": pa.array(size_of.astype(np.int32)), "packed": pa.array(rows_out, pa.binary())})
+
     def words_of(t: pa.Table) -> pa.Table:
         seen = Tally()
         for b in t.combine_chunks().to_batches():
@@ -275,34 +396,64 @@ def score_documents(
         keys = seen.total()[0]
         return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py(), np.int32)), "key": pa.array(keys)})
 
-    asked = placed.groupBy("block").applyInArrow(words_of, "block int, key long")
-    answered = asked.join(counts.filter("kind = 1").select("key", "n"), "key").select("block", "key", "n")
+    def answer(t: pa.Table, known: pa.Table) -> pa.Table:
+        levels = list(shared.value)
+        key, n = known.column("key").to_numpy(), known.column("n").to_numpy()
+        for length in range(HEAD, depth + 1):
+            levels.append(grow_level(key, n, length, levels[-1], least, keep_bits))
+        sizes = t.column("n").to_pylist()
+        if not sizes:
+            return pa.table({"block": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
+        each, of = np.unique(np.concatenate([unpacked(d, m) for d, m in zip(t.column("packed").to_pylist(), sizes)]), return_inverse=True)
+        value = np.log10(probabilities(levels, each)).astype("<f4")[of]
+        ends_at = np.cumsum(sizes)
+        out = [value[e - m : e].tobytes() for e, m in zip(ends_at.tolist(), sizes)]
+        del levels
+        give_back()
+        return pa.table({"block": t.column("block"), "key": t.column("part").cast(pa.int64()), "packed": pa.array(out, pa.binary())})
+
+    asked = placed.groupBy("block").applyInArrow(grams_asked, "block int, part int, n int, packed binary")
+    spread = grams.select("key", "n", part_column("key", parts).alias("part"))
+    spelt = asked.groupBy("part").cogroup(spread.groupBy("part")).applyInArrow(answer, "block int, key long, packed binary")
+    wanted = placed.groupBy("block").applyInArrow(words_of, "block int, key long")
+    counted = wanted.join(counts.filter("kind = 1").select("key", "n"), "key").select("block", "key", "n")
+    answered = spelt.select("block", "key", F.lit(0).cast("long").alias("n"), "packed").unionByName(counted.select("block", "key", "n", F.lit(None).cast("binary").alias("packed")))
 
     def scored(t: pa.Table, known: pa.Table) -> pa.Table:
-        model = shared.value
+        is_word = known.column("packed").is_null().to_numpy()
         key, n = known.column("key").to_numpy(), known.column("n").to_numpy()
-        order = np.argsort(key)
-        key, n = key[order], n[order]
+        spelt_in = np.flatnonzero(~is_word)
+        spelt_in = spelt_in[np.argsort(key[spelt_in])]
+        values = known.column("packed")
+        gram = grams_of(t, depth)
+        logp = np.zeros(len(gram), np.float32)
+        logp[np.argsort(part_of(gram, parts), kind="stable")] = np.frombuffer(b"".join(values[i].as_py() for i in spelt_in.tolist()), "<f4")
+        word, n = key[is_word], n[is_word]
+        order = np.argsort(word)
+        word, n = word[order], n[order]
+        del known, values, key, order
         out = []
         for b in t.combine_chunks().to_batches():
             data, offs = text_column(b)
-            for lo, hi in doc_runs(offs, 1 << 21):
+            for lo, hi in doc_runs(offs):
                 part = data[offs[lo] : offs[hi]]
-                sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], model.depth)
+                sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
                 h = tb.word_hashes(part, start, end).view(np.int64)
+                at, there = find(word, h)
                 c = np.zeros(len(h))
-                if len(key):
-                    at = np.minimum(np.searchsorted(key, h), len(key) - 1)
-                    c = np.where(key[at] == h, n[at], 0).astype(float)
+                c[there] = n[at[there]]
                 words = np.diff(first)
                 doc = np.repeat(np.arange(hi - lo), words)
                 seen = np.bincount(doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0)
                 each = np.log10(c + 1) - np.log10(train + distinct + 1)
                 base = np.bincount(doc, weights=each, minlength=hi - lo) + np.log10(ends + 1) - np.log10(train + distinct + 1)
+                spelt_at = np.searchsorted(gram, ngram_codes(sym, begin, count, depth + 1))  # every one was asked for
+                tree = np.bincount(np.repeat(np.arange(hi - lo), count), weights=logp[spelt_at], minlength=hi - lo)
                 cols = [b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(words + 1, pa.int64()), pa.array(seen)]
-                cols += [pa.array(np.full(hi - lo, train, np.int64)), pa.array(base), pa.array(model.score(sym, begin, count))]
+                cols += [pa.array(np.full(hi - lo, train, np.int64)), pa.array(base), pa.array(tree)]
                 out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        give_back()
         return pa.Table.from_batches(out, schema=schema)
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

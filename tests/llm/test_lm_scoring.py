@@ -94,3 +94,40 @@ def test_symbols_spell_the_words():
     got = [sym[b : b + c].tolist() for b, c in zip(begin, count)]
     assert got == [[97, 98, 32, 99, 256], [256], [120, 256], [0xC3, 0xA9, 256]]
     assert len(lm.ngram_codes(sym, begin, count, 3)) == count.sum()
+
+
+def counted(texts, depth):
+    codes = Counter()
+    for t in texts:
+        s = [lm.END] * depth + t
+        for i in range(depth, len(s)):
+            code = 0
+            for x in s[i - depth : i + 1]:
+                code = code << lm.BITS | x
+            codes[code] += 1
+    key = np.array(sorted(codes), np.int64)
+    return key, np.array([codes[k] for k in key.tolist()])
+
+
+@pytest.mark.parametrize("keep", [0.0, 3.0])
+def test_levels_have_the_probabilities_of_the_automaton(keep):
+    rng = random.Random(5)
+    texts = [[rng.choice([97, 98, 99, 32]) for _ in range(rng.randint(0, 40))] + [lm.END] for _ in range(30)]
+    levels = []
+    for length in range(5):
+        levels.append(lm.grow_level(*counted(texts, 4), length, levels[-1] if levels else None, 1, keep))
+    other = [[rng.choice([97, 98, 99, 32, 200]) for _ in range(20)] + [lm.END] for _ in range(10)]
+    tree = tree_of(texts, 4, keep)
+    for t in texts + other:
+        sym, n = np.array([lm.END] * 4 + t, np.int16), np.array([len(t)])
+        codes = lm.ngram_codes(sym, np.array([4]), n, 5)
+        assert np.log10(lm.probabilities(levels, codes)).sum() == pytest.approx(tree.score(sym, np.array([4]), n)[0], rel=1e-4)
+
+
+def test_a_rare_context_stays_in_a_large_corpus(spark):
+    """About ten equal texts among 3,000,000 learning symbols are under a share of 4e-6; the tree still learns them."""
+    rng = random.Random(6)
+    filler = [(7 * i, " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(500)), "q", 3) for i in range(900)]
+    rare = [(10_000_000 + i, "xylophonqz", "q", 3) for i in range(12)]
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(filler + rare, SCHEMA)).collect()}
+    assert max(got[d] for d, *_ in rare) > -12
