@@ -2,6 +2,7 @@
 
 from itertools import combinations
 
+from factloom import plans
 from factloom.operators import fuzzy
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,27 @@ def test_pairs_at_a_low_threshold(spark):
 
 def test_standard_values():
     assert round(plain_jaro("martha", "marhta"), 6) == 0.944444 and round(plain_jaro("dixon", "dicksonx"), 6) == 0.766667
+
+
+def test_whole_grid_of_clusters(spark):
+    part = spark.read.parquet(f"{SF}/part.parquet").select("p_name", "p_size").collect()
+    years = {}
+    for r in part:
+        years[r.p_name] = min(r.p_size, years.get(r.p_name, r.p_size))
+    pairs = [(a, b, plain_jaro(a, b), abs(years[a] - years[b])) for a, b in combinations(sorted(years), 2)]
+    want = set()
+    for distance in (0.10, 0.15, 0.20, 0.25, 0.30):
+        for window in (None, 2):
+            label = {n: n for n in years}
+            edges = [(a, b) for a, b, s, gap in pairs if s >= 1 - distance and (window is None or gap <= window)]
+            moved = True
+            while moved:
+                moved = False
+                for a, b in edges:
+                    low = min(label[a], label[b])
+                    if label[a] != label[b]:
+                        label[a] = label[b] = low
+                        moved = True
+            want |= {(f"jw_t{distance:.2f}_{'unblocked' if window is None else 'yw2'}", n, x) for n, x in label.items()}
+    got = [tuple(r) for r in plans.queries()["name_grid_all"](spark, SF).select("variant_id", "measure_name", "label").collect()]
+    assert len({v for v, *_ in got}) == 10 and len(got) == len(want) and set(got) == want
