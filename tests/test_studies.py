@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from factloom import plans
 from factloom.operators import density, proxies
 from factloom.streaming import windows as streams
 
@@ -71,3 +72,9 @@ def test_stream_of_documents_gives_the_windows_of_a_batch(spark, tmp_path):
     run.awaitTermination(120)
     want = streams.arriving_windows(docs, "doc_id", "text", size=3, overlap=1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_all_orders_enter_the_signed_series(spark):
+    sf = "/root/testdata/sf0.001"
+    n = plans.queries()["signed_proxy_all"](spark, sf).agg(F.sum("n_acts")).first()[0]
+    assert n == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderdate IS NOT NULL").count()
