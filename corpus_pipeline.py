@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import langid, mixing, near_dedup, packing, quality
-from factloom.llm.common import fold, read_table, written
+from factloom.llm.common import fold, keyed_rows, read_table, written
 from factloom.llm.queries import WORD_TOKENIZER
 
 #: Below this confidence a language is not accepted.
@@ -34,10 +34,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8); of rows that repeat an id, one."""
-    kept = near_dedup.near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    joined = docs.join(kept, "doc_id", "left_semi")
-    return joined.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group of near-duplicates (five words, 0.8), that of the smallest id.
+
+    Rows that repeat an id are judged each by its text; those of a null id stand alone and stay.
+    """
+    keyed = keyed_rows(docs)
+    named = keyed.filter("doc_id IS NOT NULL")
+    judged = near_dedup.near_duplicates(named, words=5, percent=80, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id")
+    ids = judged.join(named.select("_key", "doc_id"), "_key")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("_first")).select(F.col("_first._key").alias("_key"))
+    return named.join(kept, "_key", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,6 +72,21 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBat
     return df.mapInArrow(each, schema)
 
 
+def keyed_rows(docs: DataFrame, doc_id: str = "doc_id", key: str = "_key") -> DataFrame:
+    """``docs`` with a key of each row: the id where one row alone has it, else (repeated and null ids) a number above all ids.
+
+    Where every id is there once, nothing is written and the keys are the ids.
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("_id"))
+    again = ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR _id IS NULL").select("_id", F.lit(True).alias("_again"))
+    if again.isEmpty():
+        return docs.withColumn(key, F.col(doc_id).cast("long"))
+    top = ids.agg(F.max("_id").alias("m")).first()["m"]
+    flagged = docs.join(again.filter("_id IS NOT NULL"), F.col(doc_id).cast("long") == F.col("_id"), "left")
+    own = F.when(F.col("_again") | F.col(doc_id).isNull(), F.lit(0 if top is None else top).cast("long") + 1 + F.monotonically_increasing_id())
+    return written(flagged.withColumn(key, F.coalesce(own, F.col(doc_id).cast("long"))).select(*docs.columns, key), "keyed")
+
+
 def fold(doc_id: str | Column, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

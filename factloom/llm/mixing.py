@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import textbytes as tb
-from factloom.llm.common import doc_runs, map_arrow, text_column, written
+from factloom.llm.common import doc_runs, keyed_rows, map_arrow, text_column, written
 
 #: Weights of the sources in the order of their names' code points, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -210,13 +210,14 @@ def taken_words(spans: DataFrame, laid: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: a row of ``docs`` for each document and pass, its text cut to the words taken.
 
-    Needs ``doc_id`` to be unique. Texts taken whole keep every byte; of others
+    Rows of a null or repeated ``doc_id`` are documents each. Texts taken whole keep every byte; of others
     the runs of words taken stay, joined by a space where words between them go.
     Documents of which nothing is taken go, those without words too.
     """
-    spans, _ = mix_spans(docs, **options)
+    keyed = keyed_rows(docs)
+    spans, _ = mix_spans(keyed, doc_id="_key", **options)
     runs = spans.groupBy("doc_id", "epoch").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
-    joined = docs.join(runs, "doc_id")
+    joined = keyed.join(runs.withColumnRenamed("doc_id", "_key"), "_key")
 
     @F.pandas_udf(T.StringType())
     def cut(text: pd.Series, taken: pd.Series) -> pd.Series:

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+
 from factloom.llm import langid, quality, queries, token_counts
 from factloom.llm.common import read_table
 
@@ -119,3 +121,21 @@ def test_pipeline_stages(spark):
     for r in rows:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 4096
+
+
+def test_rows_of_null_and_repeated_ids_pass_the_stages(spark):
+    d = read_table(spark, SF, "documents")
+    kinds = {f.name: f.dataType.simpleString() for f in d.schema}
+
+    def text(k):
+        return " ".join(f"w{k}x{i}" for i in range(60))
+
+    rows = [(1, text(1)), (1, text(2)), (2, text(1)), (None, text(3)), (None, text(4)), (5, text(5)), (5, text(5)), (6, text(2) + " more"), (7, text(7))]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text")})
+    made = made.select(*(F.col(c).cast(kinds[c]) for c in d.columns))
+    first = corpus_pipeline.keep_first(spark, made, SF)
+    want = [(1, text(1)), (1, text(2)), (5, text(5)), (7, text(7)), (None, text(3)), (None, text(4))]
+    assert sorted(((r["doc_id"], r["text"]) for r in first.collect()), key=str) == sorted(want, key=str)
+    doubled = spark.createDataFrame(want * 30, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web"), "n_chars": F.length("text")})
+    mixed = corpus_pipeline.mix(spark, doubled.select(*(F.col(c).cast(kinds[c]) for c in d.columns)), SF)
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} >= set(want)
