@@ -8,14 +8,15 @@ kept if its next-symbol distribution diverges enough from that of its longest
 kept suffix (count times Kullback-Leibler divergence); distributions are
 smoothed towards that suffix's.
 
-The tree isn't broadcast. Contexts are parted by their last three symbols, so
-that a context and its suffixes of three symbols or more are in one part;
-shorter ones are a table of at most the distinct strings of three symbols, which
-every part gets. Blocks of documents ask the parts for the probabilities of the
-distinct strings of depth + 1 symbols they hold, and for the counts of their words.
-
-Counts of symbol n-grams and of words come from all learning documents, summed
-in each task before they are shuffled.
+The tree isn't broadcast. Contexts are parted by their last four symbols, so
+that a context and its suffixes of four symbols or more are in one part;
+shorter ones are a table of at most the distinct strings of four symbols, which
+every part gets. Texts are read once and kept in packed blocks of bounded size.
+Each block sends its distinct strings of depth + 1 symbols and its distinct
+words to their parts, with the counts of its learning documents; a part sums
+the counts of all blocks, grows its contexts and answers each block with the
+probabilities of what it sent. Codes travel packed, so that Spark moves a row
+for each block and part instead of one for each string.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import textbytes as tb
@@ -35,7 +38,7 @@ SPACE, END = 32, 256
 BITS = 9
 SYMBOLS = 257
 #: Last symbols of a context that choose its part.
-HEAD = 3
+HEAD = 4
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -45,92 +48,85 @@ def symbols(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray
     has, and the word spans. A text without words is the end symbol alone.
     """
     start, end, first = tb.word_spans(data, offsets)
-    lens = end - start
     words = np.diff(first)
-    sums = np.concatenate([[0], np.cumsum(lens + 1)])
-    count = sums[first[1:]] - sums[first[:-1]]
-    count[words == 0] = 1
+    last = np.zeros(len(start), bool)
+    last[first[1:][words > 0] - 1] = True
+    # every solid byte, and the byte after each word but a text's last, which becomes the separator
+    shown = tb.LOWER[data]
+    keep = tb.solid(data)
+    gap = end[~last]
+    keep[gap] = True
+    shown[gap] = SPACE
+    sums = np.concatenate([[0], np.cumsum(end - start + ~last)])
+    inner = sums[first[1:]] - sums[first[:-1]]
+    count = inner + 1
     begin = np.cumsum(count + pad) - count
     out = np.full(int((count + pad).sum()), END, np.int16)
-    doc = np.repeat(np.arange(len(words)), words)
-    at = begin[doc] + sums[:-1] - sums[first[:-1]][doc]
-    solid = np.repeat(at - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-    source = np.repeat(start - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-    out[solid] = tb.LOWER[data[source]]
-    last = np.zeros(len(lens), bool)
-    last[first[1:][words > 0] - 1] = True
-    out[(at + lens)[~last]] = SPACE
+    body = np.ones(len(out), bool)
+    ends = begin + inner
+    body[ends] = False
+    for i in range(1, pad + 1):
+        body[begin - i] = False
+    out[body] = shown[keep]
     return out, begin, count, (start, end, first)
 
 
 def ngram_codes(sym: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """Code of the ``n`` symbols up to each symbol of the texts."""
-    code = np.zeros(len(sym) - n + 1, np.int64)
-    for i in range(n):
-        code <<= BITS
-        code |= sym[i : i + len(code)]
+
+    def of(width: int) -> np.ndarray:
+        if width == 1:
+            return sym.astype(np.int64)
+        half = width // 2
+        low = of(half)
+        high = low if width == 2 * half else of(width - half)
+        return (high[: len(sym) - width + 1] << BITS * half) | low[width - half :]
+
     keep = np.ones(len(sym), bool)
     pad = np.concatenate([[begin[0]], begin[1:] - (begin[:-1] + count[:-1])])
     at = np.repeat(begin - pad - (np.cumsum(pad) - pad), pad) + np.arange(int(pad.sum()))
     keep[at] = False
-    return code[keep[n - 1 :]]
+    return of(n)[keep[n - 1 :]]
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of several lists (fastest if each ascends), their sums of counts, and of the joined lists: order and place of each key."""
+    k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    new = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+    at = np.flatnonzero(new)
+    return k[at], np.add.reduceat(n[order], at) if len(at) else n, order, np.cumsum(new) - 1
 
 
 class Tally:
-    """Counts of 64-bit keys; memory is bounded by the number of distinct keys."""
+    """Counts of 64-bit keys of which all are kept; about ``most`` keys at a time are sorted."""
 
-    def __init__(self, most: int = 1 << 20) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, most: int = 1 << 22) -> None:
+        self.waiting: list[np.ndarray] = []
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
         self.size, self.most = 0, most
 
     def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.parts.append((k, n))
-        self.size += len(k)
+        self.waiting.append(keys)
+        self.size += len(keys)
         if self.size > self.most:
-            k, n = self.total()
-            self.parts, self.size = [(k, n)], len(k)
-            self.most = max(self.most, 2 * self.size)
+            self._sort()
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        k = np.concatenate([p[0] for p in self.parts])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], np.concatenate([p[1] for p in self.parts])[order]
-        at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        return k[at], np.add.reduceat(n, at)
-
-
-def corpus_counts(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): kind 0 symbol n-grams of depth + 1, kind 1 words by hash, kind 2 texts; of docs (text)."""
-
-    def out(kind: int, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for lo in range(0, len(k), 1 << 17):
-            m = len(k[lo : lo + (1 << 17)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(k[lo : lo + m]), pa.array(n[lo : lo + m].astype(np.int64))], names=["kind", "key", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tallies, texts = [Tally(), Tally()], 0
-        for b in batches:
-            data, offs = text_column(b)
-            texts += b.num_rows
-            for lo, hi in doc_runs(offs):
-                part = data[offs[lo] : offs[hi]]
-                sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-                tallies[0].add(ngram_codes(sym, begin, count, depth + 1))
-                tallies[1].add(tb.word_hashes(part, start, end).view(np.int64))
-                for kind in (0, 1):
-                    if tallies[kind].most > 1 << 20:  # over half of that are distinct: sent on, so that a task's memory is bounded
-                        yield from out(kind, *tallies[kind].total())
-                        tallies[kind] = Tally()
-        for kind in (0, 1):
-            yield from out(kind, *tallies[kind].total())
-        yield from out(2, np.zeros(1, np.int64), np.array([texts]))
-        give_back()
+    def _sort(self) -> None:
+        if self.waiting:
+            k, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.keys.append(k)
+            self.counts.append(n)
+            self.waiting, self.size = [], 0
 
-    part = docs.select("text").mapInArrow(run, "kind int, key long, n long")
-    return part.groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        self._sort()
+        if len(self.keys) == 1:
+            return self.keys[0], self.counts[0]
+        return summed(self.keys, self.counts)[:2]
 
 
 @dataclass
@@ -295,39 +291,111 @@ def probabilities(levels: list[Level], key: np.ndarray) -> np.ndarray:
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each code, by the last symbols of its context; as ``part_column``."""
-    return (((key >> BITS) & ((1 << BITS * HEAD) - 1)) * 2654435761 >> 16) % parts
+    """Part of each code, by the last symbols of its context."""
+    return (tb.mix64(((key >> BITS) & ((1 << BITS * HEAD) - 1)).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
 
 
-def part_column(key: str, parts: int) -> Column:
-    suffix = F.shiftright(key, BITS).bitwiseAND(F.lit((1 << BITS * HEAD) - 1))
-    return F.pmod(F.shiftright(suffix * F.lit(2654435761), 16), F.lit(parts)).cast("int")
-
-
-def packed(key: np.ndarray) -> bytes:
-    """Ascending codes as their differences, byte by byte of all, compressed."""
-    planes = np.diff(key, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(-1, 8).T
+def packed(key: np.ndarray, differences: bool) -> bytes:
+    """Whole numbers, or ascending ones as their differences, byte by byte of all, compressed."""
+    some = np.diff(key, prepend=np.int64(0)) if differences else key
+    planes = some.astype("<i8").view(np.uint8).reshape(-1, 8).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
+def unpacked(data: bytes, n: int, differences: bool) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+    some = np.ascontiguousarray(planes.T).view("<i8").ravel()
+    return np.cumsum(some) if differences else some
+
+
+#: What a row of the packed table holds: symbol strings or words of a block and part, strings of HEAD symbols of a block, or a block's texts.
+GRAMS, WORDS, HEADS, TEXTS = range(4)
+#: Fixed by the arrays' types: n counts what ``a`` and ``b`` hold; total the learning tokens of the kind.
+PACKED = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("total", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+PACKED_SQL = "kind int, block long, part int, n long, total long, a binary, b binary"
+
+
+def packed_texts(t: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(t)
+    return sink.getvalue().to_pybytes()
 
 
-def grams_of(t: pa.Table, depth: int) -> np.ndarray:
-    """Distinct codes of depth + 1 symbols of a block's texts, ascending."""
-    seen = Tally()
-    for b in t.combine_chunks().to_batches():
-        data, offs = text_column(b)
+def texts_of(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def block_rows(block: int, t: pa.RecordBatch, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The packed rows of one block of texts (doc_id, text, held_out)."""
+
+    def rows(kind: int, of: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+        part, n, total, a, b = zip(*of)
+        return pa.RecordBatch.from_arrays([pa.array([x] * len(of), f) for x, f in ((kind, pa.int32()), (block, pa.int64()))] + [pa.array(x, f.type) for x, f in zip((part, n, total, a, b), list(PACKED)[2:])], schema=PACKED)
+
+    held = t.column("held_out").to_numpy(zero_copy_only=False)
+    grams, words = [Tally(), Tally()], [Tally(), Tally()]
+    for flag in (False, True):
+        some = t.filter(pa.array(held == flag))
+        data, offs = text_column(some)
         for lo, hi in doc_runs(offs):
-            seen.add(ngram_codes(*symbols(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], depth)[:3], depth + 1))
-    return seen.total()[0]
+            part = data[offs[lo] : offs[hi]]
+            sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
+            grams[flag].add(ngram_codes(sym, begin, count, depth + 1))
+            words[flag].add(tb.word_hashes(part, start, end).view(np.int64))
+    learnt = int((~held).sum())
+    for kind, tallies in ((GRAMS, grams), (WORDS, words)):
+        (known, n), (other, _) = tallies[0].total(), tallies[1].total()
+        if kind == GRAMS:
+            heads, sums, _, _ = summed([known & ((1 << BITS * HEAD) - 1)], [n])
+            yield rows(HEADS, [(-1, len(heads), 0, packed(heads, True), packed(sums, False))])
+        total = int(n.sum())
+        key, n, _, _ = summed([known, other], [n, np.zeros(len(other), n.dtype)])
+        part = part_of(key, parts) if kind == GRAMS else (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order], part[order]
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+        ends = np.append(cut[1:], len(key))
+        found = [(int(part[lo]), int(hi - lo), 0, packed(key[lo:hi], True), packed(n[lo:hi], False)) for lo, hi in zip(cut.tolist(), ends.tolist())]
+        if kind == WORDS:
+            found.append((-1, 0, total + learnt, b"", b""))  # and one end for each text
+        if found:
+            yield rows(kind, found)
+    yield rows(TEXTS, [(-1, t.num_rows, learnt, packed_texts(t), b"")])
+
+
+def text_blocks(docs: DataFrame, depth: int, parts: int, block_bytes: int) -> DataFrame:
+    """Rows of all blocks; a block is a run of a task's texts of about ``block_bytes``, or one longer text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), 0
+        for b in batches:
+            size = text_column(b)[1]
+            blocks = max(1, -(-int(size[-1]) // block_bytes))
+            for lo, hi in doc_runs(size, max(1, -(-int(size[-1]) // blocks))):
+                yield from block_rows(task << 32 | seen, b.slice(lo, hi - lo), depth, parts)
+                seen += 1
+        give_back()
+
+    return docs.mapInArrow(run, PACKED_SQL)
 
 
-def head_levels(grams: DataFrame, least: int, keep_bits: float) -> list[Level]:
-    """Contexts shorter than HEAD symbols, of all parts."""
-    t = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * HEAD) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+def head_levels(table: DataFrame, least: int, keep_bits: float) -> list[Level]:
+    """Contexts shorter than HEAD symbols, of all parts: at most the distinct strings of HEAD symbols reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            for n, x, y in zip(b.column("n").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist()):
+                keys.append(unpacked(x, n, True))
+                counts.append(unpacked(y, n, False))
+                if len(keys) > 16:
+                    k, n, _, _ = summed(keys, counts)
+                    keys, counts = [k], [n]
+        k, n, _, _ = summed(keys, counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    t = table.filter(F.col("kind") == HEADS).select("n", "a", "b").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
     levels: list[Level] = []
     for length in range(HEAD):
@@ -343,7 +411,7 @@ def score_documents(
     least: int = 4,
     keep_bits: float = 6.0,
     block_bytes: int = 12 << 20,
-    part_bytes: int = 4 << 20,
+    part_bytes: int = 24 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -359,102 +427,101 @@ def score_documents(
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), (fold(doc_id, folds) == held).alias("held_out"))
-    counts = written(corpus_counts(rows.filter(~F.col("held_out")).select("text"), depth), "lm-counts")
-    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    ends = int(totals[2]["n"]) if 2 in totals else 0
-    train = ends + (int(totals[1]["n"]) if 1 in totals else 0)
-    distinct = (ends > 0) + (int(totals[1]["v"]) if 1 in totals else 0)
-    grams = counts.filter("kind = 0").select("key", "n")
-    shared = spark.sparkContext.broadcast(head_levels(grams, least, keep_bits))
-
     size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
-    blocks = partitions_for(spark, size, block_bytes)
-    placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
-
     parts = partitions_for(spark, size, part_bytes)
+    table = written(text_blocks(rows, depth, parts, block_bytes), "lm-blocks")
+    shared = spark.sparkContext.broadcast(head_levels(table, least, keep_bits))
 
-    def grams_asked(t: pa.Table) -> pa.Table:
-        key = grams_of(t, depth)
-        part = part_of(key, parts)
-        order = np.argsort(part, kind="stable")
-        key, part = key[order], part[order]
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        size_of = np.diff(np.append(cut, len(key)))
-        rows_out = [packed(key[lo : lo + m]) for lo, m in zip(cut.tolist(), size_of.tolist())]
-        block = t.column("block")[0].as_py()
+    def distinct_words(t: pa.Table) -> pa.Table:
+        keys, counts = ([unpacked(x, n, d) for n, x in zip(t.column("n").to_pylist(), t.column(c).to_pylist())] for c, d in (("a", True), ("b", False)))
+        found = int((summed(keys, counts)[1] > 0).sum())
         give_back()
-        return pa.table({"block": pa.array(np.full(len(cut), block, np.int32)), "part": pa.array(part[cut].astype(np.int32)), "n": pa.array(size_of.astype(np.int32)), "packed": pa.array(rows_out, pa.binary())})
+        return pa.table({"v": pa.array([found], pa.int64())})
 
-    def words_of(t: pa.Table) -> pa.Table:
-        seen = Tally()
-        for b in t.combine_chunks().to_batches():
-            data, offs = text_column(b)
-            for lo, hi in doc_runs(offs):
-                part = data[offs[lo] : offs[hi]]
-                start, end, _ = tb.word_spans(part, offs[lo : hi + 1] - offs[lo])
-                seen.add(tb.word_hashes(part, start, end).view(np.int64))
-        keys = seen.total()[0]
-        return pa.table({"block": pa.array(np.full(len(keys), t.column("block")[0].as_py(), np.int32)), "key": pa.array(keys)})
-
-    def answer(t: pa.Table, known: pa.Table) -> pa.Table:
-        levels = list(shared.value)
-        key, n = known.column("key").to_numpy(), known.column("n").to_numpy()
-        for length in range(HEAD, depth + 1):
-            levels.append(grow_level(key, n, length, levels[-1], least, keep_bits))
-        sizes = t.column("n").to_pylist()
-        if not sizes:
-            return pa.table({"block": pa.array([], pa.int32()), "key": pa.array([], pa.int64()), "packed": pa.array([], pa.binary())})
-        each, of = np.unique(np.concatenate([unpacked(d, m) for d, m in zip(t.column("packed").to_pylist(), sizes)]), return_inverse=True)
-        value = np.log10(probabilities(levels, each)).astype("<f4")[of]
-        ends_at = np.cumsum(sizes)
-        out = [value[e - m : e].tobytes() for e, m in zip(ends_at.tolist(), sizes)]
-        del levels
+    words = table.filter(F.col("kind") == WORDS)
+    train = words.filter("part = -1").agg(F.sum("total").alias("n")).first()["n"] or 0
+    ends = table.filter(F.col("kind") == TEXTS).agg(F.sum("total").alias("n")).first()["n"] or 0
+    asked = words.filter("part >= 0").select("part", "n", "a", "b").groupBy("part").applyInArrow(distinct_words, "v long")
+    distinct = (ends > 0) + (asked.agg(F.sum("v").alias("n")).first()["n"] or 0)
+
+    def answer(t: pa.Table) -> pa.Table:
+        out = []
+        for kind in (GRAMS, WORDS):
+            some = t.filter(pc.equal(t.column("kind"), kind)).combine_chunks()
+            sizes = some.column("n").to_pylist()
+            if not sizes:
+                continue
+            keys, counts = ([unpacked(x, n, d) for n, x in zip(sizes, some.column(c).to_pylist())] for c, d in (("a", True), ("b", False)))
+            key, n, order, place = summed(keys, counts)
+            del keys, counts
+            if kind == GRAMS:
+                levels, known = list(shared.value), n > 0
+                for length in range(HEAD, depth + 1):
+                    levels.append(grow_level(key[known], n[known], length, levels[-1], least, keep_bits))
+                value = np.log10(probabilities(levels, key)).astype("<f4")
+                del levels
+            else:
+                value = n.astype("<i8")
+            mine = np.empty(len(order), value.dtype)
+            mine[order] = value[place]
+            width, at = value.dtype.itemsize, np.cumsum(sizes)
+            planes = [np.ascontiguousarray(mine[z - m : z].view(np.uint8).reshape(-1, width).T).tobytes() for z, m in zip(at.tolist(), sizes)]
+            out.append(some.select(["kind", "block", "part", "n"]).append_column("a", pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in planes], pa.binary())))
         give_back()
-        return pa.table({"block": t.column("block"), "key": t.column("part").cast(pa.int64()), "packed": pa.array(out, pa.binary())})
-
-    asked = placed.groupBy("block").applyInArrow(grams_asked, "block int, part int, n int, packed binary")
-    spread = grams.select("key", "n", part_column("key", parts).alias("part"))
-    spelt = asked.groupBy("part").cogroup(spread.groupBy("part")).applyInArrow(answer, "block int, key long, packed binary")
-    wanted = placed.groupBy("block").applyInArrow(words_of, "block int, key long")
-    counted = wanted.join(counts.filter("kind = 1").select("key", "n"), "key").select("block", "key", "n")
-    answered = spelt.select("block", "key", F.lit(0).cast("long").alias("n"), "packed").unionByName(counted.select("block", "key", "n", F.lit(None).cast("binary").alias("packed")))
-
-    def scored(t: pa.Table, known: pa.Table) -> pa.Table:
-        is_word = known.column("packed").is_null().to_numpy()
-        key, n = known.column("key").to_numpy(), known.column("n").to_numpy()
-        spelt_in = np.flatnonzero(~is_word)
-        spelt_in = spelt_in[np.argsort(key[spelt_in])]
-        values = known.column("packed")
-        gram = grams_of(t, depth)
-        logp = np.zeros(len(gram), np.float32)
-        logp[np.argsort(part_of(gram, parts), kind="stable")] = np.frombuffer(b"".join(values[i].as_py() for i in spelt_in.tolist()), "<f4")
-        word, n = key[is_word], n[is_word]
-        order = np.argsort(word)
-        word, n = word[order], n[order]
-        del known, values, key, order
+        return pa.concat_tables(out)
+
+    answered = table.filter((F.col("kind") <= WORDS) & (F.col("part") >= 0)).select("kind", "block", "part", "n", "a", "b")
+    answered = answered.groupBy("part").applyInArrow(answer, "kind int, block long, part int, n long, a binary")
+
+    def values(known: pa.Table, kind: int, key: np.ndarray, part: np.ndarray, dtype: str) -> np.ndarray:
+        """The answers to a block's distinct keys, which were sent by part, ascending in each."""
+        rows_of = known.filter(pc.equal(known.column("kind"), kind))
+        width = np.dtype(dtype).itemsize
+        order = np.argsort(rows_of.column("part").to_numpy())
+        data, sizes = rows_of.column("a"), rows_of.column("n").to_numpy()
+        got = [np.ascontiguousarray(np.frombuffer(pa.decompress(data[i].as_py(), width * int(sizes[i]), codec="zstd", asbytes=True), np.uint8).reshape(width, -1).T).view(dtype).ravel() for i in order.tolist()]
+        out = np.zeros(len(key), dtype)
+        out[np.argsort(part, kind="stable")] = np.concatenate(got) if got else np.zeros(0, dtype)
+        return out
+
+    def scored(of: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        for b in t.combine_chunks().to_batches():
+        for data_of in of.column("a").to_pylist():
+            b = texts_of(data_of)
             data, offs = text_column(b)
+            runs, grams, hashes = [], [], []
             for lo, hi in doc_runs(offs):
                 part = data[offs[lo] : offs[hi]]
                 sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-                h = tb.word_hashes(part, start, end).view(np.int64)
-                at, there = find(word, h)
-                c = np.zeros(len(h))
-                c[there] = n[at[there]]
-                words = np.diff(first)
-                doc = np.repeat(np.arange(hi - lo), words)
-                seen = np.bincount(doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0)
-                each = np.log10(c + 1) - np.log10(train + distinct + 1)
-                base = np.bincount(doc, weights=each, minlength=hi - lo) + np.log10(ends + 1) - np.log10(train + distinct + 1)
-                spelt_at = np.searchsorted(gram, ngram_codes(sym, begin, count, depth + 1))  # every one was asked for
-                tree = np.bincount(np.repeat(np.arange(hi - lo), count), weights=logp[spelt_at], minlength=hi - lo)
-                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(words + 1, pa.int64()), pa.array(seen)]
+                code, h = ngram_codes(sym, begin, count, depth + 1), tb.word_hashes(part, start, end).view(np.int64)
+                del sym
+                order = np.argsort(code)
+                code = code[order]
+                new = np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]
+                doc = np.repeat(np.arange(hi - lo, dtype=np.int32), count)[order]
+                runs.append((lo, hi, first, h, doc, np.cumsum(new, dtype=np.int32) - 1))
+                grams.append(code[new])
+                hashes.append(np.unique(h))
+            gram = np.unique(np.concatenate(grams))
+            logp = values(known, GRAMS, gram, part_of(gram, parts), "<f4")
+            word = np.unique(np.concatenate(hashes))
+            count_of = values(known, WORDS, word, (word.view(np.uint64) % np.uint64(parts)).astype(np.int32), "<i8")
+            cost = np.log10(train + distinct + 1)
+            for (lo, hi, first, h, doc, place), mine in zip(runs, grams):
+                c = count_of[np.searchsorted(word, h)]  # every one was sent
+                n_words = np.diff(first)
+                in_doc = np.repeat(np.arange(hi - lo), n_words)
+                seen = np.bincount(in_doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0)
+                base = np.bincount(in_doc, weights=np.log10(c + 1) - cost, minlength=hi - lo) + np.log10(ends + 1) - cost
+                tree = np.bincount(doc, weights=logp[np.searchsorted(gram, mine)][place], minlength=hi - lo)
+                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(n_words + 1, pa.int64()), pa.array(seen)]
                 cols += [pa.array(np.full(hi - lo, train, np.int64)), pa.array(base), pa.array(tree)]
-                out.append(pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+                out.append(pa.RecordBatch.from_arrays(cols, schema=scores))
+            del runs, grams, gram, logp, data, b
         give_back()
-        return pa.Table.from_batches(out, schema=schema)
+        return pa.Table.from_batches(out, schema=scores)
 
+    scores = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)
+    texts = table.filter(F.col("kind") == TEXTS).select("block", "a")
+    return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)

@@ -42,6 +42,11 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
+def solid(data: np.ndarray) -> np.ndarray:
+    """Whether each byte is part of a word."""
+    return _SOLID[data]
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of the first word of each text.
 
