@@ -290,24 +290,68 @@ def probabilities(levels: list[Level], key: np.ndarray) -> np.ndarray:
     return p
 
 
-def part_of(key: np.ndarray, parts: int) -> np.ndarray:
-    """Part of each code, by the last symbols of its context."""
-    return (tb.mix64(((key >> BITS) & ((1 << BITS * HEAD) - 1)).view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+def part_of(key: np.ndarray, parts: int, kind: int, depth: int) -> np.ndarray:
+    """Part of each turned code, by the last symbols of its context, or of each word."""
+    of = tb.mix64((key >> BITS * (depth - HEAD + 1)).view(np.uint64)) if kind == GRAMS else key.view(np.uint64)
+    return (of % np.uint64(parts)).astype(np.int32)
 
 
-def packed(key: np.ndarray, differences: bool) -> bytes:
-    """Whole numbers, or ascending ones as their differences, byte by byte of all, compressed."""
-    some = np.diff(key, prepend=np.int64(0)) if differences else key
-    planes = some.astype("<i8").view(np.uint8).reshape(-1, 8).T
-    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+def turned(key: np.ndarray, depth: int) -> np.ndarray:
+    """Codes of depth + 1 symbols with the last HEAD symbols of their context first, so that those of a part stand together."""
+    low, rest = BITS * HEAD, BITS * (depth - HEAD + 1)
+    context = key >> BITS
+    return ((context & ((1 << low) - 1)) << rest) | ((context >> low) << BITS) | (key & ((1 << BITS) - 1))
 
 
-def unpacked(data: bytes, n: int, differences: bool) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
-    some = np.ascontiguousarray(planes.T).view("<i8").ravel()
+def straight(key: np.ndarray, depth: int) -> np.ndarray:
+    """The codes that ``turned`` turned."""
+    low, rest = BITS * HEAD, BITS * (depth - HEAD + 1)
+    old = (key >> BITS) & ((1 << rest - BITS) - 1)
+    return (old << low + BITS) | ((key >> rest) << BITS) | (key & ((1 << BITS) - 1))
+
+
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def squeezed(planes: np.ndarray) -> bytes:
+    """Rows of bytes, compressed."""
+    return _ZSTD.compress(np.ascontiguousarray(planes).tobytes(), asbytes=True)
+
+
+def spread(data: bytes, n: int, width: int) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data, n * width, asbytes=True), np.uint8).reshape(width, n)
+
+
+def packed(number: np.ndarray, differences: bool = False) -> bytes:
+    """Whole numbers, or ascending ones as their differences: all lowest bytes, all second bytes and so on."""
+    some = np.diff(number, prepend=np.int64(0)) if differences else number
+    return squeezed(some.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+
+
+def unpacked(data: bytes, n: int, differences: bool = False) -> np.ndarray:
+    some = np.ascontiguousarray(spread(data, n, 8).T).view("<i8").ravel()
     return np.cumsum(some) if differences else some
 
 
+def packed_codes(key: np.ndarray, depth: int) -> bytes:
+    """Codes by symbol: the low bytes of each of the depth + 1 symbols, then the ninth bits of all."""
+    planes = np.empty((depth + 2, len(key)), np.uint8)
+    planes[-1] = 0
+    for i in range(depth + 1):
+        symbol = key >> BITS * (depth - i)
+        planes[i] = symbol & 255
+        planes[-1] |= ((symbol >> 8) & 1).astype(np.uint8) << i
+    return squeezed(planes)
+
+
+def unpacked_codes(data: bytes, n: int, depth: int) -> np.ndarray:
+    planes = spread(data, n, depth + 2)
+    key = np.zeros(n, np.int64)
+    for i in range(depth + 1):
+        key = (key << BITS) | planes[i] | ((planes[-1] >> i & 1).astype(np.int64) << 8)
+    return key
+
+
 #: What a row of the packed table holds: symbol strings or words of a block and part, strings of HEAD symbols of a block, or a block's texts.
 GRAMS, WORDS, HEADS, TEXTS = range(4)
 #: Fixed by the arrays' types: n counts what ``a`` and ``b`` hold; total the learning tokens of the kind.
@@ -317,7 +361,7 @@ PACKED_SQL = "kind int, block long, part int, n long, total long, a binary, b bi
 
 def packed_texts(t: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as w:
         w.write_batch(t)
     return sink.getvalue().to_pybytes()
 
@@ -341,27 +385,26 @@ def block_rows(block: int, t: pa.RecordBatch, depth: int, parts: int) -> Iterato
         for lo, hi in doc_runs(offs):
             part = data[offs[lo] : offs[hi]]
             sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-            grams[flag].add(ngram_codes(sym, begin, count, depth + 1))
+            grams[flag].add(turned(ngram_codes(sym, begin, count, depth + 1), depth))
             words[flag].add(tb.word_hashes(part, start, end).view(np.int64))
-    learnt = int((~held).sum())
     for kind, tallies in ((GRAMS, grams), (WORDS, words)):
         (known, n), (other, _) = tallies[0].total(), tallies[1].total()
         if kind == GRAMS:
-            heads, sums, _, _ = summed([known & ((1 << BITS * HEAD) - 1)], [n])
-            yield rows(HEADS, [(-1, len(heads), 0, packed(heads, True), packed(sums, False))])
-        total = int(n.sum())
+            heads, sums, _, _ = summed([straight(known, depth) & ((1 << BITS * HEAD) - 1)], [n])
+            yield rows(HEADS, [(-1, len(heads), 0, packed(heads, True), packed(sums))])
+        learnt = int(n.sum())
         key, n, _, _ = summed([known, other], [n, np.zeros(len(other), n.dtype)])
-        part = part_of(key, parts) if kind == GRAMS else (key.view(np.uint64) % np.uint64(parts)).astype(np.int32)
+        part = part_of(key, parts, kind, depth)
         order = np.argsort(part, kind="stable")
-        key, n, part = key[order], n[order], part[order]
-        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
-        ends = np.append(cut[1:], len(key))
-        found = [(int(part[lo]), int(hi - lo), 0, packed(key[lo:hi], True), packed(n[lo:hi], False)) for lo, hi in zip(cut.tolist(), ends.tolist())]
-        if kind == WORDS:
-            found.append((-1, 0, total + learnt, b"", b""))  # and one end for each text
-        if found:
-            yield rows(kind, found)
-    yield rows(TEXTS, [(-1, t.num_rows, learnt, packed_texts(t), b"")])
+        key, n = key[order], n[order]
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        found = []
+        for p, (lo, hi) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+            if hi > lo or kind == WORDS:  # every part tells every block how many words it has
+                found.append((p, hi - lo, 0, packed_codes(key[lo:hi], depth) if kind == GRAMS else packed(key[lo:hi], True), packed(n[lo:hi])))
+        yield rows(kind, found)
+    yield rows(WORDS, [(-1, 0, learnt + int((~held).sum()), b"", b"")])  # and one end for each text
+    yield rows(TEXTS, [(-1, t.num_rows, int((~held).sum()), packed_texts(t), b"")])
 
 
 def text_blocks(docs: DataFrame, depth: int, parts: int, block_bytes: int) -> DataFrame:
@@ -388,7 +431,7 @@ def head_levels(table: DataFrame, least: int, keep_bits: float) -> list[Level]:
         for b in batches:
             for n, x, y in zip(b.column("n").to_pylist(), b.column("a").to_pylist(), b.column("b").to_pylist()):
                 keys.append(unpacked(x, n, True))
-                counts.append(unpacked(y, n, False))
+                counts.append(unpacked(y, n))
                 if len(keys) > 16:
                     k, n, _, _ = summed(keys, counts)
                     keys, counts = [k], [n]
@@ -432,17 +475,8 @@ def score_documents(
     table = written(text_blocks(rows, depth, parts, block_bytes), "lm-blocks")
     shared = spark.sparkContext.broadcast(head_levels(table, least, keep_bits))
 
-    def distinct_words(t: pa.Table) -> pa.Table:
-        keys, counts = ([unpacked(x, n, d) for n, x in zip(t.column("n").to_pylist(), t.column(c).to_pylist())] for c, d in (("a", True), ("b", False)))
-        found = int((summed(keys, counts)[1] > 0).sum())
-        give_back()
-        return pa.table({"v": pa.array([found], pa.int64())})
-
-    words = table.filter(F.col("kind") == WORDS)
-    train = words.filter("part = -1").agg(F.sum("total").alias("n")).first()["n"] or 0
-    ends = table.filter(F.col("kind") == TEXTS).agg(F.sum("total").alias("n")).first()["n"] or 0
-    asked = words.filter("part >= 0").select("part", "n", "a", "b").groupBy("part").applyInArrow(distinct_words, "v long")
-    distinct = (ends > 0) + (asked.agg(F.sum("v").alias("n")).first()["n"] or 0)
+    totals = {r["kind"]: r["n"] for r in table.filter("part = -1").groupBy("kind").agg(F.sum("total").alias("n")).collect()}
+    train, ends = totals.get(WORDS) or 0, totals.get(TEXTS) or 0
 
     def answer(t: pa.Table) -> pa.Table:
         out = []
@@ -451,10 +485,12 @@ def score_documents(
             sizes = some.column("n").to_pylist()
             if not sizes:
                 continue
-            keys, counts = ([unpacked(x, n, d) for n, x in zip(sizes, some.column(c).to_pylist())] for c, d in (("a", True), ("b", False)))
-            key, n, order, place = summed(keys, counts)
-            del keys, counts
+            keys = [unpacked_codes(x, n, depth) if kind == GRAMS else unpacked(x, n, True) for n, x in zip(sizes, some.column("a").to_pylist())]
+            key, n, order, place = summed(keys, [unpacked(x, n) for n, x in zip(sizes, some.column("b").to_pylist())])
+            del keys
+            distinct = int((n > 0).sum())
             if kind == GRAMS:
+                key = straight(key, depth)
                 levels, known = list(shared.value), n > 0
                 for length in range(HEAD, depth + 1):
                     levels.append(grow_level(key[known], n[known], length, levels[-1], least, keep_bits))
@@ -464,28 +500,32 @@ def score_documents(
                 value = n.astype("<i8")
             mine = np.empty(len(order), value.dtype)
             mine[order] = value[place]
-            width, at = value.dtype.itemsize, np.cumsum(sizes)
-            planes = [np.ascontiguousarray(mine[z - m : z].view(np.uint8).reshape(-1, width).T).tobytes() for z, m in zip(at.tolist(), sizes)]
-            out.append(some.select(["kind", "block", "part", "n"]).append_column("a", pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in planes], pa.binary())))
+            at = np.cumsum(sizes)
+            answers = [squeezed(mine[z - m : z].view(np.uint8).reshape(m, -1).T) if m else b"" for z, m in zip(at.tolist(), sizes)]
+            found = some.select(["kind", "block", "part", "n"]).append_column("total", pa.array(np.full(len(sizes), distinct, np.int64)))
+            out.append(found.append_column("a", pa.array(answers, pa.binary())))
         give_back()
         return pa.concat_tables(out)
 
     answered = table.filter((F.col("kind") <= WORDS) & (F.col("part") >= 0)).select("kind", "block", "part", "n", "a", "b")
-    answered = answered.groupBy("part").applyInArrow(answer, "kind int, block long, part int, n long, a binary")
+    answered = answered.groupBy("part").applyInArrow(answer, "kind int, block long, part int, n long, total long, a binary")
 
-    def values(known: pa.Table, kind: int, key: np.ndarray, part: np.ndarray, dtype: str) -> np.ndarray:
+    def values(known: pa.Table, key: np.ndarray, part: np.ndarray, dtype: str) -> np.ndarray:
         """The answers to a block's distinct keys, which were sent by part, ascending in each."""
-        rows_of = known.filter(pc.equal(known.column("kind"), kind))
-        width = np.dtype(dtype).itemsize
-        order = np.argsort(rows_of.column("part").to_numpy())
-        data, sizes = rows_of.column("a"), rows_of.column("n").to_numpy()
-        got = [np.ascontiguousarray(np.frombuffer(pa.decompress(data[i].as_py(), width * int(sizes[i]), codec="zstd", asbytes=True), np.uint8).reshape(width, -1).T).view(dtype).ravel() for i in order.tolist()]
+        known = known.filter(pc.greater(known.column("n"), 0))
+        width, data, sizes = np.dtype(dtype).itemsize, known.column("a"), known.column("n").to_pylist()
+        order = np.argsort(known.column("part").to_numpy()).tolist()
+        got = [np.ascontiguousarray(spread(data[i].as_py(), sizes[i], width).T).view(dtype).ravel() for i in order]
         out = np.zeros(len(key), dtype)
         out[np.argsort(part, kind="stable")] = np.concatenate(got) if got else np.zeros(0, dtype)
         return out
 
     def scored(of: pa.Table, known: pa.Table) -> pa.Table:
         out = []
+        of_grams, of_words = (known.filter(pc.equal(known.column("kind"), kind)) for kind in (GRAMS, WORDS))
+        del known
+        distinct = (ends > 0) + (pc.sum(of_words.column("total")).as_py() or 0)
+        cost = np.log10(train + distinct + 1)
         for data_of in of.column("a").to_pylist():
             b = texts_of(data_of)
             data, offs = text_column(b)
@@ -493,7 +533,7 @@ def score_documents(
             for lo, hi in doc_runs(offs):
                 part = data[offs[lo] : offs[hi]]
                 sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-                code, h = ngram_codes(sym, begin, count, depth + 1), tb.word_hashes(part, start, end).view(np.int64)
+                code, h = turned(ngram_codes(sym, begin, count, depth + 1), depth), tb.word_hashes(part, start, end).view(np.int64)
                 del sym
                 order = np.argsort(code)
                 code = code[order]
@@ -503,10 +543,9 @@ def score_documents(
                 grams.append(code[new])
                 hashes.append(np.unique(h))
             gram = np.unique(np.concatenate(grams))
-            logp = values(known, GRAMS, gram, part_of(gram, parts), "<f4")
+            logp = values(of_grams, gram, part_of(gram, parts, GRAMS, depth), "<f4")
             word = np.unique(np.concatenate(hashes))
-            count_of = values(known, WORDS, word, (word.view(np.uint64) % np.uint64(parts)).astype(np.int32), "<i8")
-            cost = np.log10(train + distinct + 1)
+            count_of = values(of_words, word, part_of(word, parts, WORDS, depth), "<i8")
             for (lo, hi, first, h, doc, place), mine in zip(runs, grams):
                 c = count_of[np.searchsorted(word, h)]  # every one was sent
                 n_words = np.diff(first)
