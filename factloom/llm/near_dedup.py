@@ -4,12 +4,13 @@ Documents with one shingle set form a class; classes are joined. Each of
 several independent trees branches classes by minwise tokens: a node picks one
 or two of the signature's coordinates (1/threshold on average, so that a pair
 at the threshold is expected to stay together in one child), and classes that
-agree there go to the same child. Nodes larger than ``leaf`` branch on. Within
-a node, signatures tell which pairs can be links; every link is confirmed on
-the full sets. First each class meets one hub, the member most like its node;
-then all pairs that are still in different components are compared. Pairs
-within a component need no comparing, so large groups of copies cost a star,
-not all their pairs.
+agree there go to the same child. Nodes larger than ``largest`` branch on.
+Within a node, signatures tell which pairs can be links; every link is
+confirmed on the full sets. First each class meets one hub, the member most
+like its node; then all pairs that are still in different components are
+compared. Pairs within a component need no comparing, so large groups of copies
+cost a star, not all their pairs; and a pair that meets in several crowded nodes
+is compared in the largest of them and in no other node.
 """
 
 from __future__ import annotations
@@ -93,18 +94,19 @@ def node_table(classes: DataFrame, trees: int, levels: int, threshold: float) ->
     return map_arrow(classes.select("v", "sig"), run, "node long, v long")
 
 
-def _branch_on(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """One more level for (node, v)."""
+def _branch_on(members: DataFrame, threshold: float) -> DataFrame:
+    """One more level for (node, v, sig)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         path, owner = branch(b.column("node").to_numpy().view(np.uint64), np.arange(b.num_rows), _sigs(b.column("sig")), threshold)
-        return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(b.column("v").to_numpy()[owner])], names=["node", "v"])
+        at = pa.array(owner)
+        return pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), b.column("v").take(at), b.column("sig").take(at)], names=["node", "v", "sig"])
 
-    return map_arrow(members.join(classes.select("v", "sig"), "v").select("node", "v", "sig"), run, "node long, v long").distinct()
+    return map_arrow(members.select("node", "v", "sig"), run, "node long, v long, sig binary").dropDuplicates(["node", "v"])
 
 
 def crowded(members: DataFrame) -> DataFrame:
-    """Members of nodes with at least two, of equal nodes one: node, size, v."""
+    """Members of nodes with at least two, of equal nodes one, with the node's size."""
     sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("v").cast("decimal(20,0)")).alias("_sum")).filter("size > 1")
     once = sizes.groupBy("size", "_sum").agg(F.min("node").alias("node"))
     return members.join(once.select("node", "size"), "node")
@@ -119,9 +121,9 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _in_nodes(kind: str, floor: int):
-    """Candidate pairs of the nodes in a group of rows (part, v, side, label, sig)."""
+    """Candidate pairs of the nodes in a group of rows (part, node, v, side, label, homes, sig)."""
 
-    def star(v, sig, label, side):
+    def star(v, sig, label, side, before):
         if len(np.unique(label)) < 2:
             return None
         score = np.zeros(len(v), np.int64)
@@ -133,14 +135,17 @@ def _in_nodes(kind: str, floor: int):
         ok = (like >= floor) & (label != label[hub])
         return np.column_stack([v[ok], np.full(ok.sum(), v[hub]), like[ok]])
 
-    def needed(v, sig, label, side):
+    def needed(v, sig, label, side, before):
         if len(np.unique(label)) < 2:
             return None
         left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
         want = np.zeros(len(v), bool)
         for lo in range(0, len(left), 256):
             i = left[lo : lo + 256]
-            ok = (label[i][:, None] != label[right][None, :]) & (_alike(sig[i], sig[right]) >= floor)
+            ok = (label[i][:, None] != label[right][None, :]) & (before[i] @ before[right].T == 0)
+            if not ok.any():
+                continue
+            ok &= _alike(sig[i], sig[right]) >= floor
             want[i] |= ok.any(axis=1)
             want[right] |= ok.any(axis=0)
         return want
@@ -163,13 +168,26 @@ def _in_nodes(kind: str, floor: int):
 
 
 def _nodes_of(t: pa.Table) -> Iterator[tuple[np.ndarray, tuple]]:
-    """Rows of each node with two members or more: their places, and v, sig, label, side."""
-    part, v, side, label = (t.column(c).to_numpy() for c in ("part", "v", "side", "label"))
+    """Rows of each part with two members or more: their places, and v, sig, label, side and which crowded nodes before this one they are in."""
+    part, v, side, label, node = (t.column(c).to_numpy() for c in ("part", "v", "side", "label", "node"))
     sig = _sigs(t.column("sig"))
+    lists = t.column("homes").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
     order = np.argsort(part, kind="stable")
     for o in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         if len(o) > 1:
-            yield o, (v[o], sig[o], label[o], side[o])
+            size = ends[o + 1] - ends[o]
+            row = np.repeat(np.arange(len(o)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            home = flat[np.repeat(ends[o], size) + place]
+            here = home == node[o[0]]
+            own = np.full(len(o), np.iinfo(np.int64).max)
+            own[row[here]] = place[here]
+            some = place < own[row]
+            names, col = np.unique(home[some], return_inverse=True)
+            before = np.zeros((len(o), len(names)), np.float32)
+            before[row[some], col] = 1
+            yield o, (v[o], sig[o], label[o], side[o], before)
 
 
 def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, columns: int = 1024) -> np.ndarray:
@@ -222,27 +240,39 @@ def _links_in_nodes(percent: int):
     return run
 
 
-def _spread_rows(members: DataFrame, labels: DataFrame, classes: DataFrame, in_pairs: bool, leaf: int, group_rows: int) -> DataFrame:
-    """Rows (_g, part, v, side, label, sig) of the nodes that hold more than one label.
+def _spread_rows(members: DataFrame, labels: DataFrame | None, leaf: int, group_rows: int) -> DataFrame:
+    """Rows (_g, part, node, v, side, label, homes, sig) of the nodes' chunks of about ``leaf`` members.
 
-    Nodes above ``leaf`` members come in chunks: by themselves, or every two
-    chunks together, so that no two members are left out and no task holds
-    more than two chunks of a node beside small nodes.
+    Without labels every member is in one chunk. With labels only nodes that
+    hold more than one label come, and a pair of two members of a node's main
+    label needs no comparing: the other members, ``leaf`` at a time, go to every
+    chunk. They stand left there (side -1), the chunk's own members right (1),
+    those that are both on both sides (0). So rows grow with the members and
+    with the few others, not with the square of a node.
     """
-    here = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-    spread = here.groupBy("node").agg(F.min("label").alias("_l"), F.max("label").alias("_m")).filter("_l <> _m").select("node")
-    here = here.join(spread, "node")
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("size") / leaf)).cast("int")
-    here = here.withColumn("_n", chunks).withColumn("_c", F.pmod(F.xxhash64("v", "node"), F.col("_n")).cast("int"))
-    if not in_pairs:
+    if labels is None:
+        here = members.withColumn("label", F.col("v"))
+    else:
+        here = members.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
+        parts = here.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        main = parts.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("_main"), F.max("n").alias("_most"), F.count(F.lit(1)).alias("_labels")).filter("_labels > 1")
+        here = here.join(main.select("node", "_main", "_most"), "node")
+    here = here.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("size") / leaf)).cast("int"))
+    here = here.withColumn("_c", F.pmod(F.xxhash64("v", "node"), F.col("_n")).cast("int"))
+    if labels is None:
         here = here.withColumn("part", F.xxhash64("node", "_c")).withColumn("side", F.lit(0))
     else:
-        other = F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(o, F.col("_c")).alias("i"), F.greatest(o, F.col("_c")).alias("j"))))
-        here = here.withColumn("_o", other).withColumn("part", F.xxhash64("node", "_o.i", "_o.j"))
-        here = here.withColumn("side", F.when(F.col("_o.i") == F.col("_o.j"), 0).when(F.col("_c") == F.col("_o.i"), -1).otherwise(1))
-    groups = max(1, -(-here.count() // group_rows))
-    rows = here.select("part", "v", "side", "label").join(classes.select("v", "sig"), "v")
-    return rows.select(F.pmod("part", F.lit(groups)).alias("_g"), "part", "v", "side", "label", "sig")
+        other = F.col("label") != F.col("_main")
+        groups_of = F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("_most")) / leaf)).cast("int")
+        here = here.withColumn("_m", groups_of).withColumn("_o", F.when(other, F.pmod(F.xxhash64("node", "v", F.lit("other")), F.col("_m")).cast("int")))
+        right = F.transform(F.sequence(F.lit(0), F.col("_m") - 1), lambda o: F.struct(F.col("_c").alias("c"), o.alias("o")))
+        left = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda c: F.struct(c.alias("c"), F.col("_o").alias("o")))
+        here = here.withColumn("_at", F.explode(F.when(other, F.array_union(right, left)).otherwise(right)))
+        here = here.withColumn("part", F.xxhash64("node", "_at.c", "_at.o"))
+        is_right, is_left = F.col("_at.c") == F.col("_c"), F.coalesce(F.col("_at.o") == F.col("_o"), F.lit(False))
+        here = here.withColumn("side", F.when(is_right & is_left, 0).when(is_left, -1).otherwise(1))
+    groups = max(1, -(-members.count() // group_rows))
+    return here.select(F.pmod("part", F.lit(groups)).alias("_g"), "part", "node", "v", "side", "label", "homes", "sig")
 
 
 def _floor(threshold: float) -> int:
@@ -250,22 +280,21 @@ def _floor(threshold: float) -> int:
     return int(np.floor((threshold - 3.5 * (threshold * (1 - threshold) / SIG) ** 0.5) * SIG))
 
 
-def hub_pairs(members: DataFrame, classes: DataFrame, threshold: float, leaf: int, group_rows: int = 8192) -> DataFrame:
+def hub_pairs(members: DataFrame, threshold: float, leaf: int, group_rows: int = 8192) -> DataFrame:
     """Each class with the hub most like it: pairs (a > b)."""
-    alone = classes.select("v").limit(0).withColumn("label", F.col("v"))
-    rows = _spread_rows(members, alone, classes, False, leaf, group_rows)
+    rows = _spread_rows(members, None, leaf, group_rows)
     found = rows.groupBy("_g").applyInArrow(_in_nodes("star", _floor(threshold)), "a long, b long, of long, like long")
     best = F.max_by(F.struct("a", "b"), F.struct("like", "b")).alias("p")
     return found.groupBy("of").agg(best).select("p.a", "p.b").distinct()
 
 
-def remaining_links(members: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, leaf: int, group_rows: int = 2048) -> DataFrame:
+def remaining_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, leaf: int, group_rows: int = 2048) -> DataFrame:
     """Links (a > b) between different labels: within nodes all pairs are compared on full sets.
 
     Only members whose signature comes near that of a member with another
     label bring their sets.
     """
-    rows = _spread_rows(members, labels, classes, True, leaf, group_rows)
+    rows = _spread_rows(members, labels, leaf, group_rows)
     schema = "_g long, part long, v long, side int, label long"
     needed = written(rows.groupBy("_g").applyInArrow(_in_nodes("needed", _floor(percent / 100)), schema), "needed")
     # equal parts of several trees are compared once
@@ -304,16 +333,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").withColumn("_both", both).filter(100 * F.col("_both") >= percent * union).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex of (a, b): label is the smallest vertex it reaches.
 
     Smallest labels spread along the edges and then jump to their label's
-    label, so that long chains end in a logarithmic number of rounds. Every
-    round is written to the shared folder.
+    label, so that long chains end in a logarithmic number of rounds; labels only
+    ever fall, so that the rounds end. Every round is written to the shared folder.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         around = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("_near"))
         spread = labels.join(around, F.col("v") == F.col("a")).select("v", "label", F.least("label", "_near").alias("_new"))
         jump = spread.join(labels.select(F.col("v").alias("_v"), F.col("label").alias("_far")), F.col("_new") == F.col("_v"), "left")
@@ -321,7 +350,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = step.select("v", "label")
         if step.filter("moved").isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(
@@ -332,19 +360,24 @@ def near_duplicates(
     levels: int = 4,
     deepest: int = 12,
     leaf: int = 1024,
+    largest: int = 4096,
+    crowded_from: int = 64,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
     Links are pairs with 100 * intersection >= percent * union of their sets of
-    ``words``-word shingles, all confirmed on the full sets; a pair at the
-    threshold meets in at least one of the trees with probability above 0.999.
-    component_id is the smallest doc_id of the component. Null and empty texts
-    and those without words have no shingles and are linked with nothing. A
-    row with a null doc_id stands alone: component_id null, kept. Rows that
-    repeat a doc_id are judged each by its text. Other columns are not
-    carried; an empty table gives no rows.
+    ``words``-word shingles, all confirmed on the full sets. A pair at a
+    threshold of 0.8 meets in a node of at least one of the 12 trees with
+    probability 0.9999 at 4 levels, 0.999 at 7, 0.998 at 8 and 0.99 at 12; only
+    classes whose nodes hold more than ``largest`` come below level 4. Of the
+    pairs that meet, the signatures lose less than 0.0005. component_id is the
+    smallest doc_id of the component. Null and empty texts and those without
+    words have no shingles and are linked with nothing. A row with a null
+    doc_id stands alone: component_id null, kept. Rows that repeat a doc_id are
+    judged each by its text. Other columns are not carried; an empty table
+    gives no rows.
     """
     threshold = percent / 100
     table = written(signature_table(docs, words, doc_id, text), "signatures")
@@ -352,21 +385,24 @@ def near_duplicates(
     classes = written(known.groupBy(F.col("f1").alias("v"), "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
     members = written(crowded(node_table(classes, trees, levels, threshold).distinct()), "nodes")
-    kept, depth = [members.filter(F.col("size") <= leaf)], levels
-    large = members.filter(F.col("size") > leaf)
-    while not large.isEmpty() and depth < deepest:
-        members = written(crowded(_branch_on(large.select("node", "v"), classes, threshold)), "nodes")
-        kept.append(members.filter(F.col("size") <= leaf))
-        large, depth = members.filter(F.col("size") > leaf), depth + 1
-    members = large
-    for part in kept:
-        members = members.unionByName(part)
-
-    wanted = classes.select("v", "rep").join(members.select("v").distinct(), "v")
-    sets = written(set_table(docs, wanted, words, doc_id, text), "sets")
-    first = written(confirmed(hub_pairs(members, classes, threshold, leaf), sets, percent), "links")
+    kept, depth = members.filter(F.col("size") <= largest), levels
+    large = members.filter(F.col("size") > largest)
+    if not large.isEmpty():
+        large = large.join(classes.select("v", "sig"), "v")
+        while depth < deepest and not large.isEmpty():
+            below = written(crowded(_branch_on(large, threshold)), "nodes")
+            kept = kept.unionByName(below.filter(F.col("size") <= largest).drop("sig"))
+            large, depth = below.filter(F.col("size") > largest), depth + 1
+        kept = kept.unionByName(large.drop("sig"))
+
+    # a class is in at most 2^depth nodes of a tree; largest nodes first
+    crowd = F.sort_array(F.collect_list(F.when(F.col("size") > crowded_from, F.struct("size", "node"))), asc=False)
+    wanted = classes.select("v", "rep", "sig").join(kept.groupBy("v").agg(F.transform(crowd, lambda x: x["node"]).alias("homes")), "v")
+    members = written(kept.join(wanted.select("v", "sig", "homes"), "v"), "members")
+    sets = written(set_table(docs, wanted.select("v", "rep"), words, doc_id, text), "sets")
+    first = written(confirmed(hub_pairs(members, threshold, leaf), sets, percent), "links")
     labels = components(first)
-    second = written(remaining_links(members, labels, classes, sets, percent, leaf), "links")
+    second = written(remaining_links(members, labels, sets, percent, leaf), "links")
     labels = components(first.unionByName(second))
 
     named = classes.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))

@@ -62,6 +62,35 @@ def test_against_all_pairs(spark, seed, k, leaf):
     assert sorted(map(tuple, got), key=str) == brute(rows, k, 80)
 
 
+@pytest.mark.parametrize("leaf,largest,least", [(64, 4096, 0.999), (64, 128, 0.99)])
+def test_recall_in_a_crowded_node(spark, leaf, largest, least):
+    """One family of near copies around the threshold, in chunks of a node and in nodes that branch on: of all linked pairs, those found in one component."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(2000)]
+    base = [rng.choice(vocab) for _ in range(100)]
+    rows = []
+    for d in range(600):
+        t = list(base)
+        for _ in range(rng.randint(0, 4)):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        rows.append((d, " ".join(t)))
+    found = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4, leaf=leaf, largest=largest).collect()}
+    sets = [shingles(t, 4) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    assert len(links) > 10_000
+    assert sum(found[i] == found[j] for i, j in links) >= least * len(links)
+
+
+def test_rows_of_a_node_grow_with_its_others_only(spark):
+    """A node of 400 members with one main label and five others in chunks of 50: the others alone meet every chunk."""
+    members = spark.range(400).selectExpr("7L as node", "400L as size", "id as v", "array(7L) as homes", "cast('' as binary) as sig")
+    labels = spark.range(395).selectExpr("id as v", "0L as label")
+    rows = nd._spread_rows(members, labels, 50, 1000).collect()
+    assert len(rows) == 395 + 5 * 8
+    met = {(left["v"], right["v"]) for left in rows for right in rows if left["part"] == right["part"] and left["side"] <= 0 <= right["side"]}
+    assert all((o, v) in met for o in range(395, 400) for v in range(400))
+
+
 def test_empty(spark):
     assert nd.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
