@@ -103,7 +103,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 class Tally:
     """Counts of 64-bit keys of which all are kept; about ``most`` keys at a time are sorted."""
 
-    def __init__(self, most: int = 1 << 22) -> None:
+    def __init__(self, most: int = 1 << 21) -> None:
         self.waiting: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
@@ -454,7 +454,7 @@ def score_documents(
     least: int = 4,
     keep_bits: float = 6.0,
     block_bytes: int = 12 << 20,
-    part_bytes: int = 24 << 20,
+    part_bytes: int = 12 << 20,
     doc_id: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
@@ -529,34 +529,37 @@ def score_documents(
         for data_of in of.column("a").to_pylist():
             b = texts_of(data_of)
             data, offs = text_column(b)
-            runs, grams, hashes = [], [], []
-            for lo, hi in doc_runs(offs):
-                part = data[offs[lo] : offs[hi]]
-                sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
-                code, h = turned(ngram_codes(sym, begin, count, depth + 1), depth), tb.word_hashes(part, start, end).view(np.int64)
-                del sym
+
+            def runs() -> Iterator[tuple]:
+                for lo, hi in doc_runs(offs):
+                    part = data[offs[lo] : offs[hi]]
+                    sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
+                    yield lo, hi, count, first, turned(ngram_codes(sym, begin, count, depth + 1), depth), tb.word_hashes(part, start, end).view(np.int64)
+
+            grams, words = Tally(), Tally()
+            for *_, code, h in runs():
+                grams.add(code)
+                words.add(h)
+            gram, word = grams.total()[0], words.total()[0]
+            del grams, words
+            logp = values(of_grams, gram, part_of(gram, parts, GRAMS, depth), "<f4")
+            count_of = values(of_words, word, part_of(word, parts, WORDS, depth), "<i8")
+            # a second reading takes less memory than keeping where each symbol's code is
+            for lo, hi, count, first, code, h in runs():
                 order = np.argsort(code)
                 code = code[order]
                 new = np.concatenate([[True], code[1:] != code[:-1]])[: len(code)]
-                doc = np.repeat(np.arange(hi - lo, dtype=np.int32), count)[order]
-                runs.append((lo, hi, first, h, doc, np.cumsum(new, dtype=np.int32) - 1))
-                grams.append(code[new])
-                hashes.append(np.unique(h))
-            gram = np.unique(np.concatenate(grams))
-            logp = values(of_grams, gram, part_of(gram, parts, GRAMS, depth), "<f4")
-            word = np.unique(np.concatenate(hashes))
-            count_of = values(of_words, word, part_of(word, parts, WORDS, depth), "<i8")
-            for (lo, hi, first, h, doc, place), mine in zip(runs, grams):
+                each = logp[np.searchsorted(gram, code[new])][np.cumsum(new, dtype=np.int32) - 1]
+                tree = np.bincount(np.repeat(np.arange(hi - lo, dtype=np.int32), count)[order], weights=each, minlength=hi - lo)
                 c = count_of[np.searchsorted(word, h)]  # every one was sent
                 n_words = np.diff(first)
                 in_doc = np.repeat(np.arange(hi - lo), n_words)
                 seen = np.bincount(in_doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0)
                 base = np.bincount(in_doc, weights=np.log10(c + 1) - cost, minlength=hi - lo) + np.log10(ends + 1) - cost
-                tree = np.bincount(doc, weights=logp[np.searchsorted(gram, mine)][place], minlength=hi - lo)
                 cols = [b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(n_words + 1, pa.int64()), pa.array(seen)]
                 cols += [pa.array(np.full(hi - lo, train, np.int64)), pa.array(base), pa.array(tree)]
                 out.append(pa.RecordBatch.from_arrays(cols, schema=scores))
-            del runs, grams, gram, logp, data, b
+            del gram, logp, word, count_of, data, b
         give_back()
         return pa.Table.from_batches(out, schema=scores)
 
