@@ -73,9 +73,92 @@ def test_risk_is_kept_from_going_negative():
     rng = np.random.default_rng(2)
     pos = rng.normal(1, 1, (200, 5)).astype(np.float32)
     unl = np.concatenate([rng.normal(1, 1, (160, 5)), rng.normal(-1, 1, (40, 5))]).astype(np.float32)
-    w, b = quality.fit_pu(pos, unl, 0.8)
-    assert quality.risk(pos @ w + b, unl @ w + b, 0.8)[1] > -0.05
-    assert (unl[160:] @ w + b < 0).mean() > 0.8 and (pos @ w + b > 0).mean() > 0.8
+    p, u = quality.Moments.of(pos), quality.Moments.of(unl)
+    w = quality.fit_pu(p, u, 0.8)
+    assert quality.risk(w, p, u, 0.8)[1] >= 0
+    # the classes part where the calibrated score does, as in predictions
+    z = unl @ w[:-1] + w[-1]
+    slope, shift = quality.calibrate(z, (np.arange(200) < 160).astype(int))
+    assert (slope * z[160:] + shift < 0).mean() > 0.8 and (slope * (pos @ w[:-1] + w[-1]) + shift > 0).mean() > 0.8
+    # the risk from moments is that of the rows
+    out = pos @ w[:-1] + w[-1]
+    assert quality.risk(w, p, u, 0.8)[0] == pytest.approx(0.8 * ((1 - out) ** 2 / 4).mean())
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_is_that_of_the_unlabelled(share):
+    """The labelled rows are half and half; the estimate follows the unlabelled ones."""
+    rng = np.random.default_rng(3)
+    pos, neg = rng.normal(0.3, 0.2, (900, 6)), rng.normal(0, 0.2, (900, 6))
+    unl = np.concatenate([rng.normal(0.3, 0.2, (int(8000 * share), 6)), rng.normal(0, 0.2, (int(8000 * (1 - share)), 6))])
+    assert quality.estimate_prior(*map(quality.Moments.of, (pos, neg, unl)), 0.5) == pytest.approx(share, abs=0.05)
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The whole computation again, text by text, without Spark's sums."""
+    import collections
+    import zlib
+
+    from factloom.llm.ngrams import hashed_counts
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["text"] for r in read_table(spark, sf, "documents").collect()}
+    labels = collections.defaultdict(list)
+    for r in read_table(spark, sf, "labels").collect():
+        if r["quality"] is not None and r["doc_id"] is not None:
+            labels[r["doc_id"]].append(r["quality"])
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d in rows}
+
+    def vector(text):
+        x, raw = np.zeros(1024), (text or "").encode()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for c in raw[i : i + n]:
+                    h = (h * 0x01000193 + c + 1) & 0xFFFFFFFF
+                x[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 22] += 1
+        return np.sqrt(x / max(x.sum(), 1))
+
+    x = {d: vector(t) for d, t in rows.items()}
+    known = [d for d in rows if d in labels and not held[d]]
+    y = np.array([min(labels[d]) for d in known])
+    one = np.array([x[d] for d in known])
+    unl = np.array([x[d] for d in rows if not held[d]])
+    m = {k: quality.Moments.of(v) for k, v in (("p", one[y > 0]), ("n", one[y == 0]), ("u", unl))}
+    w = quality.fit_pu(m["p"], m["u"], quality.estimate_prior(m["p"], m["n"], m["u"], 0.5))
+    slope, shift = quality.calibrate(one @ w[:-1] + w[-1], y)
+    for r in queries.op10_quality(spark, sf).collect():
+        z = slope * (x[r["doc_id"]] @ w[:-1] + w[-1]) + shift
+        assert r["held_out"] == held[r["doc_id"]] and r["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-3)
+
+
+def test_characters():
+    from factloom.llm.ngrams import characters
+
+    texts = ["Aé", "", "ŁÓ\U0001f600z", "ß中"]
+    raw = [t.encode() for t in texts]
+    point, cuts = characters(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    assert ["".join(map(chr, point[a:b])) for a, b in zip(cuts[:-1], cuts[1:])] == [t.lower() for t in texts]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_clashing_columns_and_without_rows(spark, name, stage):
+    """Columns named like a stage's own ones, null and repeated ids, null texts and sources, and empty tables."""
+    own = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, lang_pred string, epoch int, size int, component_id string, kept string, length string, row string, _runs string"
+    text = read_table(spark, SF, "documents").filter("lang = 'en' AND length(text) > 400").orderBy("doc_id").limit(60).select("doc_id", "text").collect()
+    fill = ("1", "2", "3", 4, 5, "6", "7", "8", "9", "0")
+    rows = [(r["doc_id"], r["text"], "en", "web" if r["doc_id"] % 3 else None, len(r["text"]), *fill) for r in text]
+    rows += [(None, text[0]["text"] + " more", "en", "web", 1, *fill), (text[1]["doc_id"], text[2]["text"] + " other words here", "en", "web", 1, *fill), (10**9, None, "en", "web", 1, *fill), (10**9 + 1, "", None, None, 1, *fill)]
+    df = spark.createDataFrame(rows, own)
+    for some in (df, df.limit(0)):
+        got = stage(spark, some, SF)
+        kept = got.collect()
+        if name != "pack":
+            assert got.columns == df.columns
+            assert all((r["score"], r["predicted"], r["lang_pred"], r["epoch"], r["row"]) == ("1", "2", "3", 4, "9") for r in kept)
+    assert not kept
+    if name == "near_dedup":
+        assert sum(r["doc_id"] is None for r in stage(spark, df, SF).collect()) == 1
 
 
 def plain_count(pieces, word):
