@@ -1,7 +1,7 @@
 """Operator 5: language of a text.
 
-Multinomial logistic regression on TF-IDF byte n-grams (one to three bytes of
-the lower-cased UTF-8 text, hashed), trained by follow-the-regularised-leader
+Multinomial logistic regression on TF-IDF character n-grams (one to three
+characters of the lower-cased text, hashed), trained by follow-the-regularised-leader
 with elastic-net penalties, so that weights that don't help stay exactly zero.
 Confidences are calibrated by a temperature fitted on texts kept from training.
 Document frequencies come from all learning texts; the weights from a bounded
@@ -86,10 +86,11 @@ def best_temperature(logits: np.ndarray, ys: np.ndarray) -> float:
 def learn(
     docs: DataFrame, per_lang: int = 800, bits: int = 14, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.05, epochs: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> LanguageModel | None:
-    """A model from rows with a language and a letter.
+    """A model from rows with a language and a text.
 
-    The weights come from about ``per_lang`` rows of each language, twice that
-    at most, chosen by a hash of id and text length. None without rows.
+    The weights come from about ``per_lang`` rows of each language, chosen by a
+    hash of id and text; of all languages together twice that at most, the first
+    by the hash. None without rows.
     """
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     size = 1 << bits
@@ -118,8 +119,8 @@ def learn(
     model = LanguageModel(sorted(langs), np.log((1 + total) / (1 + df)) + 1, np.zeros((size, len(langs))), np.zeros(len(langs)), 1.0, bits)
 
     share = F.create_map(*[F.lit(x) for k, n in langs.items() for x in (k, min(1.0, per_lang / n))])
-    drawn = F.pmod(F.xxhash64("_id", F.length("text"), F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    sample = rows.filter(drawn).limit(2 * per_lang * len(langs))
+    drawn = F.pmod(F.xxhash64("_id", "text", F.lit("langid")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    sample = rows.filter(drawn).orderBy(F.xxhash64("_id", "text"), "_id", "lang").limit(2 * per_lang * len(langs))
 
     def counted(b: pa.RecordBatch) -> pa.RecordBatch:
         both = [(at.astype(np.int32).tobytes(), n.astype(np.float32).tobytes()) for at, n in hashed_counts(b, bits, ORDERS, True)]
@@ -142,7 +143,7 @@ def learn(
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score. Texts that are null or have no letter: ``und``, score 0."""
+    """``docs`` with lang_pred and score (columns of these names are replaced). Texts that are null or have no letter: ``und``, score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits rows, one column for each language
 
     @F.pandas_udf("lang_pred string, score double")
@@ -157,7 +158,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
                     out[i] = m.predict(at, n)
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text).cast("string"))).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+    own = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*own, guess(F.col(text).cast("string")).alias("_guess")).select(*own, "_guess.lang_pred", "_guess.score")
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
