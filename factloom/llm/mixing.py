@@ -31,8 +31,8 @@ from factloom.llm.common import doc_runs, keyed_rows, map_arrow, text_column, wr
 WEIGHTS = (5, 2, 1)
 #: Sources are a dimension: their table is held by the driver. More than this many are refused.
 MAX_SOURCES = 1_000_000
-#: From this many slots a split is by share instead of drawn (numpy's draw ends there; the noise would be under 1e-4).
-DRAW_BELOW = 500_000_000
+#: Slots that numpy's hypergeometric draw takes in one call.
+DRAW_MOST = 500_000_000
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -88,6 +88,32 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """Good ones among ``draws`` of good + bad without replacement, at any size.
+
+    Above what one call of numpy takes, the draw is that of the normal
+    distribution with the same mean and variance, rounded and kept in range.
+    """
+    if good + bad < DRAW_MOST:
+        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
+    n = good + bad
+    p, left = good / n, n - draws
+    spread = (draws * p * (1 - p) * (left / (n - 1))) ** 0.5
+    return int(min(good, draws, max(0, draws - bad, round(draws * p + spread * rng.standard_normal()))))
+
+
+def split_draw(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
+    """How many of each source are among ``draws`` slots, drawn without replacement from ``counts``."""
+    if counts.sum() < DRAW_MOST:
+        return rng.multivariate_hypergeometric(counts, draws, method="marginals")
+    got, rest = np.zeros_like(counts), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        got[i] = hypergeometric(rng, c, rest, draws) if rest else draws
+        draws -= int(got[i])
+    return got
+
+
 def shard_draw(counts: np.ndarray, shards: int, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in one shard, and how many of each lie in the shards before it."""
     counts = np.asarray(counts, np.int64)
@@ -97,15 +123,8 @@ def shard_draw(counts: np.ndarray, shards: int, per_shard: int, shard: int, seed
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = min(total, mid * per_shard) - min(total, lo * per_shard)
-        here = int(counts.sum())
-        if here < DRAW_BELOW:
-            rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-            got = rng.multivariate_hypergeometric(counts, left, method="marginals")
-        else:
-            share = [int(c) * left for c in counts.tolist()]
-            got = np.array([s // here for s in share], np.int64)
-            rest = np.argsort([-(s % here) for s in share], kind="stable")[: left - int(got.sum())]
-            got[rest] += 1
+        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+        got = split_draw(rng, counts, left)
         if shard < mid:
             counts, hi = got, mid
         else:
@@ -120,7 +139,7 @@ def mix_spans(
     weights: tuple[int, ...] = WEIGHTS,
     seed: int = 7,
     slots_per_shard: int = 4096,
-    rows_per_task: int = 10_000,
+    rows_per_task: int = 2_000,
     doc_id: str = "doc_id",
     source: str = "source",
     text: str = "text",
@@ -149,7 +168,7 @@ def mix_spans(
     # at most MAX_SOURCES rows
     known = counted.join(F.broadcast(names), counted["source"].eqNullSafe(names["_name"])).drop("_name")
     salts = max(1, -(-max((int(r["n"]) for r in totals), default=1) // rows_per_task))
-    known = known.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_salt", F.pmod("_h", F.lit(salts)))
+    known = known.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("_salt", F.pmod(F.xxhash64("_h", "size"), F.lit(salts)))
     before = known.groupBy("source_no", "_salt").agg(F.sum("size").alias("_n"))
     before = before.select("source_no", "_salt", (F.sum("_n").over(Window.partitionBy("source_no").orderBy("_salt")) - F.col("_n")).alias("_before"))
     order = Window.partitionBy("source_no", "_salt").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -217,7 +236,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     keyed = keyed_rows(docs)
     spans, _ = mix_spans(keyed, doc_id="_key", **options)
     runs = spans.groupBy("doc_id", "epoch").agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_runs"))
-    joined = keyed.join(runs.withColumnRenamed("doc_id", "_key"), "_key")
+    # the whole row in one column, so that no column of the input clashes with one made here
+    whole = keyed.select("_key", F.struct(*docs.columns).alias("_row"))
+    joined = whole.join(runs.withColumnRenamed("doc_id", "_key"), "_key")
 
     @F.pandas_udf(T.StringType())
     def cut(text: pd.Series, taken: pd.Series) -> pd.Series:
@@ -239,4 +260,4 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
                 out.append(" ".join(bytes(raw[start[a] : end[z - 1]]).decode() for a, z in kept))
         return pd.Series(out)
 
-    return joined.withColumn("text", cut("text", "_runs")).select(*docs.columns)
+    return joined.select(*[cut(F.col("_row")["text"], "_runs").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
