@@ -19,12 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import give_back, written
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids binary"
+PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids binary, row long"
 #: Distinct words that a worker remembers before it starts anew.
 WORD_CACHE = 400_000
 
@@ -219,13 +220,14 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Ids of every text (null: empty) and ``end_id``, cut into pieces of at most ``capacity``."""
+    """Ids of every text (null: empty) and ``end_id``, cut into pieces of at most ``capacity``; ``row`` numbers the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _encoders:
             _encoders[tokenizer] = WordEncoder(tokenizer)
         encoder = _encoders[tokenizer]
         tail = np.array([end_id], encoder.width)
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
@@ -235,35 +237,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
                     ids = np.concatenate([ids, tail])
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity]
-                        rows.append((name, k, at, len(cut), cut.tobytes()))
+                        rows.append((name, k, at, len(cut), cut.tobytes(), row))
+                        row += 1
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                    names=["doc_id", "piece", "start", "length", "ids"],
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()))],
+                    names=["doc_id", "piece", "start", "length", "ids", "row"],
                 )
         give_back()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECE_SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, tokens_per_group: int = 1 << 23) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to pieces with a column ``length`` of 1..capacity.
+def pack_pieces(pieces: DataFrame, capacity: int, tokens_per_group: int = 1 << 23, rows_per_group: int = 1 << 16) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to pieces with ``length`` (1..capacity) and ``row`` (a number of their own); ``row`` goes.
 
     ``pieces`` must give the same rows each time it is read (a written table).
     Ranks are numbered within (length, salt). Each length has as many salts as
-    keep a group near ``tokens_per_group`` tokens, so that a length shared by a
+    keep a group near ``tokens_per_group`` tokens and ``rows_per_group`` rows, so that a length shared by a
     third of all rows is spread over many tasks. Empty input gives no rows;
     equal rows are packed one by one.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_runs(counts, capacity)
-    salts = spark.createDataFrame([(n, -(-n * m // tokens_per_group)) for n, m in counts.items()] or [], "length int, _salts long")
+    salts = spark.createDataFrame([(n, max(-(-n * m // tokens_per_group), -(-m // rows_per_group))) for n, m in counts.items()] or [], "length int, _salts long")
     # at most ``capacity`` rows
-    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_salts"))).drop("_salts")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("row"), F.col("_salts"))).drop("_salts")
     before = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    in_salt = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    in_salt = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "row")
     ranked = salted.withColumn("_rank", F.row_number().over(in_salt) - 1)
     ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before")
     # A run ends where a length or a level does: their number depends on the capacity alone.
@@ -277,7 +280,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, tokens_per_group: int = 1 << 2
         .drop(plan["length"])
         .withColumn("sequence_id", (F.col("_bin") + F.floor(at / F.col("_per"))).cast("long"))
         .withColumn("offset", (F.col("_base") + (at % F.col("_per")) * F.col("length")).cast("long"))
-        .drop("_salt", "_rank", "_lo", "_hi", "_bin", "_per", "_base")
+        .drop("row", "_salt", "_rank", "_lo", "_hi", "_bin", "_per", "_base")
     )
 
 
