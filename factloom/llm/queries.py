@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import langid, lm_scoring, media, mixing, near_dedup, packing, quality, sharding, token_counts, topk
-from factloom.llm.common import read_table
+from factloom.llm.common import read_table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,8 +54,8 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_media")
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as mu-law files, read back and described."""
-    files = media.read_media(media.encode_media(read_table(spark, sf_dir, "documents")))
+    """Texts as mu-law files, stored in the shared folder, read back and described."""
+    files = media.read_media(written(media.encode_media(read_table(spark, sf_dir, "documents")), "media"))
     n = F.length("payload")
     return files.select(
         "doc_id",
