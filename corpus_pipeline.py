@@ -17,26 +17,43 @@ from factloom.llm.queries import WORD_TOKENIZER
 SURE = 0.5
 
 
+def _with_input(docs: DataFrame) -> DataFrame:
+    """``text`` and the whole row beside it, so that no column of the input clashes with a verdict's."""
+    return docs.select(F.col("text"), F.struct(*docs.columns).alias("_row"))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts (score of 0.7 or more)."""
+    """Documents that the quality classifier accepts (score of 0.7 or more).
+
+    All columns stay as they are, whatever their names. Null texts are judged
+    as empty ones, repeated rows each; a null id learns in the fold of the empty
+    text. Without learning labels every score is 0.5 and nothing is kept; an
+    empty table gives no rows.
+    """
     labels = read_table(spark, sf_dir, "labels")
     learning = docs.filter(fold("doc_id", 4) != 2)
     model = quality.learn(learning, labels.filter(fold("doc_id", 4) != 2))
-    scored = docs.withColumn("_text", F.col("text"))
-    return quality.predict(scored, model, 0.7, "_text").filter("predicted = 1").select(*docs.columns)
+    return quality.predict(_with_input(docs), model, 0.7).filter("predicted = 1").select("_row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified with some confidence."""
+    """Documents whose language is identified with some confidence.
+
+    All columns stay as they are, whatever their names. Null texts and texts
+    without a letter go; repeated rows are judged each. Without learning rows
+    nothing is kept; an empty table gives no rows.
+    """
     model = langid.learn(docs.filter(fold("doc_id", 4) != 2))
-    guessed = langid.predict(docs, model)
-    return guessed.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select(*docs.columns)
+    guessed = langid.predict(_with_input(docs), model)
+    return guessed.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= SURE)).select("_row.*")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates (five words, 0.8), that of the smallest id.
 
-    Rows that repeat an id are judged each by its text; those of a null id stand alone and stay.
+    Rows that repeat an id are judged each by its text; of equal ones one stays, the first
+    by id and key. Rows of a null id stand alone and stay, as do empty and null texts. All
+    columns stay as they are; an empty table gives no rows.
     """
     keyed = keyed_rows(docs)
     named = keyed.filter("doc_id IS NOT NULL")
@@ -49,14 +66,22 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights 5, 2, 1, none above three times its size; a row for each document and pass.
 
-    ``n_chars`` becomes the length of the text that is left.
+    ``n_chars``, if there, becomes the length of the text that is left. Null sources are a
+    source of their own; rows of null and repeated ids are documents each; documents without
+    words go, since they take no part in a mix of words. An empty table gives no rows.
     """
     mixed = mixing.mix_documents(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return mixed.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens: the pieces of documents with their ids and places."""
+    """Sequences of 4096 tokens: the pieces of documents with their ids and places.
+
+    Null texts are the end id alone; repeated rows are packed as often as they occur; other
+    columns are not carried; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, WORD_TOKENIZER, capacity=4096, end_id=1)
 
 
