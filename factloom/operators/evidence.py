@@ -70,11 +70,18 @@ def train_val_test(rows: DataFrame, by: str, key: str, seed: int = 1) -> DataFra
     return rows.withColumn("_n", n).withColumn("_r", F.row_number().over(w)).withColumn("split", split).drop("_n", "_r")
 
 
-def page_flags(text: Column) -> dict[str, Column]:
-    """Short page, many special characters, much non-ASCII text."""
+#: Fixed value: characters other than these are special on a page.
+PLAIN_CHARACTERS = r"[^a-zA-Z0-9\s.,!?;:'-]"
+
+
+def page_flags(text: Column, page_number: Column | None = None, vocabulary: tuple[str, ...] = ()) -> dict[str, Column]:
+    """Short page, many special characters, much non-ASCII text; with a page's number also: no word of the vocabulary after page 5."""
     n = F.length(text)
-    return {
+    flags = {
         "short": n < 100,
-        "special": F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[^A-Za-z0-9\s.,;:]")), n) > 0.1, F.lit(False)),
+        "special": F.coalesce(F.try_divide(F.regexp_count(text, F.lit(PLAIN_CHARACTERS)), n) > 0.1, F.lit(False)),
         "non_ascii": F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[^\x00-\x7F]")), n) > 0.05, F.lit(False)),
     }
+    if page_number is not None:
+        flags["no_vocabulary"] = ~F.lower(text).rlike(r"\b(" + "|".join(vocabulary) + r")\b") & (page_number > 5)
+    return flags

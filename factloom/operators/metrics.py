@@ -43,14 +43,20 @@ def partition_metrics(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
 
 
 def class_metrics(rows: DataFrame, predicted: str, actual: str, levels: list[str]) -> DataFrame:
-    """One-vs-rest rates and support of each level; rows with null on either side count as wrong."""
+    """One-vs-rest rates and support of each level.
+
+    A rate leaves out the rows with null on its other side; support counts all
+    of the level. F1 is null where nothing of the level is found.
+    """
     per = F.explode(F.array(*[F.lit(x) for x in levels])).alias("level")
-    p, y = F.coalesce(F.col("_p") == F.col("level"), F.lit(False)), F.coalesce(F.col("_y") == F.col("level"), F.lit(False))
+    p, y = F.col("_p") == F.col("level"), F.col("_y") == F.col("level")
     counts = rows.select(F.col(predicted).alias("_p"), F.col(actual).alias("_y"), per).groupBy("level").agg(
-        F.count_if(p & y).alias("tp"), F.count_if(p).alias("called"), F.count_if(y).alias("support")
+        F.count_if(p & y).alias("tp"), F.count_if(p & F.col("_y").isNotNull()).alias("called"), F.count_if(y & F.col("_p").isNotNull()).alias("known"), F.count_if(y).alias("support")
     )
-    tp, called, support = F.col("tp"), F.col("called"), F.col("support")
-    return counts.select("level", ratio(tp, called).alias("precision"), ratio(tp, support).alias("recall"), ratio(2 * tp, called + support).alias("f1"), "support")
+    tp = F.col("tp")
+    rates = counts.select("level", "support", ratio(tp, F.col("called")).alias("precision"), ratio(tp, F.col("known")).alias("recall"))
+    f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
+    return rates.select("level", "precision", "recall", f1.alias("f1"), "support")
 
 
 def calibration_bins(rows: DataFrame, confidence: str, correct: str) -> DataFrame:

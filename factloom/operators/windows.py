@@ -55,11 +55,18 @@ def chunk_summary(chunks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     return chunks.groupBy(doc_id).agg(
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum("n_pages").alias("total_pages"),
+        F.sum("approx_tokens").alias("total_tokens"),
         F.avg("approx_tokens").alias("mean_tokens"),
         F.max("approx_tokens").alias("max_tokens"),
     )
 
 
+def worst_chunks(chunks: DataFrame, max_tokens: int, n: int = 5) -> DataFrame:
+    """The ``n`` largest chunks above the token limit."""
+    over = chunks.filter(F.col("approx_tokens") > max_tokens).orderBy(F.desc("approx_tokens"), "doc_id", "chunk_id").limit(n)
+    return over.select("doc_id", "chunk_id", "n_pages", "approx_tokens")
+
+
 def keyword_density(text: Column, keys: tuple[str, ...]) -> tuple[Column, Column, Column]:
     """Matches of whole keywords, words, and their ratio (0 without words)."""
     hits = F.regexp_count(F.lower(text), F.lit(r"\b(" + "|".join(keys) + r")\b")).cast("long")

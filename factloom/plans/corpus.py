@@ -61,7 +61,7 @@ def chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("chunk_summary", f"""WITH {CHUNKS_SQL}
-SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_pages) AS BIGINT) AS total_pages, round(avg(approx_tokens), 6) AS mean_tokens, max(approx_tokens) AS max_tokens FROM chunks GROUP BY doc_id""")
+SELECT doc_id, count(*) AS n_chunks, CAST(sum(n_pages) AS BIGINT) AS total_pages, CAST(sum(approx_tokens) AS BIGINT) AS total_tokens, round(avg(approx_tokens), 6) AS mean_tokens, max(approx_tokens) AS max_tokens FROM chunks GROUP BY doc_id""")
 def chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.chunk_summary(chunks_of(spark, sf_dir)).withColumn("mean_tokens", F.round("mean_tokens", 6))
 
@@ -133,7 +133,7 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("page_quality", """
-SELECT page_id, length(html) < 100 AS short, coalesce(len(regexp_extract_all(html, '[^A-Za-z0-9\\s.,;:]')) / nullif(length(html), 0) > 0.1, false) AS special,
+SELECT page_id, length(html) < 100 AS short, coalesce(len(regexp_extract_all(html, '[^a-zA-Z0-9\\s.,!?;:''-]')) / nullif(length(html), 0) > 0.1, false) AS special,
        coalesce(len(regexp_extract_all(html, '[^\\x00-\\x7F]')) / nullif(length(html), 0) > 0.05, false) AS non_ascii FROM pages""")
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = evidence.page_flags(F.col("html"))
