@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, map_arrow, partitions_for
+from factloom.llm.common import fold, give_back, map_arrow, partitions_for
 from factloom.llm.ngrams import hashed_counts
 
 ORDERS = (1, 2, 3)
@@ -151,6 +151,7 @@ def moments_of(texts: DataFrame, bits: int, part_bytes: int) -> Moments | None:
             task = TaskContext.get().partitionId()
             rows = [outer[k, k:].tobytes() for k in range(size)] + [total.tobytes(), np.array([n], float).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 2, dtype=np.int32)), pa.array([task] * (size + 2), pa.int32()), pa.array(rows, pa.binary())], names=["row", "task", "sums"])
+        give_back()
 
     def summed(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("task").to_numpy())  # the same sum in every run
@@ -215,8 +216,12 @@ def predict(docs: DataFrame, model: QualityModel | None, threshold: float = 0.7,
         m = shared.value
         if m is None or not len(texts):
             return pd.Series([0.5] * len(texts), dtype="float64")
-        batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.string())], names=["text"])
-        return pd.Series([m.score(at, n) for at, n in hashed_counts(batch, m.bits, ORDERS, False)])
+        out = []
+        for lo in range(0, len(texts), 256):  # copies of few texts at a time
+            batch = pa.RecordBatch.from_arrays([pa.array(list(texts.iloc[lo : lo + 256]), pa.string())], names=["text"])
+            out += [m.score(at, n) for at, n in hashed_counts(batch, m.bits, ORDERS, False)]
+        give_back()
+        return pd.Series(out)
 
     scored = docs.withColumn("score", score(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
