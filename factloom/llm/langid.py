@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fold, map_arrow
+from factloom.llm.common import fold, give_back, map_arrow
 from factloom.llm.ngrams import has_letter, hashed_counts
 
 UNKNOWN = "und"
@@ -105,6 +105,7 @@ def learn(
         at = np.flatnonzero(seen)
         keys = [pa.array([str(i) for i in at.tolist()] + list(langs), pa.string()), pa.array([0] * len(at) + [1] * len(langs), pa.int32())]
         yield pa.RecordBatch.from_arrays([*keys, pa.array(np.concatenate([seen[at], list(langs.values())]).astype(np.int64))], names=["key", "kind", "n"])
+        give_back()
 
     # 2^bits cells and the languages: a bounded table
     table = rows.select("text", "lang").mapInArrow(frequencies, "key string, kind int, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
@@ -152,10 +153,12 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: str = "text") ->
         out = [(UNKNOWN, 0.0)] * len(texts)
         if m is not None and len(texts):
             values = [None if t is None else t for t in texts]
-            batch = pa.RecordBatch.from_arrays([pa.array(values, pa.string())], names=["text"])
-            for i, (at, n) in enumerate(hashed_counts(batch, m.bits, ORDERS, True)):
-                if has_letter(values[i]):
-                    out[i] = m.predict(at, n)
+            for lo in range(0, len(values), 256):  # copies of few texts at a time
+                batch = pa.RecordBatch.from_arrays([pa.array(values[lo : lo + 256], pa.string())], names=["text"])
+                for i, (at, n) in enumerate(hashed_counts(batch, m.bits, ORDERS, True), lo):
+                    if has_letter(values[i]):
+                        out[i] = m.predict(at, n)
+            give_back()
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
