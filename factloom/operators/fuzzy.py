@@ -1,4 +1,4 @@
-"""Fuzzy alignment and single-linkage clusters of names."""
+"""Fuzzy alignment and single-linkage clusters of names."""
 
 from __future__ import annotations
 
@@ -28,11 +28,13 @@ def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, n
     return scored.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("similarity") >= least)).drop("_r")
 
 
-def similar_pairs(names: DataFrame, least: float, name: str = "name", year: str | None = None, window: int | None = None) -> DataFrame:
-    """Pairs (a < b) of distinct names with similarity >= ``least``; years within ``window``, never null."""
-    a = names.select(F.col(name).alias("a"), *([F.col(year).alias("ya")] if year else [])).distinct()
-    b = a.select(F.col("a").alias("b"), *([F.col("ya").alias("yb")] if year else []))
+def similar_pairs(names: DataFrame, least: float, name: str = "name", year: str | None = None, window: int | None = None, group: str | None = None) -> DataFrame:
+    """Pairs (a < b) of distinct names with similarity >= ``least``; years within ``window``, groups alike, neither null."""
+    a = names.select(F.col(name).alias("a"), *([F.col(year).alias("ya")] if year else []), *([F.col(group).alias("ga")] if group else [])).distinct()
+    b = a.select(F.col("a").alias("b"), *([F.col("ya").alias("yb")] if year else []), *([F.col("ga").alias("gb")] if group else []))
     on = (F.col("a") < F.col("b")) & may_reach(F.col("a"), F.col("b"), least)
+    if group:
+        on = on & (F.col("ga") == F.col("gb"))
     if year and window is not None:
         on = on & (F.abs(F.col("ya") - F.col("yb")) <= window)
     return a.join(b, on).withColumn("similarity", jaro(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
@@ -70,3 +72,26 @@ def name_clusters(names: DataFrame, least: float = 0.85, name: str = "name", yea
     w = Window.partitionBy("cluster_id").orderBy(F.length("v").desc(), "v")
     sized = Window.partitionBy("cluster_id")
     return members.select(F.col("v").alias("measure_name"), "cluster_id", F.first("v").over(w).alias("canonical_name"), F.count(F.lit(1)).over(sized).alias("n_members"))
+
+
+def scoped_clusters(pool: DataFrame, scope: str | None, name: str = "name", least: float = 0.85) -> DataFrame:
+    """Name clusters within each group of a scope (a column, such as the document or language; None is one joint group).
+
+    Cluster ids count from 1 in each group. Null names and groups are left out.
+    """
+    group = F.col(scope).cast("string") if scope else F.lit("joint")
+    names = pool.select(group.alias("scope_group"), F.col(name).alias("_name")).filter("scope_group IS NOT NULL AND _name IS NOT NULL").distinct()
+
+    def tagged(g: str, n: str):
+        # the group's length parts it from the name, whatever either holds
+        return F.concat(F.length(g).cast("string"), F.lit(":"), F.col(g), F.col(n))
+
+    pairs = similar_pairs(names, least, "_name", group="scope_group").select(tagged("ga", "a").alias("a"), tagged("ga", "b").alias("b"))
+    vertices = names.withColumn("_v", tagged("scope_group", "_name"))
+    labels = connected(vertices, pairs, "_v")
+    found = vertices.join(labels, F.col("_v") == F.col("v"))
+    own = Window.partitionBy("scope_group")
+    members = found.select("scope_group", "_name", F.dense_rank().over(own.orderBy("label")).alias("cluster_id"))
+    w = Window.partitionBy("scope_group", "cluster_id")
+    canonical = F.first("_name").over(w.orderBy(F.length("_name").desc(), "_name"))
+    return members.select("scope_group", F.col("_name").alias("measure_name"), "cluster_id", canonical.alias("canonical_name"), F.count(F.lit(1)).over(w).alias("n_members"))

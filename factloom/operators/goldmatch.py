@@ -1,4 +1,4 @@
-"""Clusters held against gold acts, with intervals by resampling of gold rows."""
+"""The gold act of each name."""
 
 from __future__ import annotations
 

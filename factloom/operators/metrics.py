@@ -24,19 +24,20 @@ def binary_metrics(rows: DataFrame, predicted: str, actual: str, *by: str) -> Da
     )
 
 
-def partition_metrics(rows: DataFrame, predicted: str, gold: str) -> DataFrame:
-    """Pair counts, pairwise rates, adjusted Rand index and purity from the contingency table."""
+def partition_metrics(rows: DataFrame, predicted: str, gold: str, *by: str) -> DataFrame:
+    """Pair counts, pairwise rates, adjusted Rand index and purity from the contingency table, for each ``by`` if given."""
     def pairs(n: Column) -> Column:
         return n * (n - 1) / 2
 
-    table = rows.groupBy(predicted, gold).agg(F.count(F.lit(1)).alias("n"))
-    both = table.agg(F.sum(pairs(F.col("n"))).alias("tp"), F.sum("n").alias("n"))
-    p = table.groupBy(predicted).agg(F.sum("n").alias("n"), F.max("n").alias("m")).agg(F.sum(pairs(F.col("n"))).alias("p"), F.sum("m").alias("pure"))
-    g = table.groupBy(gold).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias("g"))
+    table = rows.groupBy(*by, predicted, gold).agg(F.count(F.lit(1)).alias("n"))
+    both = table.groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("tp"), F.sum("n").alias("n"))
+    p = table.groupBy(*by, predicted).agg(F.sum("n").alias("n"), F.max("n").alias("m")).groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("p"), F.sum("m").alias("pure"))
+    g = table.groupBy(*by, gold).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs(F.col("n"))).alias("g"))
+    met = both.join(p, [*by]).join(g, [*by]) if by else both.crossJoin(p).crossJoin(g)  # one row each without ``by``
     tp, n = F.col("tp"), F.col("n")
     expected = ratio(F.col("p") * F.col("g"), pairs(n))
-    return both.crossJoin(p).crossJoin(g).select(
-        tp.cast("long").alias("tp_pairs"), (F.col("p") - tp).cast("long").alias("over_merge"), (F.col("g") - tp).cast("long").alias("under_merge"),
+    return met.select(
+        *by, tp.cast("long").alias("tp_pairs"), (F.col("p") - tp).cast("long").alias("over_merge"), (F.col("g") - tp).cast("long").alias("under_merge"),
         ratio(tp, F.col("p")).alias("precision"), ratio(tp, F.col("g")).alias("recall"), ratio(2 * tp, F.col("p") + F.col("g")).alias("f1"),
         ratio(tp - expected, (F.col("p") + F.col("g")) / 2 - expected).alias("ari"), ratio(F.col("pure"), n).alias("purity"),
     )

@@ -1,4 +1,4 @@
-"""Unit vectors and neighbour probes."""
+"""Unit vectors and class centres."""
 
 from __future__ import annotations
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import fuzzy, metrics, vectors
+from factloom.operators import fuzzy, metrics, neighbours, vectors
 from factloom.plans import register
 from factloom.plans.corpus import table
 
@@ -41,13 +41,19 @@ def match_with_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("name", "candidate", F.round("similarity", 9).alias("similarity"), F.when(F.col("similarity") >= 0.95, "exact").otherwise("fuzzy").alias("kind"))
 
 
-@register("name_pairs_band", f"""WITH {NAMES}
+@register("name_pairs_near", f"""WITH {NAMES}
 SELECT x.name AS a, y.name AS b, round(jaro_similarity(x.name, y.name), 9) AS similarity FROM n x JOIN n y ON x.name < y.name AND abs(x.year - y.year) <= 2
 WHERE jaro_similarity(x.name, y.name) >= 0.85""")
-def name_pairs_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+def name_pairs_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.similar_pairs(part_names(spark, sf_dir), 0.85, year="year", window=2).select("a", "b", F.round("similarity", 9).alias("similarity"))
 
 
+@register("name_pairs_band")
+def name_pairs_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Down to 0.8, where DuckDB's rounded Jaro differs; ``name_pairs_near`` has SQL from 0.85 on."""
+    return fuzzy.similar_pairs(part_names(spark, sf_dir), 0.8, year="year", window=2).select("a", "b", F.round("similarity", 9).alias("similarity"))
+
+
 CLUSTERS = f"""{NAMES},
 e AS (SELECT x.name AS a, y.name AS b FROM n x JOIN n y ON x.name <> y.name AND jaro_similarity(x.name, y.name) >= 0.85),
 r AS (SELECT name AS v, name AS u FROM n UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.u),
@@ -94,3 +100,39 @@ def vector_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (c.select(F.col("label").alias(f"label_{k}"), "pos", F.col("value").alias(k)) for k in "ab")
     both = a.join(b, "pos").filter("label_a < label_b").groupBy("label_a", "label_b")
     return both.agg(F.round(F.sum(F.col("a") * F.col("b")) / F.sqrt(F.sum(F.col("a") ** 2) * F.sum(F.col("b") ** 2)), 6).alias("cosine"))
+
+
+SCOPED = """n AS (SELECT DISTINCT p_brand AS g, p_name AS name FROM part),
+e AS (SELECT x.g, x.name AS a, y.name AS b FROM n x JOIN n y ON x.g = y.g AND x.name <> y.name AND jaro_similarity(x.name, y.name) >= 0.85),
+r AS (SELECT g, name AS v, name AS u FROM n UNION SELECT r.g, r.v, e.b FROM r JOIN e ON e.g = r.g AND e.a = r.u),
+l AS (SELECT g, v, min(u) AS label FROM r GROUP BY 1, 2), k AS (SELECT g, v, dense_rank() OVER (PARTITION BY g ORDER BY label) AS c FROM l)"""
+
+
+@register("scoped_clusters", f"""WITH RECURSIVE {SCOPED}
+SELECT g AS scope_group, v AS measure_name, CAST(c AS INTEGER) AS cluster_id, first_value(v) OVER (PARTITION BY g, c ORDER BY length(v) DESC, v) AS canonical_name, count(*) OVER (PARTITION BY g, c) AS n_members FROM k""")
+def scoped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy.scoped_clusters(table(spark, sf_dir, "part"), "p_brand", "p_name")
+
+
+def _probe_sql(measure: str, name: str, order: str, sign: str) -> str:
+    return f"""WITH e AS (SELECT vec_id AS k, CAST(label AS VARCHAR) AS l, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL),
+p AS (SELECT a.k, a.l, b.k AS ok, b.l AS ol, round({measure}(a.e, b.e), 12) AS c FROM e a JOIN e b ON a.k <> b.k),
+f AS (SELECT k, l, first(ol ORDER BY c {order}, ok) AS ol FROM p GROUP BY 1, 2), s AS (SELECT l FROM e GROUP BY 1 HAVING count(*) >= 2),
+m AS (SELECT median(c) FILTER (l = ol) AS w, median(c) FILTER (l <> ol) AS b FROM p WHERE k < ok)
+SELECT (SELECT round(avg(CAST(l = ol AS DOUBLE)), 9) FROM f WHERE l IN (SELECT l FROM s)) AS top1_nn_same_act_rate, round(w, 9) AS median_within_act_{name}, round(b, 9) AS median_between_act_{name}, round({sign} (w - b), 9) AS separation,
+ (SELECT count(*) FROM e) AS n_eval_names, (SELECT count(DISTINCT l) FROM e) AS n_eval_acts FROM m"""
+
+
+def _probe(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
+    got = neighbours.neighbour_probe(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", measure)
+    return got.select(*[c if c.startswith("n_") else F.round(c, 9).alias(c) for c in got.columns])
+
+
+@register("cosine_probe", _probe_sql("list_cosine_similarity", "cosine", "DESC", "+"))
+def cosine_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir, "cosine")
+
+
+@register("distance_probe", _probe_sql("list_distance", "distance", "ASC", "-"))
+def distance_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir, "euclidean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import evaluation
+from factloom.operators import evaluation, resampling
 from factloom.plans import register
 from factloom.plans.corpus import table
 from factloom.plans.scores import GUESS, JOINED, joined, rounded
@@ -60,3 +60,48 @@ def detector_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = joined(spark, sf_dir).select((~F.col("marks")).alias("says"), (F.least("n", F.lit(5000)) / 5000).alias("c"), (F.col("quality") == 1).alias("y"))
     return evaluation.evaluate_detector(rows, "says", "c", "y")
+
+
+ACTS = f"WITH {JOINED}, a AS (SELECT CASE WHEN n % 7 = 0 THEN NULL ELSE NOT marks END AS p, quality = 1 AS y, ['+', '-', '0', 'UNCLEAR'][n % 4 + 1] AS ps, ['+', '-'][doc_id % 2 + 1] AS ts, n FROM j)"
+
+
+def _acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.element_at(F.array(*[F.lit(x) for x in ("+", "-", "0", "UNCLEAR")]), (F.col("n") % 4 + 1).cast("int"))
+    called = F.when(F.col("n") % 7 != 0, ~F.col("marks"))
+    return joined(spark, sf_dir).select("doc_id", "n", called.alias("p"), (F.col("quality") == 1).alias("y"), sign.alias("ps"), F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-").alias("ts"))
+
+
+@register("act_evaluation", f"""{ACTS}, c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND y) AS fn, count(*) FILTER (p = y) AS ok, count(*) FILTER (p IS NOT NULL AND y IS NOT NULL) AS n,
+ count(*) FILTER (y) AS t, count(*) FILTER (y AND ps = ts AND ps <> 'UNCLEAR') AS s, count(*) FILTER (y AND p AND ps = ts AND ps <> 'UNCLEAR') AS sp FROM a)
+SELECT unnest(['exo_precision', 'exo_recall', 'exo_f1', 'exo_accuracy', 'sign_acc_on_true_exo', 'signed_exo_precision']) AS metric,
+ unnest([round(tp / nullif(tp + fp, 0), 9), round(tp / nullif(tp + fn, 0), 9), round(2 * tp / nullif(2 * tp + fp + fn, 0), 9), round(ok / nullif(n, 0), 9), round(s / nullif(t, 0), 9), round(sp / nullif(t, 0), 9)]) AS value FROM c""")
+def act_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point values of ``act_intervals``: the intervals are resampled by hashes that SQL does not have."""
+    return rounded(act_intervals(spark, sf_dir), "value").select("metric", "value")
+
+
+@register("act_intervals")
+def act_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.rate_intervals(_acts(spark, sf_dir), "doc_id", resampling.act_rates("p", "y", "ps", "ts"))
+
+
+@register("act_quality_flags", f"{ACTS} SELECT count(*) AS n_total, CAST(sum(n % 3) AS BIGINT) AS n_failures, count(*) FILTER (p IS NULL) AS n_na_exo, count(*) FILTER (ps IS NULL) AS n_na_pred_sign, count(*) FILTER (n % 4 = 3) AS n_na_pred_label FROM a")
+def act_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _acts(spark, sf_dir).withColumn("failures", F.col("n") % 3).withColumn("label", F.when(F.col("n") % 4 != 3, "x"))
+    return resampling.quality_flags(rows, "p", "ps", "label", "failures")
+
+
+@register("gold_intervals")
+def gold_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    return resampling.cluster_intervals(parts, parts, "p_name", "p_brand", "p_type", "p_partkey")
+
+
+@register("gate_intervals")
+def gate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("v"), (F.col("o_custkey") % 40).alias("c"), F.month("o_orderdate").alias("a"),
+        (F.col("o_totalprice") > 250000).alias("p"), (F.col("o_totalprice") > 200000).alias("np"), (F.col("o_orderkey") % 2 == 0).alias("y"),
+    )
+    acts = spark.range(1, 13).select(F.col("id").cast("int").alias("a"))
+    return resampling.gate_intervals(m, m, acts, "v", "c", "a", "p", "np", "y")

@@ -17,20 +17,10 @@ def midpoint_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), proxies.midpoint_quarter(F.to_date("o_orderdate")).alias("q"))
 
 
-@register("signed_proxy", """WITH a AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS q, CASE o_orderkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS s FROM orders WHERE o_orderkey % 11 = 0),
+@register("signed_proxy", """WITH a AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS q, CASE o_orderkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS s FROM orders),
 g AS (SELECT q, sum(s) AS s, count(*) AS n FROM a GROUP BY 1), e AS (SELECT CAST(unnest(range(min(q), max(q) + 1)) AS INTEGER) AS q FROM g)
 SELECT e.q, (e.q // 4) || '-Q' || (e.q % 4 + 1) AS label, CAST(sign(coalesce(s, 0)) AS INTEGER) AS z, coalesce(n, 0) AS n_acts FROM e LEFT JOIN g USING (q)""")
 def signed_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("o_orderkey") % 3
-    acts = table(spark, sf_dir, "orders").filter("o_orderkey % 11 = 0").select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("q"), F.when(m == 0, -1).when(m == 1, 1).otherwise(0).alias("s"))
-    return proxies.signed_proxy(acts, "q", "s")
-
-
-@register("signed_proxy_all", """WITH a AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INTEGER) AS q, CASE o_orderkey % 3 WHEN 0 THEN -1 WHEN 1 THEN 1 ELSE 0 END AS s FROM orders),
-g AS (SELECT q, sum(s) AS s, count(*) AS n FROM a GROUP BY 1), e AS (SELECT CAST(unnest(range(min(q), max(q) + 1)) AS INTEGER) AS q FROM g)
-SELECT e.q, (e.q // 4) || '-Q' || (e.q % 4 + 1) AS label, CAST(sign(coalesce(s, 0)) AS INTEGER) AS z, coalesce(n, 0) AS n_acts FROM e LEFT JOIN g USING (q)""")
-def signed_proxy_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signed series of all orders; ``signed_proxy`` and its SQL have one order in eleven."""
     m = F.col("o_orderkey") % 3
     acts = table(spark, sf_dir, "orders").select((F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("q"), F.when(m == 0, -1).when(m == 1, 1).otherwise(0).alias("s"))
     return proxies.signed_proxy(acts, "q", "s")

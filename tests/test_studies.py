@@ -76,5 +76,5 @@ def test_stream_of_documents_gives_the_windows_of_a_batch(spark, tmp_path):
 
 def test_all_orders_enter_the_signed_series(spark):
     sf = "/root/testdata/sf0.001"
-    n = plans.queries()["signed_proxy_all"](spark, sf).agg(F.sum("n_acts")).first()[0]
+    n = plans.queries()["signed_proxy"](spark, sf).agg(F.sum("n_acts")).first()[0]
     assert n == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderdate IS NOT NULL").count()
