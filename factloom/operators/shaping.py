@@ -1,4 +1,4 @@
-"""Merging, pasting, stamping and filtering of rows."""
+"""Merging, pasting, stamping and filtering of rows."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions.distance import jaro_similarity
+from factloom.functions.text import normalize_name_for_grouping, squish
+
 #: What stands between passages, and the characters a passage has more than.
 PASSAGE_BREAK, SHORT_PASSAGE = "\n\n---\n\n", 50
 
@@ -144,3 +147,65 @@ def grouped_passages(rows: DataFrame, by: str, threshold: float = 0.8) -> DataFr
         F.count(F.lit(1)).alias("n_chunks"), F.avg("confidence").alias("avg_confidence"), F.avg("agreement_rate").alias("avg_agreement_rate"),
     )
     return facts.join(combined_passages(rows, by, "passages_text", "ord", threshold), by)
+
+
+def snake_names(names: list[str]) -> list[str]:
+    """Column names in lower case with underscores; of names that become equal the second gets _2, and so on."""
+    out: list[str] = []
+    for name in names:
+        plain = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.replace("%", " percent ").replace("#", " number "))
+        plain = re.sub(r"[^a-z0-9]+", "_", plain.lower()).strip("_") or "x"
+        known = sum(1 for x in out if x == plain or re.fullmatch(re.escape(plain) + r"_\d+", x))
+        out.append(f"{plain}_{known + 1}" if plain in out else plain)
+    return out
+
+
+def clean_shocks(rows: DataFrame, act: str = "act_name") -> DataFrame:
+    """snake_case names, quarters (year and month) as the first of their month, act names squished, exogeneity and categories without white space.
+
+    A quarter that is no year and month becomes null.
+    """
+    named = rows.toDF(*snake_names(rows.columns))
+
+    def cleaned(c: str) -> Column:
+        if "quarter" in c:
+            return F.try_to_timestamp(F.col(c), F.lit("yyyy-MM")).cast("date").alias(c)
+        if c.endswith(("_exo", "_category")):
+            return F.regexp_replace(c, r"\s+", "").alias(c)
+        return squish(F.col(c)).alias(c) if c == act else F.col(c)
+
+    return named.select(*[cleaned(c) for c in named.columns])
+
+
+def kept_acts(names: list[str | None], texts: list[str | None], sizes: list[int], alike: float = 0.9, same_name: float = 0.8) -> list[bool]:
+    """C11: which acts stay: of two whose word sets have a Jaccard index of ``alike`` and names a similarity of ``same_name`` that of more chunks, of equal ones the earlier.
+
+    Each act is held against every earlier one that is still in, even after it
+    has gone itself. Texts without a word and null names are like no other.
+    """
+    words = [frozenset(w for w in re.split(r"\s+", (t or "").lower())) - {""} for t in texts]
+    stays = [True] * len(texts)
+    for i, own in enumerate(words):
+        for j in range(i):
+            small, large = sorted((len(own), len(words[j])))
+            if not stays[j] or not small or small / large < alike:
+                continue
+            both = len(own & words[j])
+            near = both / (small + large - both) >= alike
+            if near and names[i] is not None and names[j] is not None and jaro_similarity(names[i], names[j]) >= same_name:
+                stays[i if sizes[i] <= sizes[j] else j] = False
+    return stays
+
+
+def distinct_acts(rows: DataFrame, order: str, name: str, text: str, size: str) -> DataFrame:
+    """C11 on a gold list of acts, which one task reads in the order of ``order``: the rows of the acts that stay."""
+    listed = rows.select(F.lit(0).alias("_all"), F.col(order).alias("_o"), normalize_name_for_grouping(F.col(name)).alias("_n"), F.col(text).alias("_t"), F.col(size).cast("long").alias("_s"))
+    key = rows.schema[order].dataType.simpleString()
+
+    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_o")
+        names = [None if pd.isna(n) else n for n in frame["_n"]]
+        texts = [None if pd.isna(t) else t for t in frame["_t"]]
+        return frame.loc[kept_acts(names, texts, frame["_s"].fillna(0).tolist()), ["_o"]]
+
+    return rows.join(listed.groupBy("_all").applyInPandas(keep, f"_o {key}"), F.col(order) == F.col("_o"), "left_semi")

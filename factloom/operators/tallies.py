@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import year_in
 from factloom.operators.metrics import ratio
+from factloom.operators.shaping import language_of_id
 
 
 def name_pool(rows: DataFrame, name: str, *keep: str) -> DataFrame:
@@ -184,3 +185,29 @@ def frequency_tradeoff(rows: DataFrame, key: str, size: str, matched: str) -> Da
     down = Window.orderBy(F.desc(size)).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.orderBy(size).rowsBetween(Window.unboundedPreceding, 0)
     return sizes.select(size, "n_items", F.sum(F.col("n_items") - F.col("_hit")).over(down).alias("false_positives"), F.sum("_hit").over(up).alias("false_negatives"))
+
+
+def document_compression(members: DataFrame, group: str, measure: str, cluster: str) -> DataFrame:
+    """Names, clusters and names a cluster of the documents of each year and language; cluster ids are told apart within a language and year, as their documents are."""
+    year = F.regexp_extract(group, r"\d{4}", 0)
+    keyed = members.select(F.nullif(year, F.lit("")).cast("int").alias("year"), language_of_id(F.col(group)).alias("doc_language"), measure, cluster)
+    counts = keyed.groupBy("year", "doc_language").agg(F.countDistinct(measure).alias("n_measures"), F.countDistinct(cluster).alias("n_acts"))
+    return counts.withColumn("compression", F.col("n_measures") / F.greatest("n_acts", F.lit(1)))
+
+
+def consistency_tallies(members: DataFrame, inventory: DataFrame, joint: DataFrame, pool: DataFrame) -> dict[str, DataFrame]:
+    """Compression by document, counts, labels and years of acts by side, and clusters that join both languages.
+
+    Null exogeneity is in neither count; acts without a year are in no year.
+    Names that the pool does not know have no language.
+    """
+    exo = F.col("pred_exogenous")
+    sides = inventory.groupBy("side")
+    known = joint.select("cluster_id", "measure_name").distinct().join(pool.select("measure_name", "doc_language").distinct(), "measure_name", "left")
+    return {
+        "per_doc": document_compression(members, "scope_group", "measure_name", "cluster_id"),
+        "counts": sides.agg(F.count(F.lit(1)).alias("n_acts"), F.count_if(exo).alias("n_exogenous"), F.count_if(~exo).alias("n_endogenous")),
+        "labels": inventory.groupBy("side", "pred_label").agg(F.count(F.lit(1)).alias("n")),
+        "act_years": inventory.filter("act_name_year IS NOT NULL").groupBy("side", "act_name_year").agg(F.count(F.lit(1)).alias("n")),
+        "joint": language_merge(known, "cluster_id", "doc_language", "en", "bm"),
+    }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import text as X
-from factloom.operators import evidence, shaping, windows
+from factloom.operators import evidence, shaping, tallies, windows
 from factloom.plans import register
 from factloom.plans.corpus import CHUNKS_SQL, chunks_of, table
 
@@ -116,3 +116,30 @@ def suspicious_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def combined_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of a conversation without those near another one."""
     return shaping.combined_passages(table(spark, sf_dir, "conversations"), "conv_id", "text", "turn")
+
+
+@register("cleaned_shocks", """SELECT o_orderkey AS order_key, trim(regexp_replace(' ' || o_orderpriority || '  x ', '\\s+', ' ', 'g')) AS act_name, CAST(date_trunc('month', CAST(o_orderdate AS DATE)) AS DATE) AS change_quarter, replace(o_orderpriority, ' ', '') AS present_category FROM orders""")
+def cleaned_shocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("OrderKey"), F.concat(F.lit(" "), "o_orderpriority", F.lit("  x ")).alias("Act Name"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("Change Quarter"), F.col("o_orderpriority").alias("Present Category"),
+    )
+    return shaping.clean_shocks(rows)
+
+
+@register("distinct_acts")
+def distinct_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as a gold list of acts: those of one nation share their words."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("act of nation "), F.col("s_nationkey").cast("string")).alias("passages_text"), (F.col("s_suppkey") % 5).alias("n_chunks"))
+    return shaping.distinct_acts(rows, "s_suppkey", "s_name", "passages_text", "n_chunks")
+
+
+PER_DOC = """SELECT CAST(year(CAST(o_orderdate AS DATE)) AS INTEGER) AS year, CASE WHEN o_orderstatus = 'F' THEN 'bm' ELSE 'en' END AS doc_language, count(DISTINCT o_custkey) AS n_measures, count(DISTINCT o_custkey % 40) AS n_acts,
+ round(count(DISTINCT o_custkey) / greatest(count(DISTINCT o_custkey % 40), 1), 9) AS compression FROM orders GROUP BY 1, 2"""
+
+
+@register("document_compression", PER_DOC)
+def document_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = F.concat(F.lit("er-"), F.year("o_orderdate").cast("string"), F.when(F.col("o_orderstatus") == "F", "-BM").otherwise(""))
+    rows = table(spark, sf_dir, "orders").select(group.alias("g"), "o_custkey", (F.col("o_custkey") % 40).alias("c"))
+    return tallies.document_compression(rows, "g", "o_custkey", "c").withColumn("compression", F.round("compression", 9))
