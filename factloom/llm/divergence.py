@@ -1,16 +1,18 @@
 """Operator 12: how far the sources of a language are from it and from each other.
 
-Two passes over the texts, cut into blocks once. The first counts in how many
-documents each term of a block occurs; summed, that gives each language's kept
-terms. The second searches each block for those kept terms that it holds, by an
-automaton over terms padded with their delimiters, and counts occurrences. The
-automaton of a block is bounded by the block, not by the vocabulary. Counts
+Two passes over the texts, dealt once into blocks of one language and source.
+The first counts in how many documents each term of a block occurs; summed, that
+gives each language's kept terms. The second searches each block for those kept
+terms that it holds, by an automaton over terms padded with their delimiters,
+and counts occurrences. The automaton of a block is bounded by the block, not by
+the vocabulary. Counts
 summed by source are sparse postings; a term that a source lacks has the same
 share as all others that it lacks, so pairs need the postings only.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -18,17 +20,20 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import give_back, written
+from factloom.llm.common import give_back, shared_dir, written
 from factloom.llm.terms import LETTER_TABLE, plain
 
 #: Fixed value: shares are counted in billionths.
 UNIT = 1_000_000_000
-#: Bytes of texts of a block; a longer text is a block of its own.
+#: Bytes of texts of a block, about; a longer text stays whole.
 BLOCK = 16 << 20
+#: Spark's own limit of buckets.
+MOST_BUCKETS = 100_000
+#: Rows that a task hands on at a time.
+ROWS = 100_000
 #: Postings that are compared in one group, about.
 PER_GROUP = 65_536
 #: Parts that the sources of one language are dealt to, where they meet each other.
@@ -36,68 +41,66 @@ SALTS = 16
 #: Pairs of postings held at a time.
 AT_ONCE = 1 << 20
 
-_LAID = pa.schema([("block", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("body", pa.binary())])
-_HELD = pa.schema([("block", pa.string()), ("lang", pa.string()), ("term", pa.string()), ("docs", pa.int64())])
+BLOCK_KEY = ["lang", "source", "salt"]
+_HELD = pa.schema([("lang", pa.string()), ("source", pa.string()), ("salt", pa.int32()), ("term", pa.string()), ("docs", pa.int64())])
 _COUNTED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 _PAIRED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("shared", pa.int64())])
 
 
-def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as plain terms, with the number of their block: about ``BLOCK`` bytes of one task's input."""
-    part, k, filled = TaskContext.get().partitionId(), 0, 0
-    for b in batches:
-        blocks, bodies = [], []
-        for text in b.column("text"):
-            body = plain(text.as_py(), LETTER_TABLE)
-            if filled and filled + len(body) > BLOCK:
-                k, filled = k + 1, 0
-            filled += len(body) + 1
-            blocks.append(f"{part}-{k}")
-            bodies.append(body)
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.string()), b.column("lang"), b.column("source"), pa.array(bodies, pa.binary())], schema=_LAID)
-    give_back()
+def lay_out(texts: DataFrame) -> DataFrame:
+    """Texts in blocks of about ``BLOCK`` bytes of one language and source, as a table bucketed and sorted by block.
+
+    A group of many bytes is dealt over many blocks row by row, whatever its
+    rows are. Both passes read the buckets where they lie.
+    """
+    spark = texts.sparkSession
+    groups = written(texts.groupBy("lang", "source").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / BLOCK).cast("int").alias("_salts")), "audit-sizes")
+    blocks = groups.agg(F.sum("_salts").alias("n")).first()["n"] or 1
+    dealt = texts.withColumn("_row", F.monotonically_increasing_id()).join(groups, ["lang", "source"]).select("lang", "source", F.pmod("_row", "_salts").cast("int").alias("salt"), "text")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, blocks))
+    name = f"audit_texts_{uuid.uuid4().hex}"
+    put = dealt.repartition(buckets, *BLOCK_KEY).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
+    put.bucketBy(buckets, *BLOCK_KEY).sortBy(*BLOCK_KEY).saveAsTable(name)
+    return spark.table(name)
 
 
 def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: documents of each term of a block and language (a block that two tasks read gives rows in both)."""
-    here: str | None = None
-    found: dict[str, Counter] = {}
+    """First pass: documents of each term of a block (a block that two tasks read gives rows in both)."""
+    here: tuple | None = None
+    found: Counter = Counter()
 
     def rows() -> Iterator[pa.RecordBatch]:
-        for lang, counts in found.items():
-            terms = [t.decode() for t in counts]
-            n = len(terms)
-            yield pa.RecordBatch.from_arrays([pa.array([here] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array(terms, pa.string()), pa.array(counts.values(), pa.int64())], schema=_HELD)
+        terms = list(found)
+        for lo in range(0, len(terms), ROWS):
+            part = terms[lo : lo + ROWS]
+            columns = [*([x] * len(part) for x in here), [t.decode() for t in part], [found[t] for t in part]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HELD)], schema=_HELD)
 
     for b in batches:
-        for block, lang, body in zip(b.column("block").to_pylist(), b.column("lang").to_pylist(), b.column("body")):
-            if block != here:
+        for *block, text in zip(*(b.column(c).to_pylist() for c in BLOCK_KEY), b.column("text")):
+            if (block := tuple(block)) != here:
                 yield from rows()
-                here, found = block, {}
-            found.setdefault(lang, Counter()).update(set(body.as_py().split()))
+                here, found = block, Counter()
+            found.update(set(plain(text.as_py(), LETTER_TABLE).split()))
     yield from rows()
     give_back()
 
 
-def _occurrences(texts: pa.Table, kept: pa.Table) -> pa.Table:
-    """Second pass: occurrences of the kept terms in the texts of a block and language, by source."""
-    out: list[list] = [[], [], [], []]
+def _occurrences(key: tuple, texts: pa.Table, kept: pa.Table) -> pa.Table:
+    """Second pass: occurrences of the kept terms in the texts of a block."""
     terms = kept.column("term").to_pylist()
-    if terms and len(texts):
-        lang = texts.column("lang")[0].as_py()
+    counts: Counter = Counter()
+    if terms:
         automaton = ahocorasick.Automaton()
-        for term in terms:
-            automaton.add_word(f" {term} ", term)
+        for i, term in enumerate(terms):
+            automaton.add_word(f" {term} ", i)
         automaton.make_automaton()
-        bodies: dict[str, list[bytes]] = {}
-        for source, body in zip(texts.column("source").to_pylist(), texts.column("body")):
-            bodies.setdefault(source, []).append(body.as_py())
-        for source, parts in bodies.items():
+        for text in texts.column("text"):
             # neighbours share the delimiter between them: matches overlap there and are all found
-            counts = Counter(map(itemgetter(1), automaton.iter(f" {b' '.join(parts).decode()} ")))
-            for column, values in zip(out, ([lang] * len(counts), [source] * len(counts), counts, counts.values())):
-                column.extend(values)
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, _COUNTED)], schema=_COUNTED)
+            counts.update(map(itemgetter(1), automaton.iter(f" {plain(text.as_py(), LETTER_TABLE).decode()} ")))
+    columns = [[key[0].as_py()] * len(counts), [key[1].as_py()] * len(counts), [terms[i] for i in counts], list(counts.values())]
+    give_back()
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTED)], schema=_COUNTED)
 
 
 def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -169,20 +172,18 @@ def audit_sources(docs: DataFrame, least_docs: int = 3, most_terms: int = 200) -
     Every row is a document, whatever its id, so repeated rows count each; null
     texts, languages and sources are empty strings. A group without terms has
     pairs all the same; a language that keeps nothing has values of 0. An empty
-    table gives no rows. Other columns are not read. A very long text is a block
-    of its own and costs its task a few times its size.
+    table gives no rows. Other columns are not read. A very long text stays whole and
+    costs its task a few times its size.
     """
-    spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    laid = written(texts.mapInArrow(_lay_out, "block string, lang string, source string, body binary"), "audit-texts")
-    held = written(laid.select("block", "lang", "body").mapInArrow(_documents_with, "block string, lang string, term string, docs long"), "audit-terms")
-    kept = written(held.groupBy("lang", "term").agg(F.sum("docs").alias("_n")).filter(F.col("_n") >= least_docs).select("lang", "term"), "audit-kept")
-    wanted = held.join(kept, ["lang", "term"], "left_semi").select("block", "lang", "term")
-    key = ["block", "lang"]
-    counted = laid.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(_occurrences, "lang string, source string, term string, n long")
+    laid = lay_out(texts)
+    held = laid.mapInArrow(_documents_with, "lang string, source string, salt int, term string, docs long")
+    in_lang = F.sum("docs").over(Window.partitionBy("lang", "term"))
+    kept = held.withColumn("_n", in_lang).filter(F.col("_n") >= least_docs).select(*BLOCK_KEY, "term")
+    counted = laid.groupBy(*BLOCK_KEY).cogroup(kept.groupBy(*BLOCK_KEY)).applyInArrow(_occurrences, "lang string, source string, term string, n long")
     postings = written(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")), "audit-postings")
 
-    vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"))
+    vocabulary = postings.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("vocab"))
     totals = postings.groupBy("lang", "source").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("present"))
     groups = laid.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(vocabulary, "lang", "left").na.fill(0, ["held", "present", "vocab"])
     groups = written(groups.select("*", _share(F.lit(0), F.col("held") + F.col("vocab")).alias("p0")), "audit-groups")
