@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.llm import draws
 from factloom.llm import textbytes as tb
 from factloom.llm.common import doc_runs, keyed_rows, map_arrow, text_column, written
 
@@ -31,8 +32,6 @@ from factloom.llm.common import doc_runs, keyed_rows, map_arrow, text_column, wr
 WEIGHTS = (5, 2, 1)
 #: Sources are a dimension: their table is held by the driver. More than this many are refused.
 MAX_SOURCES = 1_000_000
-#: Slots that numpy's hypergeometric draw takes in one call.
-DRAW_MOST = 500_000_000
 
 
 def word_counts(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -88,34 +87,12 @@ def permuted(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """Good ones among ``draws`` of good + bad without replacement, at any size.
+def shard_draw(counts: np.ndarray, shards: int, per_shard: int, shard: int, seed: int, known: dict[tuple[int, int], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of each source in one shard, and how many of each lie in the shards before it.
 
-    Above what one call of numpy takes, the draw is that of the normal
-    distribution with the same mean and variance, rounded and kept in range.
+    ``known`` keeps the draws of large ranges, which are dear and which the
+    shards of a task have in common.
     """
-    if good + bad < DRAW_MOST:
-        return int(rng.hypergeometric(good, bad, draws)) if draws else 0
-    n = good + bad
-    p, left = good / n, n - draws
-    spread = (draws * p * (1 - p) * (left / (n - 1))) ** 0.5
-    return int(min(good, draws, max(0, draws - bad, round(draws * p + spread * rng.standard_normal()))))
-
-
-def split_draw(rng: np.random.Generator, counts: np.ndarray, draws: int) -> np.ndarray:
-    """How many of each source are among ``draws`` slots, drawn without replacement from ``counts``."""
-    if counts.sum() < DRAW_MOST:
-        return rng.multivariate_hypergeometric(counts, draws, method="marginals")
-    got, rest = np.zeros_like(counts), int(counts.sum())
-    for i, c in enumerate(counts.tolist()):
-        rest -= c
-        got[i] = hypergeometric(rng, c, rest, draws) if rest else draws
-        draws -= int(got[i])
-    return got
-
-
-def shard_draw(counts: np.ndarray, shards: int, per_shard: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of each source in one shard, and how many of each lie in the shards before it."""
     counts = np.asarray(counts, np.int64)
     total = int(counts.sum())
     before = np.zeros_like(counts)
@@ -123,8 +100,11 @@ def shard_draw(counts: np.ndarray, shards: int, per_shard: int, shard: int, seed
     while hi - lo > 1:
         mid = (lo + hi) // 2
         left = min(total, mid * per_shard) - min(total, lo * per_shard)
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
-        got = split_draw(rng, counts, left)
+        got = known.get((lo, hi)) if known is not None else None
+        if got is None:
+            got = draws.split_draw(np.random.Generator(np.random.PCG64([seed, lo, hi])), counts, left)
+            if known is not None and (hi - lo) * per_shard >= draws.NUMPY_LIMIT:
+                known[lo, hi] = got
         if shard < mid:
             counts, hi = got, mid
         else:
@@ -184,9 +164,10 @@ def mix_spans(
     table = {"whole": np.array(whole or [0]), "spe": np.array(spe or [0]), "epochs": np.array(epochs or [0]), "rest": np.array(rest or [0]), "tail": np.array([s % block_words for s in sizes] or [0])}
 
     def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple[int, int], np.ndarray] = {}
         for f in frames:
             for shard in f["id"].tolist():
-                n, start = shard_draw(slots, shards, slots_per_shard, shard, seed)
+                n, start = shard_draw(slots, shards, slots_per_shard, shard, seed, known)
                 if not n.sum():
                     continue
                 no = np.repeat(np.arange(len(n)), n)

@@ -1,6 +1,7 @@
 """Packing, mixing, sharding, media and exact search against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from factloom.llm import media, mixing, packing, queries, sharding, topk
+from factloom.llm import draws, media, mixing, packing, queries, sharding, topk
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, source string, extra string, shard int, length string"
@@ -119,6 +120,64 @@ def test_shard_draws_add_up():
     assert (seen == counts).all()
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(5, 7, 4), (30, 10, 25), (100, 300, 50), (3, 200, 150), (40, 40, 40), (1, 1, 1), (10, 3, 12), (6, 0, 4), (0, 6, 4), (7, 9, 16), (7, 9, 0)])
+def test_rejection_has_the_law_of_the_draw(good, bad, n):
+    rng, rounds = np.random.default_rng(good + 7 * n), 3000
+    low, high = max(0, n - bad), min(good, n)
+    law = [math.comb(good, k) * math.comb(bad, n - k) / math.comb(good + bad, n) for k in range(low, high + 1)]
+    seen = np.bincount([draws.by_rejection(rng, good, bad, n) - low for _ in range(rounds)], minlength=len(law))
+    assert len(seen) == len(law)
+    often = [(x, p * rounds) for x, p in zip(seen, law) if p * rounds > 5]
+    assert sum((x - e) ** 2 / e for x, e in often) < len(often) + 5 * math.sqrt(2 * len(often)) + 5
+
+
+def test_draws_beyond_numpys_limit():
+    rng = np.random.default_rng(3)
+    good, bad, n = 3 * 10**12, 7 * 10**12, 2 * 10**12
+    spread = math.sqrt(n * 0.3 * 0.7 * (good + bad - n) / (good + bad - 1))
+    z = (np.array([draws.hypergeometric(rng, good, bad, n) for _ in range(1500)]) - n * 0.3) / spread
+    assert abs(z.mean()) < 0.12 and abs(z.var() - 1) < 0.2 and abs((z**4).mean() - 3) < 0.9
+    counts = np.array([10**11, 0, 5, 4 * 10**10])
+    got = draws.split_draw(rng, counts, 10**10)
+    assert got.sum() == 10**10 and (got >= 0).all() and (got <= counts).all()
+
+
+def test_large_ranges_are_drawn_once_for_a_task(monkeypatch):
+    monkeypatch.setattr(draws, "NUMPY_LIMIT", 500)
+    counts = np.array([1000, 37, 0, 412])
+    known, seen = {}, np.zeros(4, int)
+    for s in range(15):
+        n, before = mixing.shard_draw(counts, 15, 100, s, 3, known)
+        fresh, _ = mixing.shard_draw(counts, 15, 100, s, 3)
+        assert (n == fresh).all() and (before == seen).all()
+        seen += n
+    assert (seen == counts).all() and 0 < len(known) < 8
+
+
+def test_every_pass_takes_each_block_once(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(7 + 13 * (i % 9))), "abc"[i % 3] if i % 3 < 2 or i < 12 else "c") for i in range(60)]
+    spans, laid = mixing.mix_spans(docs(spark, rows), block_words=16, slots_per_shard=8)
+    place = {(r["source_no"], r["at"]): r for r in laid.collect()}
+    sizes, taken = {}, {}
+    for (s, at), r in sorted(place.items()):
+        assert at == sizes.get(s, 0)  # documents of a source lie one after another
+        sizes[s] = at + r["size"]
+        taken[s] = r["target"]
+    words = {}
+    for r in spans.collect():
+        at, first, n = r["at"], r["first_word"], r["n_words"]
+        assert 0 <= first and n > 0 and first + n <= place[r["source_no"], at]["size"]
+        assert (at + first) // 16 == (at + first + n - 1) // 16 == r["block"]
+        for w in range(at + first, at + first + n):
+            words.setdefault((r["source_no"], r["epoch"]), []).append(w)
+    for (s, epoch), found in words.items():
+        assert len(found) == len(set(found))  # no word twice in a pass
+        if epoch < round(taken[s]) // sizes[s]:
+            assert len(found) == sizes[s]
+    for s, n in sizes.items():
+        assert sum(len(f) for (t, _), f in words.items() if t == s) == min(round(taken[s]), 3 * n)
+
+
 def test_mix_query(spark):
     rows = queries.op4_mix(spark, SF).collect()
     again = queries.op4_mix(spark, SF).collect()
