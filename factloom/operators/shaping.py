@@ -91,20 +91,8 @@ def export_rows(rows: DataFrame, columns: list[str], *order: str) -> DataFrame:
     return rows.orderBy(*[F.col(c).asc_nulls_last() for c in order]).select(*columns)
 
 
-def distinct_passages(passages: list[str | None], threshold: float = 0.8) -> str:
-    """Passages of one act without those near another one, joined.
-
-    Longer passages than ``SHORT_PASSAGE`` take part, in their order. Each is
-    held against every earlier one that is still in; of two whose word sets
-    have a Jaccard index of ``threshold`` the shorter goes, of equal lengths the
-    later. A passage that goes is still held against the rest. If none is long
-    enough, all are joined as they are. Nulls are left out.
-    """
-    whole = [p for p in passages if p is not None]
-    parts = [q.strip() for p in whole for q in p.split(PASSAGE_BREAK)]
-    parts = [p for p in parts if len(p) > SHORT_PASSAGE]
-    if not parts:
-        return "\n\n".join(whole)
+def apart(parts: list[str], threshold: float) -> list[int]:
+    """Places of the texts that stay when each is held against every earlier one that is still in, as C10 does."""
     words = [frozenset(re.split(r"\s+", p.lower())) for p in parts]
     kept: dict[int, None] = {}
     for i, own in enumerate(words):
@@ -121,7 +109,24 @@ def distinct_passages(passages: list[str | None], threshold: float = 0.8) -> str
                     del kept[j]
         if stays:
             kept[i] = None
-    return PASSAGE_BREAK.join(parts[i] for i in sorted(kept))
+    return sorted(kept)
+
+
+def distinct_passages(passages: list[str | None], threshold: float = 0.8) -> str:
+    """Passages of one act without those near another one, joined.
+
+    Longer passages than ``SHORT_PASSAGE`` take part, in their order. Each is
+    held against every earlier one that is still in; of two whose word sets
+    have a Jaccard index of ``threshold`` the shorter goes, of equal lengths the
+    later. A passage that goes is still held against the rest. If none is long
+    enough, all are joined as they are. Nulls are left out.
+    """
+    whole = [p for p in passages if p is not None]
+    parts = [q.strip() for p in whole for q in p.split(PASSAGE_BREAK)]
+    parts = [p for p in parts if len(p) > SHORT_PASSAGE]
+    if not parts:
+        return "\n\n".join(whole)
+    return PASSAGE_BREAK.join(parts[i] for i in apart(parts, threshold))
 
 
 def combined_passages(rows: DataFrame, by: str, text: str, order: str, threshold: float = 0.8) -> DataFrame:
