@@ -41,9 +41,3 @@ def jaro(a: Column, b: Column) -> Column:
         return pd.Series([None if p is None or q is None else jaro_similarity(p, q) for p, q in zip(x, y)], dtype="float64")
 
     return udf(a, b)
-
-
-def may_reach(a: Column, b: Column, least: float) -> Column:
-    """Necessary for similarity >= ``least``: (2 + shorter / longer) / 3 is an upper bound."""
-    lo, hi = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    return (F.lit(2.0) + F.coalesce(F.try_divide(lo, hi), F.lit(1.0))) / 3 >= F.lit(least) - 1e-12

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.distance import jaro, may_reach
+from factloom.functions.distance import jaro
+from factloom.operators import letters
+from factloom.storage import written
 
 
 def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, name: str = "name", candidate: str = "candidate", bonus_years: tuple[str, str] | None = None) -> DataFrame:
@@ -15,11 +15,15 @@ def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, n
 
     Ties go to the smaller candidate. ``bonus_years`` names year columns of
     both sides: candidates within a year get 0.05 in the choice, not in the
-    comparison with ``least``. Both sides are gold-size name lists; the length
-    bound cuts pairs before the UDF.
+    comparison with ``least``. Only pairs with enough letters in common are
+    compared; they are found by an equality join.
     """
-    met = names.join(candidates, may_reach(F.col(name), F.col(candidate), least - (0.05 if bonus_years else 0.0)))
-    scored = met.withColumn("similarity", jaro(F.col(name), F.col(candidate)))
+    low = least - (0.05 if bonus_years else 0.0)
+    index = written(letters.indexed(names.select(F.col(name).alias("_x")).unionByName(candidates.select(F.col(candidate).alias("_x"))), "_x"), "letters")
+    mine = index.join(names.select(F.col(name).alias("_x")).distinct(), F.col("_name") == F.col("_x"), "left_semi")
+    theirs = index.join(candidates.select(F.col(candidate).alias("_x")).distinct(), F.col("_name") == F.col("_x"), "left_semi")
+    pairs = letters.candidates(mine, theirs, low).toDF("_a", "_b").withColumn("similarity", jaro(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= low)
+    scored = names.join(pairs, F.col(name) == F.col("_a")).join(candidates, F.col("_b") == F.col(candidate)).drop("_a", "_b")
     rank = F.col("similarity")
     if bonus_years:
         near = F.abs(F.col(bonus_years[0]) - F.col(bonus_years[1])) <= 1
@@ -29,40 +33,41 @@ def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, n
 
 
 def similar_pairs(names: DataFrame, least: float, name: str = "name", year: str | None = None, window: int | None = None, group: str | None = None) -> DataFrame:
-    """Pairs (a < b) of distinct names with similarity >= ``least``; years within ``window``, groups alike, neither null."""
-    a = names.select(F.col(name).alias("a"), *([F.col(year).alias("ya")] if year else []), *([F.col(group).alias("ga")] if group else [])).distinct()
-    b = a.select(F.col("a").alias("b"), *([F.col("ya").alias("yb")] if year else []), *([F.col("ga").alias("gb")] if group else []))
-    on = (F.col("a") < F.col("b")) & may_reach(F.col("a"), F.col("b"), least)
+    """Pairs (a < b) of distinct names with similarity >= ``least``; years within ``window``, groups alike, neither null.
+
+    Names are compared once, whatever years and groups they have; only those
+    with enough letters in common, which an equality join finds.
+    """
+    index = written(letters.indexed(names, name), "letters")
+    pairs = letters.candidates(index, index, least, ordered=True).withColumn("similarity", jaro(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
+    if not year and not group:
+        return pairs
+    extra = [*([F.col(year).alias("y")] if year else []), *([F.col(group).alias("g")] if group else [])]
+    rows = names.select(F.col(name).alias("n"), *extra).distinct()
+    a = rows.select(F.col("n").alias("_na"), *[F.col(c).alias(f"{c}a") for c in rows.columns[1:]])
+    b = rows.select(F.col("n").alias("_nb"), *[F.col(c).alias(f"{c}b") for c in rows.columns[1:]])
+    met = pairs.join(a, F.col("a") == F.col("_na"))
+    on = F.col("b") == F.col("_nb")
     if group:
         on = on & (F.col("ga") == F.col("gb"))
+    met = met.join(b, on)
     if year and window is not None:
-        on = on & (F.abs(F.col("ya") - F.col("yb")) <= window)
-    return a.join(b, on).withColumn("similarity", jaro(F.col("a"), F.col("b"))).filter(F.col("similarity") >= least)
-
-
-def connected(vertices: DataFrame, pairs: DataFrame, vertex: str = "name", rounds: int = 50) -> DataFrame:
-    """Smallest reachable vertex of each vertex, by label spreading with jumps."""
-    spark = vertices.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+        met = met.filter(F.abs(F.col("ya") - F.col("yb")) <= window)
+    return met.select("a", *[c for c in ("ya", "ga") if c in met.columns], "b", *[c for c in ("yb", "gb") if c in met.columns], "similarity")
 
-    def cut(df: DataFrame) -> DataFrame:
-        if folder:
-            path = f"{folder}/connected-{uuid.uuid4().hex}"
-            df.write.parquet(path)
-            return spark.read.schema(df.schema).parquet(path)
-        return df.cache()
 
-    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")))
-    for _ in range(rounds):
+def connected(vertices: DataFrame, pairs: DataFrame, vertex: str = "name") -> DataFrame:
+    """Smallest reachable vertex of each vertex, by label spreading with jumps; labels only fall, so it ends."""
+    both = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = written(vertices.select(F.col(vertex).alias("v")).distinct().withColumn("label", F.col("v")), "labels")
+    while True:
         near = both.join(labels, F.col("b") == F.col("v")).groupBy("a").agg(F.min("label").alias("_n"))
         new = labels.join(near, F.col("v") == F.col("a"), "left").select("v", "label", F.least("label", "_n").alias("_m"))
         far = new.join(labels.select(F.col("v").alias("_v"), F.col("label").alias("_f")), F.col("_m") == F.col("_v"))
-        step = cut(far.select("v", F.least("_m", "_f").alias("label"), (F.least("_m", "_f") < F.col("label")).alias("_moved")))
+        step = written(far.select("v", F.least("_m", "_f").alias("label"), (F.least("_m", "_f") < F.col("label")).alias("_moved")), "labels")
         labels = step.select("v", "label")
         if step.filter("_moved").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def name_clusters(names: DataFrame, least: float = 0.85, name: str = "name", year: str | None = None, window: int | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """Banded pairs of names at a low threshold against brute force over all pairs."""
 
+import random
 from itertools import combinations
 
+import pytest
+
 from factloom import plans
 from factloom.operators import fuzzy
 
@@ -59,3 +62,42 @@ def test_whole_grid_of_clusters(spark):
             want |= {(f"jw_t{distance:.2f}_{'unblocked' if window is None else 'yw2'}", n, x) for n, x in label.items()}
     got = [tuple(r) for r in plans.queries()["name_grid_all"](spark, SF).select("variant_id", "measure_name", "label").collect()]
     assert len({v for v, *_ in got}) == 10 and len(got) == len(want) and set(got) == want
+
+
+@pytest.mark.parametrize("least", [0.4, 0.7, 0.85, 0.95])
+def test_letters_lose_no_pair(spark, least):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choices("aabcdeé 語", k=rng.randint(0, 9))) for _ in range(130)} | {"", "a", "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 40})
+    want = {(a, b) for a, b in combinations(names, 2) if a and plain_jaro(a, b) >= least}
+    df = spark.createDataFrame([(n,) for n in [*names, None, names[3]]], "name string")
+    assert [tuple(r) for r in fuzzy.similar_pairs(df, least).select("a", "b").collect() if (r.a, r.b) not in want] == []
+    assert {(r.a, r.b) for r in fuzzy.similar_pairs(df, least).collect()} == want
+
+
+def test_best_matches_of_random_names(spark):
+    rng = random.Random(9)
+    names = sorted({"".join(rng.choices("abcdef ", k=rng.randint(0, 8))) for _ in range(60)})
+    other = sorted({n[1:] + rng.choice("abc") for n in names} | {""})
+    a = spark.createDataFrame([(n, 1990 + i % 5) for i, n in enumerate(names)], "name string, y int")
+    b = spark.createDataFrame([(n, 1990 + i % 4) for i, n in enumerate(other)], "candidate string, z int")
+    for bonus in (None, ("y", "z")):
+        want = set()
+        for i, n in enumerate(names):
+            def rank(j, c):
+                s = 1.0 if n == c else plain_jaro(n, c) if n and c else 0.0
+                return s + (0.05 if bonus and abs(i % 5 - j % 4) <= 1 else 0), s
+            best = max(enumerate(other), key=lambda x: (rank(*x)[0], [-ord(ch) for ch in x[1]] + [1]))
+            top = max(rank(*x)[0] for x in enumerate(other))
+            best = min(c for j, c in enumerate(other) if rank(j, c)[0] == top)
+            if rank(other.index(best), best)[1] >= 0.8:
+                want.add((n, best))
+        got = {(r["name"], r["candidate"]) for r in fuzzy.best_matches(a, b, 0.8, bonus_years=bonus).collect()}
+        assert got == want
+
+
+def test_no_nested_loop(spark):
+    df = spark.createDataFrame([("abc",), ("abd",)], "name string")
+    plans_ = [fuzzy.similar_pairs(df, 0.8), fuzzy.best_matches(df, df.toDF("candidate"))]
+    for p in plans_:
+        text = p._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in text and "Cartesian" not in text
