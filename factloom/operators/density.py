@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.fuzzy import connected, similar_pairs
+from factloom.operators.vectors import unit
+from factloom.storage import written
 
 #: Distances closer than this count as equal to it, so that densities stay finite.
 NEAREST = 1e-10
@@ -16,6 +20,8 @@ NEAREST = 1e-10
 def _spanning_edges(reach: np.ndarray) -> list[tuple[float, int, int]]:
     """Edges of a minimum spanning tree of a full graph, shortest first."""
     n = len(reach)
+    if n < 2:
+        return []
     best, parent, free = reach[0].copy(), np.zeros(n, dtype=int), np.ones(n, dtype=bool)
     free[0] = False
     edges = []
@@ -28,9 +34,9 @@ def _spanning_edges(reach: np.ndarray) -> list[tuple[float, int, int]]:
     return sorted(edges)
 
 
-def _merge_tree(edges: list[tuple[float, int, int]], n: int) -> tuple[list[tuple[int, int, float]], list[int]]:
-    """Merges (left, right, distance) as nodes n, n + 1, ... and the size of every node."""
-    top, sizes, merges = list(range(2 * n - 1)), [1] * n, []
+def _merge_tree(edges: list[tuple[float, int, int]], n: int) -> tuple[list[tuple[list[int], float]], list[int]]:
+    """Merges (parts, distance) as nodes n, n + 1, ... and the size of every node; all that meets at one distance is one merge."""
+    top, sizes, merges = list(range(n)), [1] * n, []
 
     def root(x: int) -> int:
         while top[x] != x:
@@ -38,61 +44,87 @@ def _merge_tree(edges: list[tuple[float, int, int]], n: int) -> tuple[list[tuple
             x = top[x]
         return x
 
-    for d, a, b in edges:
-        a, b, new = root(a), root(b), n + len(merges)
-        top[a] = top[b] = new
-        merges.append((a, b, d))
-        sizes.append(sizes[a] + sizes[b])
+    i = 0
+    while i < len(edges):
+        d, parts, j = edges[i][0], {}, i
+        while j < len(edges) and edges[j][0] == d:
+            j += 1
+        met = [(root(a), root(b)) for _, a, b in edges[i:j]]
+        for a, b in met:
+            a, b = root(a), root(b)
+            if a != b:
+                top[b] = a
+        for x in {x for pair in met for x in pair}:
+            parts.setdefault(root(x), []).append(x)
+        for old, pieces in parts.items():
+            if len(pieces) > 1:
+                new = len(top)
+                top.append(new)
+                for x in pieces:
+                    top[x] = new
+                merges.append((sorted(pieces), d))
+                sizes.append(sum(sizes[x] for x in pieces))
+        i = j
     return merges, sizes
 
 
 def density_labels(distance: np.ndarray, least: int) -> np.ndarray:
-    """Labels 1, 2, ... of the most stable density clusters of at least ``least`` points; noise is -1, -2, ..., each its own.
-
-    Mutual reachability distances give a minimum spanning tree; its merges,
-    cut to splits into two parts of ``least`` points, give candidate clusters;
-    those of excess of mass over their parts are kept. The whole is no cluster.
-    """
+    """The labels of ``labels_of_edges`` from a whole matrix of distances."""
     n = len(distance)
     if n < 2:
         return np.arange(1, n + 1)
     core = np.partition(distance, min(least, n) - 1, axis=1)[:, min(least, n) - 1]
-    reach = np.maximum(np.maximum(core[:, None], core[None, :]), np.maximum(distance, NEAREST))
-    np.fill_diagonal(reach, np.inf)
-    merges, sizes = _merge_tree(_spanning_edges(reach), n)
+    return labels_of_edges(_spanning_edges(_reach(distance, core, core)), n, least)
+
 
+def _reach(distance: np.ndarray, core_a: np.ndarray, core_b: np.ndarray) -> np.ndarray:
+    """Mutual reachability: the greatest of the distance and both core distances."""
+    return np.maximum(np.maximum(core_a[:, None], core_b[None, :]), np.maximum(distance, NEAREST))
+
+
+def labels_of_edges(edges: list[tuple[float, int, int]], n: int, least: int) -> np.ndarray:
+    """Labels 1, 2, ... of the most stable density clusters of at least ``least`` points; noise is -1, -2, ..., each its own.
+
+    ``edges`` (distance, point, point) are a minimum spanning tree of the
+    mutual reachability distances, shortest first; which one, of several, makes
+    no difference. Its merges, cut to splits into parts of ``least`` points,
+    give candidate clusters; those of excess of mass over their parts are kept.
+    The whole is no cluster.
+    """
+    merges, sizes = _merge_tree(edges, n)
     birth, stability, children, member = [0.0], [0.0], [[]], np.zeros(n, dtype=int)
     parents = [-1]
-    todo = [(2 * n - 2, 0)]
+    todo = [(n + len(merges) - 1, 0)] if merges else [(0, 0)]
     while todo:
         node, cluster = todo.pop()
         if node < n:
             member[node] = cluster
             continue
-        left, right, d = merges[node - n]
+        pieces, d = merges[node - n]
         density = 1.0 / d
-        parts = [p for p in (left, right) if sizes[p] >= least]
-        for p in (left, right):
-            if len(parts) == 2 or p not in parts:
+        large = [p for p in pieces if sizes[p] >= least]
+        split = len(large) > 1
+        for p in pieces:
+            if split or sizes[p] < least:
                 stability[cluster] += (density - birth[cluster]) * sizes[p]
-        for p in (left, right):
-            if len(parts) == 2:
+        for p in pieces:
+            if sizes[p] < least:
+                below = [p]
+                while below:
+                    x = below.pop()
+                    if x < n:
+                        member[x] = cluster
+                    else:
+                        below.extend(merges[x - n][0])
+            elif split:
                 birth.append(density)
                 stability.append(0.0)
                 children.append([])
                 parents.append(cluster)
                 children[cluster].append(len(birth) - 1)
                 todo.append((p, len(birth) - 1))
-            elif p in parts:
-                todo.append((p, cluster))
             else:
-                below = [p]
-                while below:
-                    x = below.pop()
-                    if x < n:
-                        member[x] = cluster
-                    else:
-                        below.extend(merges[x - n][:2])
+                todo.append((p, cluster))
 
     worth, kept = list(stability), [False] * len(birth)
     for c in range(len(birth) - 1, 0, -1):
@@ -104,44 +136,148 @@ def density_labels(distance: np.ndarray, least: int) -> np.ndarray:
         own[c] = own[parents[c]] or (c if kept[c] else 0)
     chosen = np.array(own)[member]
     out = np.zeros(n, dtype=int)
-    for i, c in enumerate(sorted(set(chosen) - {0}, key=lambda c: int(np.flatnonzero(chosen == c)[0])), 1):
+    found, first = np.unique(chosen, return_index=True)
+    for i, c in enumerate(found[found > 0][np.argsort(first[found > 0])], 1):
         out[chosen == c] = i
     noise = np.flatnonzero(chosen == 0)
     out[noise] = -np.arange(1, len(noise) + 1)
     return out
 
 
-def density_grid(rows: DataFrame, key: str, vector: str, sizes: list[int], windows: list[int | None], year: str | None = None, most: int = 20_000) -> DataFrame:
-    """Clusters of each pair of smallest size and year window, one task a variant.
+def _distances(a: pd.DataFrame, b: pd.DataFrame, measure: str, window: int | None, beyond: float) -> np.ndarray:
+    """Distances of two blocks of points; pairs out of the window, or of an unknown year, are at ``beyond``."""
+    x, y = (np.array(t["_x"].tolist(), dtype=float).reshape(len(t), -1) for t in (a, b))
+    if measure == "cosine":
+        d = np.maximum(1 - x @ y.T, 0.0)
+    else:
+        d = np.stack([np.linalg.norm(y - row, axis=1) for row in x])
+    if window is not None:
+        p, q = a["_y"].to_numpy(dtype=float), b["_y"].to_numpy(dtype=float)
+        d[~(np.abs(p[:, None] - q[None, :]) <= window)] = beyond
+    d = np.round(d, 12)  # the same whichever blocks two points meet in
+    d[a["_key"].to_numpy()[:, None] == b["_key"].to_numpy()[None, :]] = 0.0
+    return d
+
+
+def density_grid(
+    rows: DataFrame, key: str, vector: str, sizes: list[int], windows: list[int | None], year: str | None = None, measure: str = "cosine", block: int = 1000, per_group: int = 2_000_000
+) -> DataFrame:
+    """Clusters of each pair of smallest size and year window: ``key``, ``min_cluster_size``, ``year_window``, ``cluster_id``.
 
-    The distance is 1 - cosine; pairs out of the window, or of an unknown
-    year, are at distance 1. Each variant holds a full matrix of distances, so
-    the pool is a list of names: more than ``most`` rows are an error, never
-    a sample. Null vectors and those holding nulls are left out.
+    The distance is 1 - cosine, or with ``euclidean`` that of the vectors as
+    they are (C06). Pairs out of the window, or of an unknown year, are at
+    distance 1, or in the second case at one more than the greatest distance.
+    Null vectors and those holding nulls are left out; ``key`` is a whole
+    number, one row each.
+
+    All pairs are compared in blocks of ``block`` points: once for the distances
+    to each point's nearest ones, once for a minimum spanning tree of each two
+    blocks. The tree of the whole is among those trees' edges; they are merged
+    in rounds of groups until one is left for a variant. That last group holds
+    no vectors and no matrix, only edges: two numbers of points and a distance.
     """
     whole = rows.filter(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
-    if whole.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} names for a matrix of distances")
+    x = unit(F.col(vector)) if measure == "cosine" else F.col(vector).cast("array<double>")
+    points = written(whole.select(F.col(key).cast("long").alias("_key"), x.alias("_x"), (F.col(year) if year else F.lit(None)).cast("double").alias("_y")), "points")
+    n = points.count()
+    blocks = max(1, math.ceil(n / block))
+    placed = points.withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    # a tree of two blocks holds the trees of both, so with more than one block none need meet itself
+    others = every if blocks == 1 else F.array_remove(every, F.col("_b"))
+    pair = [F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")]
+    most = max(sizes)
+    beyond = 1.0
     grid = [(s, w) for s in sizes for w in windows]
-    variants = F.explode(F.array(*[F.struct(F.lit(s).alias("min_cluster_size"), F.lit(w).cast("int").alias("year_window")) for s, w in grid])).alias("_v")
-    laid = whole.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias("_x"), (F.col(year) if year else F.lit(None)).cast("double").alias("_y"), variants)
-
-    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(key)
-        x = np.array(frame["_x"].tolist())
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norm == 0, 1.0, norm)
-        d = np.maximum(1 - x @ x.T, 0.0)
-        window = frame["year_window"].iloc[0]
-        if not pd.isna(window):
-            y = frame["_y"].to_numpy(dtype=float)
-            d[~(np.abs(y[:, None] - y[None, :]) <= window)] = 1.0
-        np.fill_diagonal(d, 0.0)
-        labels = density_labels(d, int(frame["min_cluster_size"].iloc[0]))
-        return pd.DataFrame({key: frame[key], "min_cluster_size": frame["min_cluster_size"], "year_window": frame["year_window"], "cluster_id": labels})
-
-    flat = laid.select(key, "_x", "_y", "_v.*")
-    return flat.groupBy("min_cluster_size", "year_window").applyInPandas(cluster, f"{key} long, min_cluster_size int, year_window int, cluster_id long")
+
+    def two(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        frame = frame.sort_values("_key")
+        return frame[frame["_b"] == frame["_i"].iat[0]], frame[frame["_b"] == frame["_j"].iat[0]]
+
+    if measure != "cosine":
+
+        def farthest(frame: pd.DataFrame) -> pd.DataFrame:
+            both = frame.sort_values("_key")
+            return pd.DataFrame({"d": [_distances(both, both, measure, None, 0.0).max()]})
+
+        top = placed.withColumn("_o", F.explode(others)).select("_key", "_x", "_y", *pair).groupBy("_i", "_j").applyInPandas(farthest, "d double").agg(F.max("d").alias("d")).first()["d"]
+        beyond = (top or 0.0) + 1.0
+
+    def nearest(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = two(frame)
+        sides = [(a, a)] if frame["_i"].iat[0] == frame["_j"].iat[0] else [(a, b), (b, a)]
+        out = []
+        for p, q in sides:
+            for w in windows:
+                if len(p) and len(q):
+                    d = _distances(p, q, measure, w, beyond)
+                    k = min(most, d.shape[1])
+                    out.append(pd.DataFrame({"_key": p["_key"], "w": -1 if w is None else w, "near": np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1).tolist()}))
+        return pd.concat(out) if out else pd.DataFrame({"_key": [], "w": [], "near": []})
+
+    near = placed.withColumn("_o", F.explode(every)).select("_key", "_x", "_y", "_b", *pair).groupBy("_i", "_j").applyInPandas(nearest, "_key long, w int, near array<double>")
+    ranked = near.groupBy("_key", "w").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, most).alias("near"))
+    cores = ranked.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("w", "near"))).alias("_near"))
+    cored = written(placed.join(cores, "_key"), "cores")
+    met = cored.withColumn("_o", F.explode(others))
+
+    def trees(frame: pd.DataFrame) -> pd.DataFrame:
+        both, out = frame.sort_values("_key"), []
+        keys = both["_key"].to_numpy()
+        for w in windows:
+            d = _distances(both, both, measure, w, beyond)
+            lists = [dict(m)[-1 if w is None else w] for m in both["_near"]]
+            for s in sizes:
+                core = np.array([x[min(s, n) - 1] for x in lists])
+                edges = _spanning_edges(_reach(d, core, core))
+                out.append(pd.DataFrame({"s": s, "w": -1 if w is None else w, "d": [e[0] for e in edges], "u": keys[[e[1] for e in edges]] if edges else [], "v": keys[[e[2] for e in edges]] if edges else []}))
+        return pd.concat(out)
+
+    edges = "s int, w int, d double, u long, v long"
+    found = written(met.select("_key", "_x", "_y", "_b", "_near", *pair).groupBy("_i", "_j").applyInPandas(trees, edges), "edges")
+
+    def forest(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[_forest(frame)]
+
+    per_group = max(per_group, 4 * n)
+    while (groups := math.ceil(found.count() / len(grid) / per_group)) > 1:
+        part = F.pmod(F.xxhash64("u", "v"), F.lit(groups)).alias("_g")
+        found = written(found.select("*", part).groupBy("s", "w", "_g").applyInPandas(lambda f: forest(f)[["s", "w", "d", "u", "v"]], edges), "edges")
+
+    def labelled(frame: pd.DataFrame) -> pd.DataFrame:
+        tree = forest(frame)
+        keys, at = np.unique(np.concatenate([tree["u"], tree["v"]]), return_inverse=True)
+        u, v = at[: len(tree)], at[len(tree) :]
+        s = int(frame["s"].iat[0])
+        labels = labels_of_edges(list(zip(tree["d"].tolist(), u.tolist(), v.tolist())), len(keys), s)
+        return pd.DataFrame({"k": keys, "s": s, "w": frame["w"].iat[0], "cluster_id": labels})
+
+    made = found.groupBy("s", "w").applyInPandas(labelled, "k long, s int, w int, cluster_id long")
+    if n == 1:
+        one = F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(-1 if w is None else w).alias("w")) for s, w in grid])).alias("_v")
+        made = points.select(F.col("_key").alias("k"), one).select("k", "_v.s", "_v.w", F.lit(1).cast("long").alias("cluster_id"))
+    window = F.when(F.col("w") >= 0, F.col("w"))
+    return made.select(F.col("k").alias(key), F.col("s").alias("min_cluster_size"), window.alias("year_window"), "cluster_id")
+
+
+def _forest(frame: pd.DataFrame) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest, shortest first."""
+    d, u, v = (frame[c].to_numpy() for c in "duv")
+    order = np.lexsort((v, u, d))
+    keys, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    ends = list(zip(at[: len(u)][order].tolist(), at[len(u) :][order].tolist()))
+    top, kept = list(range(len(keys))), []
+    for place, (a, b) in zip(order.tolist(), ends):
+        while top[a] != a:
+            top[a] = top[top[a]]
+            a = top[a]
+        while top[b] != b:
+            top[b] = top[top[b]]
+            b = top[b]
+        if a != b:
+            top[b] = a
+            kept.append(place)
+    return np.array(kept, dtype=int)
 
 
 def name_grid(names: DataFrame, thresholds: list[float], windows: list[int | None], name: str = "name", year: str = "year") -> DataFrame:

@@ -1,6 +1,7 @@
 """Folds, series, density clusters and streams on small fixtures."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factloom import plans
@@ -30,14 +31,51 @@ def test_years_out_of_the_window_part_clusters(spark):
     assert 99 not in ids and len({ids[i] for i in range(6) if ids[i] > 0} & {ids[10 + i] for i in range(6) if ids[10 + i] > 0}) == 0
 
 
-def test_too_many_names_are_an_error(spark):
-    df = spark.createDataFrame([(i, [1.0]) for i in range(4)], "k long, v array<double>")
-    try:
-        density.density_grid(df, "k", "v", [2], [None], most=3)
-    except ValueError as e:
-        assert "more than 3" in str(e)
+def plain_labels(rows, least, window, beyond=None):
+    """Labels by one whole matrix of distances."""
+    x = np.array([v for _, v, _ in rows])
+    if beyond is None:
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        d = np.maximum(1 - x @ x.T, 0.0)
     else:
-        raise AssertionError("no error")
+        d = np.linalg.norm(x[:, None] - x[None, :], axis=2)
+    if window is not None:
+        y = np.array([t for _, _, t in rows], dtype=float)
+        d[~(np.abs(y[:, None] - y[None, :]) <= window)] = 1.0 if beyond is None else np.linalg.norm(x[:, None] - x[None, :], axis=2).max() + 1
+    d = np.round(d, 12)
+    np.fill_diagonal(d, 0.0)
+    return {k: int(c) for (k, _, _), c in zip(rows, density.density_labels(d, least))}
+
+
+@pytest.mark.parametrize("measure", ["cosine", "euclidean"])
+@pytest.mark.parametrize("block", [1000, 25, 9])
+def test_blocks_and_rounds_give_the_labels_of_the_whole_matrix(spark, measure, block):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 1, (4, 6))
+    rows = [(3 * i, (centres[i % 4] + rng.normal(0, 0.15, 6)).tolist(), 1990 + i % 7 if i % 11 else None) for i in range(70)]
+    rows += [(1000 + i, rows[i][1], rows[i][2]) for i in range(8)]  # equal points
+    df = spark.createDataFrame(rows, "k long, v array<double>, y int")
+    got = density.density_grid(df, "k", "v", [2, 4], [None, 2], "y", measure, block, per_group=100).collect()
+    rows = [(k, v, np.nan if t is None else t) for k, v, t in sorted(rows, key=lambda r: r[0])]
+    for s in (2, 4):
+        for w in (None, 2):
+            mine = {r.k: r.cluster_id for r in got if r.min_cluster_size == s and r.year_window == w}
+            assert mine == plain_labels(rows, s, w, None if measure == "cosine" else 1), (s, w)
+
+
+def test_one_point_and_none(spark):
+    df = spark.createDataFrame([(5, [1.0, 0.0])], "k long, v array<double>")
+    assert [tuple(r) for r in density.density_grid(df, "k", "v", [2], [None]).collect()] == [(5, 2, None, 1)]
+    assert density.density_grid(df.filter("k < 0"), "k", "v", [2], [None]).collect() == []
+
+
+def test_equal_distances_are_one_merge():
+    # three points that meet each other and a group at one distance are no pair and a point
+    edges = [(0.1, 0, 1), (0.1, 1, 2), (1.0, 2, 3), (1.0, 3, 4), (1.0, 4, 5)]
+    labels = density.labels_of_edges(edges, 6, 2)
+    for order in ([0, 1, 4, 3, 2], [1, 0, 2, 4, 3]):
+        assert list(density.labels_of_edges(sorted((edges[i] for i in order), key=lambda e: e[0]), 6, 2)) == list(labels)
+    assert sorted(labels[3:]) == [-3, -2, -1] or (labels[3:] < 0).all()
 
 
 def test_midpoint_rule(spark):
