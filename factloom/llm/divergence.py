@@ -35,7 +35,7 @@ MOST_BUCKETS = 100_000
 #: Rows that a task hands on at a time.
 ROWS = 100_000
 #: Postings that are compared in one group, about.
-PER_GROUP = 65_536
+PER_GROUP = 16_384
 #: Parts that the sources of one language are dealt to, where they meet each other.
 SALTS = 16
 #: Pairs of postings held at a time.
@@ -57,7 +57,7 @@ def lay_out(texts: DataFrame) -> DataFrame:
     groups = written(texts.groupBy("lang", "source").agg(F.ceil((F.sum(F.octet_length("text")) + 1) / BLOCK).cast("int").alias("_salts")), "audit-sizes")
     blocks = groups.agg(F.sum("_salts").alias("n")).first()["n"] or 1
     dealt = texts.withColumn("_row", F.monotonically_increasing_id()).join(groups, ["lang", "source"]).select("lang", "source", F.pmod("_row", "_salts").cast("int").alias("salt"), "text")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, blocks))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, 2 * blocks))
     name = f"audit_texts_{uuid.uuid4().hex}"
     put = dealt.repartition(buckets, *BLOCK_KEY).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}")
     put.bucketBy(buckets, *BLOCK_KEY).sortBy(*BLOCK_KEY).saveAsTable(name)
