@@ -10,6 +10,15 @@ from factloom.operators import letters
 from factloom.storage import written
 
 
+def similar_across(left: DataFrame, right: DataFrame, least: float, a: str, b: str) -> DataFrame:
+    """``_a``, ``_b``, ``similarity``: distinct names of two tables with a similarity of ``least``, equal names among them."""
+    one, two = (t.select(F.col(c).alias("_x")).distinct() for t, c in ((left, a), (right, b)))
+    index = written(letters.indexed(one.unionByName(two), "_x"), "letters")
+    mine, theirs = (index.join(t, F.col("_name") == F.col("_x"), "left_semi") for t in (one, two))
+    pairs = letters.candidates(mine, theirs, least).toDF("_a", "_b")
+    return pairs.withColumn("similarity", jaro(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least)
+
+
 def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, name: str = "name", candidate: str = "candidate", bonus_years: tuple[str, str] | None = None) -> DataFrame:
     """The most similar candidate of each name, if it reaches ``least``.
 
@@ -18,11 +27,7 @@ def best_matches(names: DataFrame, candidates: DataFrame, least: float = 0.85, n
     comparison with ``least``. Only pairs with enough letters in common are
     compared; they are found by an equality join.
     """
-    low = least - (0.05 if bonus_years else 0.0)
-    index = written(letters.indexed(names.select(F.col(name).alias("_x")).unionByName(candidates.select(F.col(candidate).alias("_x"))), "_x"), "letters")
-    mine = index.join(names.select(F.col(name).alias("_x")).distinct(), F.col("_name") == F.col("_x"), "left_semi")
-    theirs = index.join(candidates.select(F.col(candidate).alias("_x")).distinct(), F.col("_name") == F.col("_x"), "left_semi")
-    pairs = letters.candidates(mine, theirs, low).toDF("_a", "_b").withColumn("similarity", jaro(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= low)
+    pairs = similar_across(names, candidates, least - (0.05 if bonus_years else 0.0), name, candidate)
     scored = names.join(pairs, F.col(name) == F.col("_a")).join(candidates, F.col("_b") == F.col(candidate)).drop("_a", "_b")
     rank = F.col("similarity")
     if bonus_years:

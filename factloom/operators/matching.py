@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions.text import squish, squish_for_matching
+from factloom.storage import written
 
 #: Terms too broad to search for.
 BROAD_TERMS = (
@@ -23,22 +24,11 @@ FORMAL_NAME = r"([A-Z][\w-]+(?:\s+[A-Z][\w-]+)*\s+Act\s+of\s+\d{4})"
 EVENT_NAME = r"^(Expiration|Suspension|Restoration|Changes)\s+(?:in\s+)?(.*?)(?:\s+and\s+|$)"
 
 
-#: Up to so many distinct terms are sent to every task as one automaton.
+#: About so many distinct terms are sent to every task at a time, as one automaton.
 MOST_TERMS = 200_000
 
 
-def holding(rows: DataFrame, text: str, terms: DataFrame, term: str, most: int = MOST_TERMS) -> DataFrame:
-    """Each row with each distinct term that its text holds, in a column ``term``.
-
-    An automaton of all terms reads every text once, however many terms there
-    are. More than ``most`` terms are joined by containment instead. Null
-    texts, null terms and empty terms give no rows.
-    """
-    words = terms.select(term).filter(F.length(term) > 0).distinct()
-    listed = [r[0] for r in words.limit(most + 1).collect()]
-    if len(listed) > most:
-        return rows.join(words, F.contains(F.col(text), F.col(term)))
-
+def _found(listed: list[str]):
     @F.pandas_udf("array<string>")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton = ahocorasick.Automaton()
@@ -48,7 +38,26 @@ def holding(rows: DataFrame, text: str, terms: DataFrame, term: str, most: int =
         for texts in batches:
             yield pd.Series([sorted({w for _, w in automaton.iter(t)}) if t and listed else [] for t in texts], dtype=object)
 
-    return rows.withColumn(term, F.explode(found(F.col(text))))
+    return found
+
+
+def holding(rows: DataFrame, text: str, terms: DataFrame, term: str, most: int = MOST_TERMS) -> DataFrame:
+    """Each row with each distinct term that its text holds, in a column ``term``.
+
+    An automaton of the terms reads every text once, however many terms there
+    are up to about ``most``; more are dealt into as many automata as they take,
+    one after the other. Null texts, null terms and empty terms give no rows.
+    """
+    words = terms.select(term).filter(F.length(term) > 0).distinct()
+    blocks = max(1, -(-words.count() // most))
+    out = None
+    for b in range(blocks):
+        # a block at a time: the driver holds the terms of one
+        listed = [r[0] for r in words.filter(F.pmod(F.xxhash64(term), F.lit(blocks)) == b).collect()]
+        part = rows.withColumn(term, F.explode(_found(listed)(F.col(text))))
+        part = part if blocks == 1 else written(part, "holding")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def passage_matches(chunks: DataFrame, passages: DataFrame, key: list[str], order: list[str], text: str = "text", name: str = "name", passage: str = "passage", probe: int = 100, shorter: int = 60, least: int = 50) -> DataFrame:

@@ -105,3 +105,85 @@ def gate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     acts = spark.range(1, 13).select(F.col("id").cast("int").alias("a"))
     return resampling.gate_intervals(m, m, acts, "v", "c", "a", "p", "np", "y")
+
+
+#: Chunks of orders with a label, a true label, a tier, a rank, an act and a measure's name.
+CHUNKS = """k AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_totalprice > 150000 THEN 'P' ELSE 'N' END AS p, CASE WHEN o_orderstatus = 'F' THEN 'P' ELSE 'N' END AS y, nullif(o_orderkey % 3, 0) AS tier, nullif(o_orderkey % 5, 0) AS measure_rank,
+ 'Act ' || (o_custkey % 50) AS act, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS chunk, CASE o_orderkey % 4 WHEN 0 THEN 'act 1' WHEN 1 THEN 'The ACT ' || (o_custkey % 50) || ' of Spring' WHEN 2 THEN NULL ELSE 'other' END AS measure FROM orders),
+f AS (SELECT * FROM k WHERE (measure_rank IS NULL OR measure_rank = 1) AND p IS NOT NULL)"""
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, own = F.col("o_orderkey"), (F.col("o_custkey") % 50).cast("string")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("key"), F.when(k % 7 == 0, None).when(F.col("o_totalprice") > 150000, "P").otherwise("N").alias("p"), F.when(F.col("o_orderstatus") == "F", "P").otherwise("N").alias("y"),
+        F.nullif(k % 3, F.lit(0)).alias("tier"), F.nullif(k % 5, F.lit(0)).alias("measure_rank"), F.concat(F.lit("Act "), own).alias("act"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("chunk"),
+        F.when(k % 4 == 0, "act 1").when(k % 4 == 1, F.concat(F.lit("The ACT "), own, F.lit(" of Spring"))).when(k % 4 == 3, "other").alias("measure"),
+    )
+
+
+@register("chunk_points", f"""WITH {CHUNKS}, c AS (SELECT count(*) FILTER (p = 'P' AND y = 'P') AS tp, count(*) FILTER (p = 'P' AND y = 'N') AS fp, count(*) FILTER (p = 'N' AND y = 'P') AS fn, count(*) FILTER (p = 'N' AND y = 'N') AS tn,
+ avg(CAST(p = 'P' AS DOUBLE)) FILTER (tier = 1) AS t1, avg(CAST(p = 'P' AS DOUBLE)) FILTER (tier = 2) AS t2 FROM f)
+SELECT unnest(['recall', 'precision', 'f1', 'accuracy', 'specificity', 'tier1_recall', 'tier2_recall']) AS metric,
+ unnest([round(tp / (tp + fn), 9), round(tp / (tp + fp), 9), round(2 * tp / (2 * tp + fp + fn), 9), round((tp + tn) / (tp + fp + fn + tn), 9), round(tn / (tn + fp), 9), round(t1, 9), round(t2, 9)]) AS value FROM c""")
+def chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point values of ``chunk_intervals``, by the same call."""
+    return rounded(evaluation.chunk_intervals(chunks(spark, sf_dir), "p", "y", "P", "key", replicates=1), "value").select("metric", "value")
+
+
+@register("chunk_intervals")
+def chunk_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.chunk_intervals(chunks(spark, sf_dir), "p", "y", "P", "key")
+
+
+@register("chunk_errors", f"WITH {CHUNKS} SELECT key, act, year, tier, y, p FROM f WHERE p <> y")
+def chunk_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.chunk_errors(chunks(spark, sf_dir), "p", "y").select("key", "act", "year", "tier", "y", "p")
+
+
+@register("act_chunk_recall", f"""WITH {CHUNKS} SELECT act, year, count(*) AS n_chunks, count(*) FILTER (tier = 1) AS n_tier1, count(*) FILTER (tier = 2) AS n_tier2, count(*) FILTER (p = y) AS n_correct, round(count(*) FILTER (p = y) / count(*), 9) AS recall FROM f WHERE y = 'P' GROUP BY 1, 2""")
+def act_chunk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.act_chunk_recall(chunks(spark, sf_dir), "p", "y", "P", "act", "year"), "recall")
+
+
+@register("measured_act_recall", f"""WITH {CHUNKS}, c AS (SELECT act, chunk, coalesce(bool_or(contains(lower(act), lower(measure)) OR contains(lower(measure), lower(act))), FALSE) AS named FROM k WHERE tier = 1 AND y = 'P' GROUP BY 1, 2)
+SELECT act, count(*) AS n_chunks, count(*) FILTER (named) AS n_recalled, round(count(*) FILTER (named) / count(*), 9) AS recall FROM c GROUP BY 1""")
+def measured_act_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.measured_act_recall(chunks(spark, sf_dir), "y", "P", "act", ["chunk"], "measure"), "recall")
+
+
+@register("extraction_metrics", """WITH x AS (SELECT trim(regexp_replace(regexp_replace(lower(p_name), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS n, p_size FROM part),
+e AS (SELECT n FROM x WHERE p_size < 25), k AS (SELECT n FROM x WHERE p_size >= 25),
+h AS (SELECT a.n AS en, b.n AS kn FROM (SELECT DISTINCT n FROM e) a, (SELECT DISTINCT n FROM k) b WHERE a.n = b.n OR jaro_similarity(a.n, b.n) >= 0.85),
+c AS (SELECT (SELECT count(*) FROM e WHERE n IN (SELECT en FROM h)) AS tp, (SELECT count(*) FROM e) AS ne, (SELECT count(*) FROM k WHERE n NOT IN (SELECT kn FROM h)) AS fn, (SELECT count(*) FROM k) AS nk)
+SELECT tp AS true_positives, ne - tp AS false_positives, ne AS n_extracted, fn AS false_negatives, nk AS n_known, round(tp / ne, 9) AS precision, round(tp / (tp + fn), 9) AS recall, round(2 * (tp / ne) * (tp / (tp + fn)) / (tp / ne + tp / (tp + fn)), 9) AS f1_score FROM c""")
+def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    got = evaluation.matched_extraction(parts.filter("p_size < 25"), parts.filter("p_size >= 25"), "p_name")
+    return rounded(evaluation.extraction_metrics(*got), "precision", "recall", "f1_score")
+
+
+MOTIVATIONS = ["Spending-driven", "Countercyclical", "Deficit-driven", "Long-run"]
+LEFT_OUT = f"""m AS (SELECT {MOTIVATIONS}[o_orderkey % 4 + 1] AS p, {MOTIVATIONS}[CASE WHEN o_custkey % 3 = 0 THEN o_orderkey ELSE o_custkey END % 4 + 1] AS y FROM orders WHERE o_orderkey % 11 > 0), b AS (SELECT *, p IN ('Deficit-driven', 'Long-run') AS e, y IN ('Deficit-driven', 'Long-run') AS t FROM m)"""
+
+
+def _left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in MOTIVATIONS])
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    p, y = (F.get(names, (x % 4).cast("int")) for x in (k, F.when(c % 3 == 0, k).otherwise(c)))
+    rows = table(spark, sf_dir, "orders").select(k.alias("key"), F.when(k % 11 > 0, p).alias("p"), y.alias("y"))
+    return rows.select("*", F.col("p").isin("Deficit-driven", "Long-run").alias("e"), F.col("y").isin("Deficit-driven", "Long-run").alias("t"))
+
+
+@register("left_out_points", f"""WITH {LEFT_OUT}, c AS (SELECT x.c, count(*) FILTER (p = x.c AND y = x.c) AS tp, count(*) FILTER (p = x.c) AS called, count(*) FILTER (y = x.c) AS known FROM b, (SELECT unnest({MOTIVATIONS}) AS c) x GROUP BY 1),
+s AS (SELECT avg(CAST(p = y AS DOUBLE)) AS a, avg(CAST(e = t AS DOUBLE)) AS ea, count(*) FILTER (e AND t) / count(*) FILTER (e) AS ep, count(*) FILTER (e AND t) / count(*) FILTER (t) AS er, (SELECT avg(CASE WHEN tp > 0 THEN 2.0 * tp / (called + known) END) FROM c) AS f FROM b)
+SELECT unnest(['accuracy', 'exogenous_accuracy', 'exogenous_precision', 'exogenous_recall', 'macro_f1']) AS metric, unnest([round(a, 9), round(ea, 9), round(ep, 9), round(er, 9), round(f, 9)]) AS value FROM s""")
+def left_out_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The point values of ``left_out_intervals``, by the same call."""
+    got = evaluation.left_out_evaluation(_left_out(spark, sf_dir), "key", "p", "y", "e", "t", MOTIVATIONS, replicates=1)
+    return rounded(got, "value").select("metric", "value")
+
+
+@register("left_out_intervals")
+def left_out_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.left_out_evaluation(_left_out(spark, sf_dir), "key", "p", "y", "e", "t", MOTIVATIONS, replicates=200)

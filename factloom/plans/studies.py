@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import density, proxies
+from factloom.operators import density, projection, proxies, vectors
 from factloom.plans import register
 from factloom.plans.corpus import table
 from factloom.plans.entities import NAMES, part_names
@@ -43,6 +43,22 @@ def density_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.density_grid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [2, 3, 5], [None, 2], year="label")
 
 
+@register("reduced_grid")
+def reduced_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two, five and ten principal axes, three sizes and two windows: eighteen variants."""
+    return projection.reduced_grid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", [2, 5, 10], [2, 3, 5], [None, 2], year="label")
+
+
+@register("principal_variance", """WITH u AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS e FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL))),
+x AS (SELECT vec_id, unnest(e) AS x, unnest(range(len(e))) AS pos FROM u)
+SELECT (SELECT count(*) FROM u) AS n, round(sum(v), 6) AS total_variance, TRUE AS falling FROM (SELECT var_samp(x) AS v FROM x GROUP BY pos)""")
+def principal_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variances along all principal axes add up to those along the coordinates."""
+    rows = table(spark, sf_dir, "embeddings").filter("embedding IS NOT NULL").select(vectors.unit(F.col("embedding")).alias("x"))
+    spread = projection.principal_axes(rows, "x", 1)[2].tolist()
+    return rows.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(round(sum(spread), 6)).alias("total_variance"), F.lit(sorted(spread, reverse=True) == spread).alias("falling"))
+
+
 @register("name_grid", f"""WITH RECURSIVE {NAMES}, y AS (SELECT name, min(year) AS year FROM n GROUP BY 1), g AS (SELECT * FROM (VALUES ('jw_t0.15_unblocked', 0.85, NULL), ('jw_t0.15_yw2', 0.85, 2), ('jw_t0.10_unblocked', 0.9, NULL), ('jw_t0.10_yw2', 0.9, 2)) AS g(variant_id, t, w)),
 e AS (SELECT variant_id, a.name AS a, b.name AS b FROM g, y a JOIN y b ON a.name <> b.name WHERE jaro_similarity(a.name, b.name) >= t AND (w IS NULL OR abs(a.year - b.year) <= w)),
 r AS (SELECT variant_id, name AS v, name AS u FROM g, y UNION SELECT r.variant_id, r.v, e.b FROM r JOIN e ON e.a = r.u AND e.variant_id = r.variant_id)
