@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import goldmatch, metrics
 from factloom.operators.metrics import ratio
+from factloom.operators.numbering import numbered
 
 Rates = dict[str, tuple[Column, Column]]
 
@@ -21,17 +22,15 @@ def drawn(rows: DataFrame, key: str, replicates: int, seed: int, *by: str) -> Da
 
     A replicate draws as many rows as its group has, with replacement; which
     ones is hashed from seed, replicate and draw, so reruns agree. ``key``
-    numbers the rows of a group. Groups of a null ``by`` draw nothing. The
-    rows are gold lists: a group is numbered in one task.
+    tells the rows of a group apart. Groups of a null ``by`` draw nothing.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    numbered = rows.withColumn("_k", (F.row_number().over(group.orderBy(key)) - 1).cast("long"))
+    placed = numbered(rows, seed, key, *by)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
     reps = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).repartition("_rep")
     draws = reps.select(*by, "_n", "_rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_d"))
     place = F.pmod(F.xxhash64(F.lit(seed), "_rep", "_d"), F.col("_n")).alias("_k")
     counts = draws.select(*by, "_rep", place).groupBy(*by, "_rep", "_k").agg(F.count(F.lit(1)).alias("_w"))
-    return counts.join(numbered, [*by, "_k"]).drop("_k")
+    return counts.join(placed, [*by, "_k"]).drop("_k")
 
 
 def _interval(values: DataFrame, level: float, *by: str) -> DataFrame:

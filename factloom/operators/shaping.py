@@ -214,3 +214,20 @@ def distinct_acts(rows: DataFrame, order: str, name: str, text: str, size: str)
         return frame.loc[kept_acts(names, texts, frame["_s"].fillna(0).tolist()), ["_o"]]
 
     return rows.join(listed.groupBy("_all").applyInPandas(keep, f"_o {key}"), F.col(order) == F.col("_o"), "left_semi")
+
+
+def joined_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """An inner join many to one: an error that names a key if ``right`` has one twice (null keys meet nothing and may repeat)."""
+    known = right
+    for c in on:
+        known = known.filter(F.col(c).isNotNull())
+    twice = known.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"{twice[0]['_n']} rows for {[twice[0][c] for c in on]} where one was expected")
+    return left.join(right, on)
+
+
+def needs_rescue(native: Column, images: Column, least: int = 100) -> Column:
+    """Whether a page should be read by its image: fewer than ``least`` characters without the archive's marks, and an image on it."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(F.coalesce(native, F.lit("")), F.lit("Digitized for FRASER"), F.lit("")), F.lit("Federal Reserve Bank"), F.lit("")), r"^\s+", ""), r"\s+$", ""))
+    return (F.length(clean) < least) & (F.coalesce(images, F.lit(0)) > 0)

@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from factloom.plans import checks, consensus, corpus, entities, evaluations, inventory, models, recodes, records, replies, reports, scores, shaping, studies, tallies, terms  # noqa: F401
+    from factloom.plans import checks, consensus, corpus, entities, evaluations, inventory, models, recodes, records, replies, reports, scores, shaping, studies, tallies, terms, training  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
