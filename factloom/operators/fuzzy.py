@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.distance import jaro
 from factloom.operators import letters
+from factloom.operators.numbering import in_order
 from factloom.storage import written
 
 
@@ -78,7 +79,8 @@ def connected(vertices: DataFrame, pairs: DataFrame, vertex: str = "name") -> Da
 def name_clusters(names: DataFrame, least: float = 0.85, name: str = "name", year: str | None = None, window: int | None = None) -> DataFrame:
     """Cluster id (by the first name in order), canonical name (longest, then first) and size."""
     labels = connected(names, similar_pairs(names, least, name, year, window), name)
-    members = labels.withColumn("cluster_id", F.dense_rank().over(Window.orderBy("label")))
+    ids = in_order(labels.select("label").distinct(), "label", name="_id")
+    members = labels.join(ids, "label").withColumn("cluster_id", (F.col("_id") + 1).cast("int")).drop("_id")
     w = Window.partitionBy("cluster_id").orderBy(F.length("v").desc(), "v")
     sized = Window.partitionBy("cluster_id")
     return members.select(F.col("v").alias("measure_name"), "cluster_id", F.first("v").over(w).alias("canonical_name"), F.count(F.lit(1)).over(sized).alias("n_members"))

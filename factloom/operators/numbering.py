@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.evidence import seeded_order
+from factloom.storage import written
 
 
 def numbered(rows: DataFrame, seed: int, key: str, *by: str, name: str = "_k") -> DataFrame:
@@ -24,6 +25,21 @@ def numbered(rows: DataFrame, seed: int, key: str, *by: str, name: str = "_k") -
     return placed.withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).select(*rows.columns, name)
 
 
+def in_order(rows: DataFrame, *order: str, name: str = "_k") -> DataFrame:
+    """The rows with their place, from 0, in the order of some columns (together they tell rows apart).
+
+    Rows are dealt to tasks by ranges of that order and written; each range is
+    numbered by itself and the counts of the earlier ranges are added.
+    """
+    placed = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    # a row for each task
+    before = counts.select("_p", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("_n")).alias("_before"))
+    own = Window.partitionBy("_p").orderBy(*order)
+    numbers = placed.withColumn("_r", F.row_number().over(own)).join(F.broadcast(before), "_p")
+    return numbers.withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).select(*rows.columns, name)
+
+
 def first_in_order(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows; every task hands on its own first ``n`` only."""
     return rows.orderBy(*order).limit(n)

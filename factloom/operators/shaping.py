@@ -7,9 +7,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.distance import jaro_similarity
 from factloom.functions.text import normalize_name_for_grouping, squish
+from factloom.operators import fuzzy
+from factloom.storage import written
 
 #: What stands between passages, and the characters a passage has more than.
 PASSAGE_BREAK, SHORT_PASSAGE = "\n\n---\n\n", 50
@@ -202,18 +205,40 @@ def kept_acts(names: list[str | None], texts: list[str | None], sizes: list[int]
     return stays
 
 
-def distinct_acts(rows: DataFrame, order: str, name: str, text: str, size: str) -> DataFrame:
-    """C11 on a gold list of acts, which one task reads in the order of ``order``: the rows of the acts that stay."""
-    listed = rows.select(F.lit(0).alias("_all"), F.col(order).alias("_o"), normalize_name_for_grouping(F.col(name)).alias("_n"), F.col(text).alias("_t"), F.col(size).cast("long").alias("_s"))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(texts: pd.Series) -> pd.Series:
+    return pd.Series([sorted(frozenset(re.split(r"\s+", (t or "").lower())) - {""}) for t in texts], dtype=object)
+
+
+def distinct_acts(rows: DataFrame, order: str, name: str, text: str, size: str, alike: float = 0.9, same_name: float = 0.8) -> DataFrame:
+    """C11: the rows of the acts that stay, by ``kept_acts`` in the order of ``order`` (no value twice).
+
+    Pairs of acts with similar names and texts are joined first; acts that such
+    pairs connect are judged together, one group of copies a task. An act
+    without a pair stays.
+    """
+    listed = rows.select(F.col(order).alias("_o"), normalize_name_for_grouping(F.col(name)).alias("_n"), F.col(text).alias("_t"), F.col(size).cast("long").alias("_s"))
+    listed = written(listed.withColumn("_w", _words(F.col("_t"))), "acts")
+    names = listed.select("_n").filter("_n IS NOT NULL")
+    pairs = fuzzy.similar_across(names, names, same_name, "_n", "_n").select("_a", "_b")
+    own = [F.col(c).alias(f"{c}2") for c in ("_o", "_n", "_w")]
+    met = listed.join(pairs, F.col("_n") == F.col("_a")).join(listed.select(*own), (F.col("_b") == F.col("_n2")) & (F.col("_o") < F.col("_o2")))
+    both = F.size(F.array_intersect("_w", "_w2"))
+    near = met.filter((both > 0) & (both / (F.size("_w") + F.size("_w2") - both) >= alike)).select(F.col("_o").alias("a"), F.col("_o2").alias("b"))
+    near = written(near, "near-acts")
+    ends = near.select(F.col("a").alias("_o")).unionByName(near.select(F.col("b").alias("_o"))).distinct()
+    groups = fuzzy.connected(ends, near, "_o").withColumnRenamed("v", "_v")
     key = rows.schema[order].dataType.simpleString()
 
-    def keep(frame: pd.DataFrame) -> pd.DataFrame:
+    def gone(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_o")
         names = [None if pd.isna(n) else n for n in frame["_n"]]
         texts = [None if pd.isna(t) else t for t in frame["_t"]]
-        return frame.loc[kept_acts(names, texts, frame["_s"].fillna(0).tolist()), ["_o"]]
+        stays = kept_acts(names, texts, frame["_s"].fillna(0).tolist(), alike, same_name)
+        return frame.loc[[not x for x in stays], ["_o"]]
 
-    return rows.join(listed.groupBy("_all").applyInPandas(keep, f"_o {key}"), F.col(order) == F.col("_o"), "left_semi")
+    judged = listed.join(groups, F.col("_o") == F.col("_v")).select("label", "_o", "_n", "_t", "_s")
+    return rows.join(judged.groupBy("label").applyInPandas(gone, f"_o {key}"), F.col(order) == F.col("_o"), "left_anti")
 
 
 def joined_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

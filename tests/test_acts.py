@@ -1,7 +1,9 @@
 """Cleaned shocks, distinct acts and tallies of consistency on small tables."""
 
 import datetime as dt
+import random
 
+from factloom.functions.text import normalize_name_for_grouping
 from factloom.operators import shaping, tallies
 
 
@@ -25,6 +27,24 @@ def test_distinct_acts_reads_rows_in_order(spark):
     assert shaping.distinct_acts(rows.limit(0), "k", "name", "text", "n").count() == 0
 
 
+def test_distinct_acts_are_those_of_one_pass_over_all(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    base = [rng.sample(words, 20) for _ in range(4)]
+    rows = []
+    for i in range(120):
+        text = list(base[i % 4])
+        for _ in range(rng.randint(0, 2)):
+            text[rng.randrange(20)] = rng.choice(words)
+        rows.append((i * 3 % 121, rng.choice(["Tax Act of Spring", "The Tax Acts of Spring", "Roads", "Roads and Rail", None, "The Act"]), " ".join(text) if i % 11 else rng.choice(["", None, " "]), rng.choice([1, 2, 3, None])))
+    df = spark.createDataFrame(rows, "k int, name string, text string, n int")
+    ordered = sorted(rows)
+    plain = {r["k"]: r["p"] for r in df.select("k", normalize_name_for_grouping(df.name).alias("p")).collect()}
+    stays = shaping.kept_acts([plain[k] for k, *_ in ordered], [t for _, _, t, _ in ordered], [n or 0 for *_, n in ordered])
+    want = [k for (k, *_), s in zip(ordered, stays) if s]
+    assert sorted(r["k"] for r in shaping.distinct_acts(df, "k", "name", "text", "n").collect()) == want and len(want) < 100
+
+
 def test_consistency_tallies(spark):
     members = spark.createDataFrame([("er-2010-BM", "a", 1), ("er-2010-BM", "b", 1), ("er-2010", "c", 1), ("none", "d", 2)], "scope_group string, measure_name string, cluster_id int")
     inventory = spark.createDataFrame([("en", "X", True, 2010), ("en", "X", None, None), ("bm", None, False, 2010)], "side string, pred_label string, pred_exogenous boolean, act_name_year int")

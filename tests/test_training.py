@@ -21,6 +21,13 @@ def test_numbers_follow_the_seeded_order(spark):
     assert by == {(g, k): i for g in "ab" for i, k in enumerate(sorted((k for k in range(500) if ("a" if k % 3 else "b") == g), key=lambda k: order(5, k)))}
 
 
+def test_numbers_in_order(spark):
+    rows = spark.createDataFrame([(f"n{i * 7 % 100:03d}", i % 3) for i in range(100)], "a string, b int").repartition(7)
+    got = {r.a: r["_k"] for r in numbering.in_order(rows, "b", "a").collect()}
+    assert got == {a: i for i, (b, a) in enumerate(sorted((r.b, r.a) for r in rows.collect()))}
+    assert numbering.in_order(rows.limit(0), "a").collect() == []
+
+
 def test_negatives_take_the_positives_shares(spark):
     yes = spark.createDataFrame([("t", "A", s, 1990, "m") for s in ["train"] * 5 + ["val"] * 2 + ["test"]], "passages_text string, act_name string, split string, year int, motivation_category string")
     no = spark.createDataFrame([(i, f"n{i}", 1950, "s", "b") for i in range(21)], "k int, text string, year int, source string, body string")
