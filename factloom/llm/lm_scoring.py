@@ -39,13 +39,19 @@ BITS = 9
 SYMBOLS = 257
 #: Last symbols of a context that choose its part.
 HEAD = 4
+#: Longest context: its symbols and the next one are packed into 64 bits.
+DEEPEST = 64 // BITS - 1
+#: Bytes of a text from which it is cut into pieces.
+PIECE = 1 << 20
 
 
-def symbols(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+def symbols(data: np.ndarray, offsets: np.ndarray, pad: int, heads: list[bytes] | None = None, closes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """Symbols of all texts, each after ``pad`` end symbols as its context.
 
     Returns the symbols, where each text's begin (after its pad), how many it
-    has, and the word spans. A text without words is the end symbol alone.
+    has, and the word spans. A text without words is the end symbol alone. Of a
+    piece of a text ``heads`` has the symbols before it as its context, and one
+    that does not close its text (``closes``) ends with a separator.
     """
     start, end, first = tb.word_spans(data, offsets)
     words = np.diff(first)
@@ -68,9 +74,60 @@ def symbols(data: np.ndarray, offsets: np.ndarray, pad: int) -> tuple[np.ndarray
     for i in range(1, pad + 1):
         body[begin - i] = False
     out[body] = shown[keep]
+    if heads is not None:
+        for i in np.flatnonzero([len(h) > 0 for h in heads]).tolist():
+            out[begin[i] - pad : begin[i]] = np.frombuffer(heads[i], np.int16)
+        out[ends[~closes]] = SPACE
     return out, begin, count, (start, end, first)
 
 
+def cut_text(raw: np.ndarray, limit: int, depth: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """Pieces of about ``limit`` bytes, cut after words: where each begins and ends, the ``depth`` symbols before it, and whether it is the last. A longer word stays whole."""
+    solid = tb.solid(raw)
+    after = np.flatnonzero(solid[:-1] & ~solid[1:]) + 1  # the ends of words, but for one that ends the text
+    stop = int(np.flatnonzero(solid)[-1]) + 1 if solid.any() else 0
+    at, head = 0, b""
+    while stop - at > limit:
+        i = max(int(np.searchsorted(after, at + limit, side="right")) - 1, int(np.searchsorted(after, at, side="right")))
+        if i >= len(after) or after[i] >= stop:
+            break
+        cut = int(after[i])
+        yield at, cut, head, False
+        width = 64
+        while True:  # the last symbols, from as many of the last bytes as it takes
+            low = max(at, cut - width)
+            seen = symbols(raw[low:cut], np.array([0, cut - low]), 0)[0][:-1]
+            if len(seen) >= depth or low == at:
+                break
+            width *= 16
+        before = np.frombuffer(head, np.int16) if head else np.full(depth, END, np.int16)
+        head = np.concatenate([before, seen, [SPACE]]).astype(np.int16)[-depth:].tobytes()
+        at = cut
+    yield at, len(raw), head, True
+
+
+def pieces_of(b: pa.RecordBatch, row: int, limit: int, depth: int) -> pa.RecordBatch:
+    """Texts (doc_id, text, held_out) with the number of their row, counted from ``row``; those longer than ``limit`` bytes in pieces, each with its head and whether it is the last."""
+    data, offs = text_column(b)
+    number = np.arange(row, row + b.num_rows)
+    size = np.diff(offs)
+    if not (size > limit).any():
+        plain = [pa.array(number), pa.array([b""] * b.num_rows, pa.binary()), pa.array(np.ones(b.num_rows, bool))]
+        return pa.RecordBatch.from_arrays([*b.columns, *plain], names=[*b.schema.names, "row", "head", "last"])
+    at, texts, heads, lasts = [], [], [], []
+    for i in range(b.num_rows):
+        raw = data[offs[i] : offs[i + 1]]
+        for lo, hi, head, last in cut_text(raw, limit, depth) if size[i] > limit else [(0, len(raw), b"", True)]:
+            at.append(i)
+            texts.append(raw[lo:hi].tobytes())
+            heads.append(head)
+            lasts.append(last)
+    kept = b.take(pa.array(at))
+    text = pa.array(texts, pa.binary()).cast(b.schema.field("text").type)
+    columns = [text if n == "text" else kept.column(n) for n in b.schema.names]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(number[at]), pa.array(heads, pa.binary()), pa.array(np.array(lasts))], names=[*b.schema.names, "row", "head", "last"])
+
+
 def ngram_codes(sym: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
     """Code of the ``n`` symbols up to each symbol of the texts."""
 
@@ -129,103 +186,6 @@ class Tally:
         return summed(self.keys, self.counts)[:2]
 
 
-@dataclass
-class SuffixTree:
-    """An automaton over byte symbols: next state and log10 probability of each (state, column)."""
-
-    column: np.ndarray
-    follow: np.ndarray
-    logp: np.ndarray
-    depth: int
-    root: int = 0
-
-    def score(self, sym: np.ndarray, begin: np.ndarray, count: np.ndarray, piece: int = 1024) -> np.ndarray:
-        """log10 probability of each text.
-
-        Long texts are stepped through in pieces side by side: the state depends
-        on the last ``depth`` symbols alone, so a piece starts that far ahead.
-        """
-        parts = -(-count // piece)
-        doc = np.repeat(np.arange(len(count)), parts)
-        at = (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)) * piece
-        size = np.minimum(piece, count[doc] - at)
-        order = np.argsort(-size, kind="stable")
-        place, size, doc = (begin[doc] + at - self.depth)[order], size[order], doc[order]
-        state = np.full(len(doc), self.root, np.int64)
-        total = np.zeros(len(doc))
-        col = self.column[sym]
-        width = self.logp.shape[1]
-        follow, logp = self.follow.ravel(), self.logp.ravel()
-        for step in range(int(size.max(initial=0)) + self.depth):
-            n = len(size) if step < self.depth else int(np.searchsorted(-size, -(step - self.depth), side="left"))
-            cell = state[:n] * width + col[place[:n] + step]
-            if step >= self.depth:
-                total[:n] += logp[cell]
-            state[:n] = follow[cell]
-        return np.bincount(doc, weights=total, minlength=len(count))
-
-
-def grow_tree(rows: tuple, depth: int, keep_bits: float) -> SuffixTree:
-    """The tree from arrays (length, context, next, count) of all candidate contexts; the empty context has length 0."""
-    length, context, symbol, number_of = (np.asarray(x, np.int64) for x in rows)
-    order = np.lexsort((symbol, context, length))
-    length, context, symbol, number_of = length[order], context[order], symbol[order], number_of[order]
-    at_root = length == 0
-    seen, root = symbol[at_root], number_of[at_root]
-    column = np.full(SYMBOLS, len(seen), np.int64)
-    column[seen] = np.arange(len(seen))
-    base = np.full(len(seen) + 1, 1.0)
-    base[:-1] += root
-    dist = {(0, 0): (base / (root.sum() + SYMBOLS)).astype(np.float32)}
-    new = np.flatnonzero((np.diff(length) != 0) | (np.diff(context) != 0)) + 1
-    edges = np.concatenate([[0], new, [len(length)]]).tolist()
-
-    def suffix(k: tuple[int, int]) -> tuple[int, int]:
-        return (k[0] - 1, k[1] & ((1 << BITS * (k[0] - 1)) - 1)) if k[0] else k
-
-    def prefix(k: tuple[int, int]) -> tuple[int, int]:
-        return (k[0] - 1, k[1] >> BITS)
-
-    def kept_suffix(k: tuple[int, int]) -> tuple[int, int]:
-        while k not in dist:
-            k = suffix(k)
-        return k
-
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        if lo == hi or not length[lo]:
-            continue
-        k = (int(length[lo]), int(context[lo]))
-        up = dist[kept_suffix(suffix(k))]
-        counts = number_of[lo:hi].astype(float)
-        some, n = column[symbol[lo:hi]], counts.sum()
-        if n * float((counts / n * np.log2(counts / n / up[some])).sum()) >= keep_bits:
-            p = up * ((hi - lo) / (n + hi - lo))
-            p[some] += counts / (n + hi - lo)
-            dist[k] = p
-    states = {(0, 0)}
-    for k in dist:
-        todo = [k]
-        while todo:
-            x = todo.pop()
-            if x not in states:
-                states.add(x)
-                todo += [suffix(x), prefix(x)]
-    order = sorted(states)
-    number = {k: i for i, k in enumerate(order)}
-    follow = np.zeros((len(order), len(seen) + 1), np.int32)
-    logp = np.zeros((len(order), len(seen) + 1), np.float32)
-    longer: dict[tuple[int, int], list[int]] = {}
-    for k in order[1:]:
-        longer.setdefault(prefix(k), []).append(number[k])
-    for i, k in enumerate(order):  # by length: the suffix's row is complete, and holds where no longer state follows
-        logp[i] = np.log10(dist[kept_suffix(k)])
-        if k[0]:
-            follow[i] = follow[number[suffix(k)]]
-        for j in longer.get(k, ()):
-            follow[i, column[order[j][1] & ((1 << BITS) - 1)]] = j
-    return SuffixTree(column, follow, logp, depth)
-
-
 def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of each wanted code in a sorted table, and whether it is there."""
     if not len(table):
@@ -371,20 +331,22 @@ def texts_of(data: bytes) -> pa.RecordBatch:
 
 
 def block_rows(block: int, t: pa.RecordBatch, depth: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """The packed rows of one block of texts (doc_id, text, held_out)."""
+    """The packed rows of one block of pieces of texts (see ``pieces_of``)."""
 
     def rows(kind: int, of: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
         part, n, total, a, b = zip(*of)
         return pa.RecordBatch.from_arrays([pa.array([x] * len(of), f) for x, f in ((kind, pa.int32()), (block, pa.int64()))] + [pa.array(x, f.type) for x, f in zip((part, n, total, a, b), list(PACKED)[2:])], schema=PACKED)
 
-    held = t.column("held_out").to_numpy(zero_copy_only=False)
+    held, last = (t.column(c).to_numpy(zero_copy_only=False) for c in ("held_out", "last"))
+    ends = int((~held & last).sum())
     grams, words = [Tally(), Tally()], [Tally(), Tally()]
     for flag in (False, True):
         some = t.filter(pa.array(held == flag))
         data, offs = text_column(some)
+        heads, closes = some.column("head").to_pylist(), some.column("last").to_numpy(zero_copy_only=False)
         for lo, hi in doc_runs(offs):
             part = data[offs[lo] : offs[hi]]
-            sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
+            sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth, heads[lo:hi], closes[lo:hi])
             grams[flag].add(turned(ngram_codes(sym, begin, count, depth + 1), depth))
             words[flag].add(tb.word_hashes(part, start, end).view(np.int64))
     for kind, tallies in ((GRAMS, grams), (WORDS, words)):
@@ -403,16 +365,18 @@ def block_rows(block: int, t: pa.RecordBatch, depth: int, parts: int) -> Iterato
             if hi > lo or kind == WORDS:  # every part tells every block how many words it has
                 found.append((p, hi - lo, 0, packed_codes(key[lo:hi], depth) if kind == GRAMS else packed(key[lo:hi], True), packed(n[lo:hi])))
         yield rows(kind, found)
-    yield rows(WORDS, [(-1, 0, learnt + int((~held).sum()), b"", b"")])  # and one end for each text
-    yield rows(TEXTS, [(-1, t.num_rows, int((~held).sum()), packed_texts(t), b"")])
+    yield rows(WORDS, [(-1, 0, learnt + ends, b"", b"")])  # and one end for each text
+    yield rows(TEXTS, [(-1, t.num_rows, ends, packed_texts(t), b"")])
 
 
 def text_blocks(docs: DataFrame, depth: int, parts: int, block_bytes: int) -> DataFrame:
-    """Rows of all blocks; a block is a run of a task's texts of about ``block_bytes``, or one longer text."""
+    """Rows of all blocks; a block is a run of a task's texts, long ones in pieces, of about ``block_bytes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), 0
+        task, seen, row = TaskContext.get().partitionId(), 0, 0
         for b in batches:
+            n, b = b.num_rows, pieces_of(b, task << 40 | row, min(PIECE, block_bytes), depth)
+            row += n
             size = text_column(b)[1]
             blocks = max(1, -(-int(size[-1]) // block_bytes))
             for lo, hi in doc_runs(size, max(1, -(-int(size[-1]) // blocks))):
@@ -465,8 +429,14 @@ def score_documents(
     both log10. Null and empty texts are the end alone. Repeated rows count and
     are scored each; a null id is in the fold of the empty text; other columns
     are not carried; an empty table gives no rows. Without learning documents
-    every symbol has probability 1/257 and the base score is 0.
+    every symbol has probability 1/257 and the base score is 0. A text longer
+    than ``PIECE`` bytes is read in pieces, each after the last symbols of the
+    one before, and its pieces' scores are added up; a word is never cut.
+    ``depth``, the longest context, is 4 to 6 symbols: shorter ones could not be
+    parted by their last four, longer ones do not fit a packed code.
     """
+    if not HEAD <= depth <= DEEPEST:
+        raise ValueError(f"contexts of {HEAD} to {DEEPEST} symbols are possible, not {depth}")
     spark = docs.sparkSession
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), (fold(doc_id, folds) == held).alias("held_out"))
@@ -529,11 +499,12 @@ def score_documents(
         for data_of in of.column("a").to_pylist():
             b = texts_of(data_of)
             data, offs = text_column(b)
+            heads, closes = b.column("head").to_pylist(), b.column("last").to_numpy(zero_copy_only=False)
 
             def runs() -> Iterator[tuple]:
                 for lo, hi in doc_runs(offs):
                     part = data[offs[lo] : offs[hi]]
-                    sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth)
+                    sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth, heads[lo:hi], closes[lo:hi])
                     yield lo, hi, count, first, turned(ngram_codes(sym, begin, count, depth + 1), depth), tb.word_hashes(part, start, end).view(np.int64)
 
             grams, words = Tally(), Tally()
@@ -552,18 +523,21 @@ def score_documents(
                 each = logp[np.searchsorted(gram, code[new])][np.cumsum(new, dtype=np.int32) - 1]
                 tree = np.bincount(np.repeat(np.arange(hi - lo, dtype=np.int32), count)[order], weights=each, minlength=hi - lo)
                 c = count_of[np.searchsorted(word, h)]  # every one was sent
-                n_words = np.diff(first)
+                n_words, close = np.diff(first), closes[lo:hi]
                 in_doc = np.repeat(np.arange(hi - lo), n_words)
-                seen = np.bincount(in_doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (ends > 0)
-                base = np.bincount(in_doc, weights=np.log10(c + 1) - cost, minlength=hi - lo) + np.log10(ends + 1) - cost
-                cols = [b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(n_words + 1, pa.int64()), pa.array(seen)]
-                cols += [pa.array(np.full(hi - lo, train, np.int64)), pa.array(base), pa.array(tree)]
+                seen = np.bincount(in_doc, weights=c > 0, minlength=hi - lo).astype(np.int64) + (close if ends else 0)
+                base = np.bincount(in_doc, weights=np.log10(c + 1) - cost, minlength=hi - lo) + np.where(close, np.log10(ends + 1) - cost, 0.0)
+                cols = [b.column(x).slice(lo, hi - lo) for x in ("row", "doc_id", "held_out")]
+                cols += [pa.array(x) for x in ((n_words + close).astype(np.int64), seen.astype(np.int64), base, tree)]
                 out.append(pa.RecordBatch.from_arrays(cols, schema=scores))
             del gram, logp, word, count_of, data, b
         give_back()
         return pa.Table.from_batches(out, schema=scores)
 
-    scores = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    scores = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     texts = table.filter(F.col("kind") == TEXTS).select("block", "a")
-    return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)
+    pieces = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(scored, schema)
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    whole = pieces.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *sums)
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from suffix_tree import grow_tree
+
 from factloom.llm import lm_scoring as lm
 from factloom.llm import queries
 
@@ -67,7 +69,7 @@ def tree_of(texts, depth, keep):
                 for x in s[i - d : i]:
                     code = code << lm.BITS | x
                 rows[d, code, s[i]] += 1
-    return lm.grow_tree(tuple(zip(*((*k, n) for k, n in rows.items()))), depth, keep)
+    return grow_tree(tuple(zip(*((*k, n) for k, n in rows.items()))), depth, keep)
 
 
 @pytest.mark.parametrize("keep", [0.0, 3.0])
@@ -131,3 +133,43 @@ def test_a_rare_context_stays_in_a_large_corpus(spark):
     rare = [(10_000_000 + i, "xylophonqz", "q", 3) for i in range(12)]
     got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(filler + rare, SCHEMA)).collect()}
     assert max(got[d] for d, *_ in rare) > -12
+
+
+def test_pieces_spell_the_whole_text():
+    rng = random.Random(7)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", "C", "é", " ", "\n ", "xyz"]) for _ in range(rng.randint(1, 60)))
+        raw, depth = np.frombuffer(text.encode(), np.uint8), rng.choice([4, 6])
+        whole, begin, count, _ = lm.symbols(raw, np.array([0, len(raw)]), depth)
+        got, codes = [], []
+        for lo, hi, head, last in lm.cut_text(raw, rng.choice([1, 3, 8]), depth):
+            sym, at, n, _ = lm.symbols(raw[lo:hi], np.array([0, hi - lo]), depth, [head], np.array([last]))
+            got += sym[at[0] : at[0] + n[0]].tolist()
+            codes += lm.ngram_codes(sym, at, n, depth + 1).tolist()
+        assert got == whole[begin[0] :].tolist() and codes == lm.ngram_codes(whole, begin, count, depth + 1).tolist()
+
+
+def test_long_texts_are_scored_as_whole_ones(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(rng.choice([0, 3, 400]))) + rng.choice(["", " \n"]), "q", 3) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {r["doc_id"]: r for r in lm.score_documents(df).collect()}
+    cut = {r["doc_id"]: r for r in lm.score_documents(df, block_bytes=256).collect()}
+    assert whole.keys() == cut.keys() and len(cut) == 60
+    for d, r in whole.items():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (cut[d]["n_tokens"], cut[d]["n_known"], cut[d]["train_tokens"])
+        assert (r["base_score"], r["score"]) == pytest.approx((cut[d]["base_score"], cut[d]["score"]))
+
+
+def test_one_text_of_many_megabytes(spark):
+    rng = np.random.default_rng(1)
+    text = bytes(rng.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 24 << 20)).decode()
+    rows = [(1, text, "q", 3), (2, "one more", "q", 3)]
+    got = {r["doc_id"]: r for r in lm.score_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1]["n_tokens"] == len(text.split()) + 1 and got[1]["score"] < 0 and len(got) == 2
+
+
+@pytest.mark.parametrize("depth", [3, 7])
+def test_depths_that_do_not_fit_are_refused(spark, depth):
+    with pytest.raises(ValueError, match="4 to 6"):
+        lm.score_documents(spark.createDataFrame([], SCHEMA), depth=depth)
