@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.text import year_in
 from factloom.operators.metrics import ratio
+from factloom.operators.numbering import in_order
 from factloom.operators.shaping import language_of_id
 
 
@@ -24,9 +25,9 @@ def gold_pairs(rows: DataFrame, name: str, act: str) -> DataFrame:
 
 
 def act_list(rows: DataFrame, act: str, signed: str) -> DataFrame:
-    """Each act once with the year of its first date and an id by name. The list is of gold size."""
+    """Each act once with the year of its first date and an id by name."""
     once = rows.filter(F.col(act).isNotNull()).groupBy(act).agg(F.year(F.min(signed)).alias("year"))
-    return once.withColumn("act_id", F.row_number().over(Window.orderBy(act)))
+    return in_order(once, act).select(act, "year", (F.col("_k") + 1).cast("int").alias("act_id"))
 
 
 def act_evidence(rows: DataFrame, by: str, order: str, arrays: list[str], valid: str) -> DataFrame:

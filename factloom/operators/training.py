@@ -9,6 +9,7 @@ from factloom.functions.recodes import edge_case_score
 from factloom.operators.consistency import act_request
 from factloom.operators.evidence import seeded_order
 from factloom.operators.numbering import first_in_order, numbered
+from factloom.operators.windows import PAGE_BREAK
 
 #: What a year's context says, and the confidences that examples state.
 RECESSION, EXPANSION = "RECESSION YEAR: ", "Economic expansion - no recession"
@@ -17,7 +18,6 @@ SURE, SURE_NEGATIVE, SURE_MOTIVATION = 0.95, 0.9, 0.95
 EDGES, EXCERPT, QUOTED = 0.67, 150, 500
 #: Fixed value: the mark of a named act with a year.
 NAMED_ACT = r"(?i)\b(act|bill|law|amendment|legislation)\s+(of\s+)?\d{4}\b"
-PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 
 DETECTION_TASK = "Classify this act's PRIMARY motivation."
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as X
 
+#: Fixed value: what stands between the pages of a window.
 PAGE_BREAK = "\n\n--- PAGE BREAK ---\n\n"
 
 #: Upper edges and labels of the density bins.

@@ -16,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A source with fewer splits than there are cores, dealt to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document are its pages; windows of 10 pages share 3."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.split("text", "\n").alias("pages"))
     return windows.page_windows(docs, size=10, overlap=3)
 
 

@@ -48,6 +48,9 @@ def labels(book: dict) -> list[str]:
     return [entry["label"] for entry in book.get("classes") or []]
 
 
+# The headings of a prompt and of its sections, here and in ``prompt``.
+
+
 def _criteria(title: str, kind: str, items: list[str] | str, removed: set[str]) -> str:
     listed = [items] if isinstance(items, str) else list(items or [])
     kept = [f"- {x}\n" for n, x in enumerate(listed, 1) if f"{kind}_{n}" not in removed]
