@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import fold, give_back, map_arrow, partitions_for
 from factloom.llm.ngrams import hashed_counts
 
+#: Tasks whose sums of one row meet in one group of the first round.
+FAN_IN = 256
 ORDERS = (1, 2, 3)
 
 
@@ -156,12 +158,15 @@ def moments_of(texts: DataFrame, bits: int, part_bytes: int) -> Moments | None:
     def summed(t: pa.Table) -> pa.Table:
         order = np.argsort(t.column("task").to_numpy())  # the same sum in every run
         total = sum(np.frombuffer(t.column("sums")[i].as_py()) for i in order.tolist())
-        return pa.table({"row": t.column("row").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"row": t.column("row").slice(0, 1), "task": t.column("task").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     # a task's sums are a matrix, so there are no more tasks than the texts are worth
     parts = texts.coalesce(partitions_for(texts.sparkSession, bytes_, part_bytes)).mapInArrow(add, "row int, task int, sums binary")
+    schema = "row int, task int, sums binary"
+    # two rounds, so that no group holds a row's sums of all tasks
+    some = parts.withColumn("_g", F.floor(F.col("task") / FAN_IN)).groupBy("row", "_g").applyInArrow(lambda t: summed(t.drop_columns(["_g"])), schema)
     # 2^bits rows
-    got = {r["row"]: np.frombuffer(bytes(r["sums"])) for r in parts.groupBy("row").applyInArrow(summed, "row int, sums binary").collect()}
+    got = {r["row"]: np.frombuffer(bytes(r["sums"])) for r in some.groupBy("row").applyInArrow(summed, schema).collect()}
     if not got:
         return None
     n = int(got[size + 1][0])
@@ -232,7 +237,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
 
     Learns from documents and labels of the other folds. Repeated rows are
     scored each, a null id is in the fold of the empty text, other columns are
-    not carried; an empty table gives no rows.
+    not carried; an empty table gives no rows. A very long text is read whole by
+    one task, which takes some ten times its size.
     """
     out = fold(doc_id, folds) == held
     model = learn(docs.filter(~out), labels.filter(~out), doc_id=doc_id, text=text)
