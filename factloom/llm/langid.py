@@ -171,7 +171,8 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, doc_id: str = "doc_
     Learns from rows of the other folds that have a language; ids, sources and
     languages are no inputs of a prediction. Repeated rows are predicted each,
     a null id is in the fold of the empty text, other columns are not carried;
-    an empty table gives no rows. Without learning rows all is ``und``.
+    an empty table gives no rows. Without learning rows all is ``und``. A very
+    long text is read whole by one task, which takes some ten times its size.
     """
     out = fold(doc_id, folds) == held
     model = learn(docs.filter(~out), doc_id=doc_id, text=text, lang=lang)

@@ -108,7 +108,11 @@ def double_rate(x: np.ndarray) -> np.ndarray:
 
 
 def encode_media(docs: DataFrame, doc_id: str = "doc_id", data: str = "text", unit: int = UNIT) -> DataFrame:
-    """doc_id, n_bytes and ``media``: the bytes, padded with 255 to a positive multiple of ``unit``, as a mu-law file."""
+    """doc_id, n_bytes and ``media``: the bytes, padded with 255 to a positive multiple of ``unit``, as a mu-law file.
+
+    Null is empty, repeated rows are files each, other columns are not carried,
+    an empty table gives no rows. A very long text is one file, held whole.
+    """
 
     def run(b: pa.RecordBatch):
         for lo in range(0, b.num_rows, 256):

@@ -377,7 +377,8 @@ def near_duplicates(
     words have no shingles and are linked with nothing. A row with a null
     doc_id stands alone: component_id null, kept. Rows that repeat a doc_id are
     judged each by its text. Other columns are not carried; an empty table
-    gives no rows.
+    gives no rows. A very long text is read whole by one task; its set, eight
+    bytes a shingle, travels as one row.
     """
     threshold = percent / 100
     table = written(signature_table(docs, words, doc_id, text), "signatures")

@@ -103,7 +103,8 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """doc_id, n_words and n_tokens of every whole text.
 
     Null and empty texts have none; repeated rows are counted each; other
-    columns are not carried; an empty table gives no rows.
+    columns are not carried; an empty table gives no rows. A very long text is
+    read whole by one task, word by word.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
