@@ -1,4 +1,4 @@
-"""Classification, clustering and agreement metrics."""
+"""Classification, clustering and agreement metrics."""
 
 from __future__ import annotations
 
@@ -103,21 +103,3 @@ def majority(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     w, r = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("_n"), label)
     got = n.withColumn("agreement", F.col("_n") / F.sum("_n").over(w)).withColumn("_r", F.row_number().over(r))
     return got.filter("_r = 1").select(*by, F.col(label).alias("majority"), "agreement")
-
-
-def bootstrap_mean(rows: DataFrame, value: str, replicates: int = 1000, seed: int = 1) -> DataFrame:
-    """Percentile interval of the mean, by Poisson resampling weights hashed from (seed, replicate, row).
-
-    Each row is met once for each replicate and summed where it lies, so only
-    ``replicates`` sums a task are shuffled. ``rows`` needs a column ``_id``.
-    """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "_rep", "_id"), F.lit(1 << 30)).cast("double") + 0.5) / (1 << 30)
-    # Cumulative probabilities of a Poisson variable of mean 1.
-    cuts = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759)
-    weight = F.lit(0)
-    for c in cuts:
-        weight = weight + (u > c).cast("int")
-    reps = rows.select("_id", F.col(value).cast("double").alias("_x"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).withColumn("_w", weight)
-    means = reps.groupBy("_rep").agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("m")).filter("m IS NOT NULL")
-    point = rows.agg(F.avg(value).alias("estimate"))
-    return point.crossJoin(means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.operators import goldmatch, metrics
 from factloom.operators.metrics import ratio
@@ -11,6 +17,11 @@ from factloom.operators.numbering import numbered
 
 Rates = dict[str, tuple[Column, Column]]
 
+#: Cumulative probabilities of a Poisson number of mean 1.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+#: Groups whose sums a task holds at a time.
+GROUPS = 64
+
 
 def one(condition: Column) -> Column:
     """1.0 where the condition holds, 0.0 where it does not or is null."""
@@ -43,27 +54,83 @@ def _long(wide: DataFrame, values: dict[str, Column], *keep: str) -> DataFrame:
     return wide.select(*keep, F.explode(F.array(*cells)).alias("_c")).select(*keep, "_c.*")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: bits that differ anywhere differ everywhere."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def weights(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each replicate draws each row: Poisson numbers of mean 1, by row and replicate, from the rows' hashes."""
+    reps = _mixed(np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    u = (_mixed(hashes.view(np.uint64)[:, None] ^ reps[None, :]) >> np.uint64(11)).astype(float) * 2.0**-53
+    return np.searchsorted(POISSON, u, side="right").astype(np.float32)
+
+
+def weighted_sums(rows: DataFrame, key: str, values: list[str], once: list[bool], replicates: int, seed: int, *by: str) -> DataFrame:
+    """For each replicate, ``_rep`` from 1, and ``by`` the sum of each value over the rows that it draws, as often as it draws them (of a value with ``once``, once).
+
+    The weights of a row are one array, hashed from seed and ``key``, so reruns
+    agree. Tasks sum their rows and hand on ``replicates`` sums for each group.
+    """
+    kinds = [f for f in rows.schema.fields if f.name in by]
+    out = T.StructType([*kinds, T.StructField("_rep", T.IntegerType()), *[T.StructField(v, T.DoubleType()) for v in values]])
+    hashed = rows.select(*by, F.xxhash64(F.lit(seed), key).alias("_h"), *[F.col(v).cast("double").alias(v) for v in values])
+    single = np.array(once, bool)
+
+    def flushed(sums: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for group, total in sums.items():
+            frame = pd.DataFrame(total, columns=values)
+            frame.insert(0, "_rep", np.arange(1, replicates + 1, dtype=np.int32))
+            for i, (field, value) in enumerate(zip(kinds, group)):
+                frame.insert(i, field.name, pd.Series([value] * replicates, dtype=object))
+            yield frame
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        names = [f.name for f in kinds]
+        for frame in frames:
+            if names:
+                parts = [(k if isinstance(k, tuple) else (k,), p) for k, p in frame.groupby(names, sort=False, dropna=True)]
+            else:
+                parts = [((), frame)]
+            for group, part in parts:
+                total = sums.setdefault(group, np.zeros((replicates, len(values))))
+                for lo in range(0, len(part), 512):
+                    x = np.nan_to_num(part[values].iloc[lo : lo + 512].to_numpy(dtype=float))
+                    w = weights(part["_h"].iloc[lo : lo + 512].to_numpy(), replicates)
+                    total[:, ~single] += w.T @ x[:, ~single]
+                    total[:, single] += (w > 0).T.astype(np.float32) @ x[:, single]
+            if len(sums) > GROUPS:
+                yield from flushed(sums)
+                sums = {}
+        yield from flushed(sums)
+
+    return hashed.mapInPandas(add, out).groupBy(*by, "_rep").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def rate_intervals(rows: DataFrame, key: str, rates: Rates, *by: str, once: frozenset[str] = frozenset(), replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
     """Each rate, a sum over a sum, with its percentile interval over resampled rows.
 
     ``rates`` names numerator and denominator of a row. In the rates named in
     ``once`` a drawn row counts once, however often it is drawn. A rate over
     nothing is null, and replicates without one are left out of its interval.
+    Groups of a null ``by`` have no interval. ``key`` tells the rows apart.
     """
-    parts = [c.cast("double").alias(f"_{side}{i}") for i, pair in enumerate(rates.values()) for side, c in zip("ab", pair)]
-    cells = rows.select(*by, F.col(key).alias("_key"), *parts)
-
-    def summed(df: DataFrame, weigh: bool, *keep: str) -> DataFrame:
-        sums = []
-        for i, m in enumerate(rates):
-            w = F.col("_w") if weigh and m not in once else F.lit(1)
-            sums += [F.sum(w * F.col(f"_{side}{i}")).alias(f"_{side}{i}") for side in "ab"]
-        values = {m: ratio(F.col(f"_a{i}"), F.col(f"_b{i}")) for i, m in enumerate(rates)}
-        return _long(df.groupBy(*keep).agg(*sums), values, *keep)
-
-    point = summed(cells, False, *by)
-    each = summed(drawn(cells, "_key", replicates, seed, *by), True, *by, "_rep")
-    return point.join(_interval(each, level, *by), [*by, "metric"], "left")
+    sides = [(m, f"_{side}{i}", c) for i, (m, pair) in enumerate(rates.items()) for side, c in zip("ab", pair)]
+    cells = rows.select(*by, F.col(key).alias("_key"), *[c.cast("double").alias(n) for _, n, c in sides])
+    values = {m: ratio(F.col(f"_a{i}"), F.col(f"_b{i}")) for i, m in enumerate(rates)}
+    point = _long(cells.groupBy(*by).agg(*[F.sum(n).alias(n) for _, n, _ in sides]), values, *by)
+    each = weighted_sums(cells, "_key", [n for _, n, _ in sides], [m in once for m, *_ in sides], replicates, seed, *by)
+    return point.join(_interval(_long(each, values, *by, "_rep"), level, *by), [*by, "metric"], "left")
+
+
+def mean_interval(rows: DataFrame, key: str, value: str, replicates: int = 1000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """``estimate``, the mean of a value, with ``low`` and ``high``; nulls are left out."""
+    known = F.col(value).isNotNull().cast("double")
+    got = rate_intervals(rows, key, {"mean": (F.coalesce(F.col(value).cast("double"), F.lit(0.0)), known)}, replicates=replicates, seed=seed, level=level)
+    return got.select(F.col("value").alias("estimate"), "low", "high")
 
 
 def act_rates(called: str, exogenous: str, sign: str, true_sign: str) -> Rates:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import evidence, metrics
+from factloom.operators import evidence, metrics, resampling
 from factloom.plans import register
 from factloom.plans.corpus import table
 
@@ -94,4 +94,4 @@ def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("bootstrap_quality")
 def bootstrap_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.bootstrap_mean(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_id"), "quality"), "quality", 200)
+    return resampling.mean_interval(table(spark, sf_dir, "labels"), "doc_id", "quality", 200)

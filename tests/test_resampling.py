@@ -24,6 +24,31 @@ def test_rate_intervals_hold_the_binomial_width(spark):
     assert found["none"]["value"] is None and found["none"]["low"] is None
 
 
+def test_weights_are_poisson_and_summed_in_tasks(spark):
+    w = resampling.weights(np.arange(4000, dtype=np.int64) * 7919, 300)
+    assert abs(w.mean() - 1) < 0.005 and abs(w.var() - 1) < 0.01 and abs((w == 0).mean() - math.exp(-1)) < 0.003
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
+    rows = spark.createDataFrame([(i, "ab"[i % 2], float(i % 5), None if i % 3 else 1.0) for i in range(700)] + [(999, None, 1.0, 1.0)], "k int, g string, x double, y double").repartition(5)
+    got = {(r.g, r["_rep"]): (r.x, r.y) for r in resampling.weighted_sums(rows, "k", ["x", "y"], [False, True], 40, 3, "g").collect()}
+    hashes = {r.k: r.h for r in rows.select("k", F.xxhash64(F.lit(3), "k").alias("h")).collect()}
+    data = [r for r in rows.collect() if r.g]
+    own = resampling.weights(np.array([hashes[r.k] for r in data]), 40)
+    for rep in (1, 17, 40):
+        for g in "ab":
+            x = sum(float(own[i, rep - 1]) * r.x for i, r in enumerate(data) if r.g == g)
+            y = sum(float(own[i, rep - 1] > 0) for i, r in enumerate(data) if r.g == g and r.y)
+            assert got[g, rep] == (x, y)
+    assert len(got) == 80
+    plan = resampling.rate_intervals(rows, "k", {"m": (F.col("x"), F.lit(1.0))})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Generate explode(sequence" not in plan
+
+
+def test_mean_interval(spark):
+    rows = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(900, None)], "k int, v int")
+    got = resampling.mean_interval(rows, "k", "v", 500).first()
+    assert got.estimate == 0.5 and abs(got.low - (0.5 - 1.96 * 0.025)) < 0.012 and abs(got.high - (0.5 + 1.96 * 0.025)) < 0.012
+
+
 def test_gate_intervals_enclose_their_points(spark):
     matches = spark.createDataFrame([("v", 1, 1, True, True, True), ("v", 2, 1, True, True, False), ("v", 2, 2, True, False, True), ("v", 3, 3, False, True, True)], "v string, c int, a int, p boolean, np boolean, y boolean")
     clusters = spark.createDataFrame([("v", c) for c in range(1, 6)], "v string, c int")
