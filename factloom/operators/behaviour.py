@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from factloom.operators import metrics
 from factloom.operators.consistency import few_shot_prompt
 from factloom.operators.model_calls import Client, answered
-from factloom.operators.replies import json_body, parsed
+from factloom.operators.replies import EVIDENCE, evidence_reason, json_body, parsed
 from factloom.sources import codebooks
 from factloom.storage import written
 
@@ -29,6 +29,8 @@ EXCLUSION = "IMPORTANT NOTE: This category does not apply if the document discus
 LEGAL, RECOVERED, ORDER = 1.0, 1.0, 0.05
 #: Lower ends of the degrees of agreement of kappa.
 AGREEMENT = ((0.8, "Near-perfect agreement"), (0.6, "Substantial agreement"), (0.4, "Moderate agreement"), (0.2, "Fair agreement"))
+#: Fixed value: characters of a quote that a fingerprint of evidence has.
+FINGERPRINT = 80
 #: Sections left out by each condition of an ablation.
 ABLATIONS: dict[str, frozenset[str]] = {
     "full": frozenset(),
@@ -319,6 +321,39 @@ def under_listing(rows: DataFrame, key: str, expected: str) -> DataFrame:
     return rows.select(key, "label", F.size(expected).alias("n_expected"), F.size(names).alias("n_measures"), found.alias("n_acts_found"), F.try_divide(found.cast("double"), F.size(expected).cast("double")).alias("per_act_recall"))
 
 
+def evidence_of(texts: DataFrame, variants: list[Variant], client: Client, key: str, text: Column, *keep: str) -> DataFrame:
+    """Evidence replies of each text under each variant: ``variant``, ``invalid`` (why the reply does not hold, null if it does), ``n_evidence``, ``label`` (its fingerprint).
+
+    The fingerprint is the sorted quotes (80 characters) with their signals,
+    EMPTY without any; a call that fails has none and is invalid.
+    """
+    one = F.explode(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(v.prompt).alias("_system")) for v in variants])).alias("_v")
+    asked = texts.select(key, *keep, text.alias("_text"), one).select(key, *keep, "_v.variant", "_v._system", few_shot_prompt(TASK, [], F.col("_text")).alias("_prompt"))
+    got = answered(asked, client, "_prompt", "_system").withColumn("_b", parsed(F.col("reply"), EVIDENCE))
+    marks = F.transform("_b.evidence", lambda e: F.concat(F.substring(F.coalesce(e["quote"], F.lit("")), 1, FINGERPRINT), F.lit("|"), F.coalesce(e["signal"], F.lit(""))))
+    print_ = F.coalesce(F.nullif(F.array_join(F.array_sort(marks), "||"), F.lit("")), F.lit("EMPTY"))
+    why = F.when(F.col("reply").isNull(), F.col("error")).otherwise(evidence_reason(F.col("_b")))
+    n = F.coalesce(F.when(F.col("_b.evidence").isNotNull(), F.size("_b.evidence")), F.lit(0))
+    return written(got.select(key, *keep, "variant", why.alias("invalid"), n.alias("n_evidence"), F.when(F.col("reply").isNotNull(), print_).alias("label")), "evidence")
+
+
+def evidence_tests(texts: DataFrame, passages: DataFrame, book: dict, client: Client, key: str, text: str, seed: int = 42, **how) -> dict[str, DataFrame]:
+    """I, II and IV for a codebook of evidence: replies that hold, evidence found in ``passages`` (same columns) that plainly have some, and the same evidence under every order of the classes; their ``summary``."""
+    rows = evidence_of(texts, order_variants(book, seed, **how), client, key, F.col(text))
+    legal = rows.filter(F.col("variant") == "original").select(key, "invalid", F.col("invalid").isNull().alias("valid"))
+    plain = evidence_of(passages, [plain_variant(book, **how)], client, key, F.col(text))
+    found = plain.select(key, "n_evidence", (F.col("invalid").isNull() & (F.col("n_evidence") > 0)).alias("correct"))
+    changes = order_changes(rows, key)
+    ordered = order_summary(changes, key)
+
+    def share(test: str, details: DataFrame, flag: str, least: float) -> DataFrame:
+        return details.agg(F.avg(F.col(flag).cast("double")).alias("m"), F.count(F.lit(1)).alias("n")).select(*_summary(test, F.col("m"), F.col("n"), least, True))
+
+    summary = share("I_legal_outputs", legal, "valid", LEGAL).unionByName(share("II_instruction_recovery", found, "correct", RECOVERED))
+    summary = summary.unionByName(ordered.select("test", "metric", "n_total", "threshold", "comparison", "passed"))
+    return {"legal": legal, "recovery": found, "order": changes, "order_summary": ordered, "summary": summary}
+
+
 def before_evaluation(texts: DataFrame, book: dict, client: Client, key: str, text: str, positive: str | None = None, iso: str = "US", order_texts: int = 10, seed: int = 42) -> dict[str, DataFrame]:
     """Tests I to IV and their ``summary``; the orders are tried on the first ``order_texts`` texts by key, as the test asks."""
     spark = texts.sparkSession

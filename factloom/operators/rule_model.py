@@ -123,3 +123,10 @@ def improving_evidence(request: dict[str, object]) -> str:
     if len(text) % 3 == 0 and (attempt == 1 or len(text) % 9 == 0):
         return json.dumps({"evidence": [{"quote": "q"}], "enacted_signals": [], "timing_signals": []})
     return json.dumps({"evidence": [{"quote": text[:10], "signal": "s"}], "enacted_signals": [], "timing_signals": []})
+
+
+def ordered_evidence(request: dict[str, object]) -> str:
+    """An extractor of evidence that names the first class of its prompt for texts of even length: it must fail the test of orders."""
+    text, first = task_text(str(request["prompt"])), classes_of(str(request["system"]))[0][0]
+    evidence = [{"quote": text[:10], "signal": first if len(text) % 2 == 0 else "s"}] if text else []
+    return json.dumps({"evidence": evidence, "enacted_signals": [], "timing_signals": []})

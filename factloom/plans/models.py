@@ -94,6 +94,13 @@ def ablation_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("condition", *[F.round(c, 9).alias(c) for c in ("accuracy", "recall", "accuracy_drop", "recall_drop", "tier1_recall_drop")])
 
 
+@register("evidence_orders", """SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN text = '' THEN 'EMPTY' ELSE substr(text, 1, 10) || '|' || CASE WHEN length(text) % 2 = 0 THEN 'MEASURE' ELSE 's' END END AS original, coalesce(text <> '' AND length(text) % 2 = 0, FALSE) AS changed_reversed FROM documents""")
+def evidence_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    client = Client(rule_model.ordered_evidence, {"model": "evidence-order"}, tries=2, sleep=no_wait)
+    return behaviour.evidence_tests(docs, docs.limit(0), BOOK, client, "doc_id", "text")["order"].select("doc_id", "original", "changed_reversed")
+
+
 #: The digit of each text and sample, as the rule has it.
 DIGITS = """d AS (SELECT doc_id, text, s AS sample, CAST('0x' || substr(md5(text || '#' || s), 1, 1) AS INTEGER) AS d FROM (SELECT doc_id, text, unnest(range(1, 6)) AS s FROM documents))"""
 

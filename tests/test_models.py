@@ -261,3 +261,18 @@ def test_measures_and_under_listing(spark):
     texts = spark.createDataFrame([(1, "The Tax Reform Act of 1986 and The Big Act of 1990", ["tax reform act of 1986", "Lost Act", "The Big Act of 1990, as amended"]), (2, "none", ["A"])], "id int, text string, acts array<string>")
     listed = behaviour.under_listing(behaviour.classified(texts, [behaviour.plain_variant(THREE)], rule_client(), "id", "text", "acts"), "id", "acts")
     assert {r.id: (r.n_expected, r.n_measures, r.n_acts_found, round(r.per_act_recall, 6)) for r in listed.collect()} == {1: (3, 2, 2, 0.666667), 2: (1, 0, 0, 0.0)}
+
+
+def test_evidence_under_every_order(spark):
+    texts = spark.createDataFrame([(1, "even"), (2, "odd"), (3, ""), (4, None)], "id int, text string")
+    passages = spark.createDataFrame([(1, "a plain quote"), (2, "")], "id int, text string")
+    client = Client(rule_model.ordered_evidence, {"model": "e"}, tries=1, sleep=no_wait)
+    got = behaviour.evidence_tests(texts, passages, THREE, client, "id", "text")
+    assert {r.id: (r.original, r.reversed, r.changed_reversed) for r in got["order"].collect()} == {1: ("even|TAX", "even|OTHER", True), 2: ("odd|s", "odd|s", False), 3: ("EMPTY", "EMPTY", False), 4: (None, None, False)}
+    rows = {r.test: (r.metric, r.n_total, r.passed) for r in got["summary"].collect()}
+    assert rows["I_legal_outputs"] == (0.75, 4, False) and rows["II_instruction_recovery"] == (0.5, 2, False) and rows["IV_order_invariance"][:2] == (0.25, 4)
+    fine = Client(lambda r: json.dumps({"evidence": [{"quote": "q", "signal": "s"}, {"quote": "a", "signal": "s"}], "enacted_signals": [], "timing_signals": []}), tries=1, sleep=no_wait)
+    done = behaviour.evidence_tests(texts.filter("text <> ''"), passages.limit(1), THREE, fine, "id", "text")
+    assert all(r.passed for r in done["summary"].collect()) and done["order"].first().original == "a|s||q|s"
+    broken = Client(lambda r: "no json", tries=1, sleep=no_wait)
+    assert {r.invalid for r in behaviour.evidence_tests(passages, passages, THREE, broken, "id", "text")["legal"].collect()} == {"JSON parse error"}
