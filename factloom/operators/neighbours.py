@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.vectors import dot, unit
+from factloom.storage import written
 
 #: Bins of the first pass over all pairs; the median's own bins are read exactly in a second.
 BINS = 1 << 16
@@ -31,7 +32,8 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
 
     One row. The share is over labels of two names or more, ties go to the
     smaller key; separation is above 0 where labels hold together. All pairs
-    are compared, as the medians ask, in blocks of names: names without a
+    are compared, as the medians ask, in blocks of names, twice (the medians are
+    read exactly where a first pass found their bins): names without a
     label or vector, or with nulls in it, take no part; fewer than two names
     give nulls. ``key`` is a whole number, one row each; vectors are of one length.
     """
@@ -45,8 +47,8 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
     pairs = placed.select("_key", "_label", "_x", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).groupBy("_i", "_j")
     sign = 1.0 if measure == "cosine" else -1.0
 
-    def nearest(frame: pd.DataFrame) -> pd.DataFrame:
-        out, met = [], _compared(frame, measure)
+    def nearest(frame: pd.DataFrame, met: tuple | None) -> list[pd.DataFrame]:
+        out = []
         if met:
             a, b, v = met
             score = sign * v
@@ -57,10 +59,9 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
                 best = s.argmax(axis=1)
                 found = pd.DataFrame({"k": mine["_key"].to_numpy(), "l": mine["_label"].to_numpy(), "s": s[np.arange(len(s)), best], "ok": theirs["_key"].to_numpy()[best], "ol": theirs["_label"].to_numpy()[best]})
                 out.append(found[np.isfinite(found["s"])])
-        return pd.concat(out) if out else pd.DataFrame({"k": [], "l": [], "s": [], "ok": [], "ol": []})
+        return out
 
-    def values(frame: pd.DataFrame) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-        met = _compared(frame, measure)
+    def values(frame: pd.DataFrame, met: tuple | None) -> list[tuple[bool, np.ndarray, np.ndarray]]:
         if not met:
             return []
         a, b, v = met
@@ -69,14 +70,20 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
         parts = [(same, v[free & (alike == same)]) for same in (True, False)]
         return [(same, w, np.clip((w - low) / (high - low) * BINS, 0, BINS - 1).astype(int)) for same, w in parts]
 
-    def binned(frame: pd.DataFrame) -> pd.DataFrame:
+    columns = ["same", "bin", "n", "k", "l", "s", "ok", "ol"]
+
+    def surveyed(frame: pd.DataFrame) -> pd.DataFrame:
+        """Of a pair of blocks the bins of its values and each name's nearest there, in rows of their own."""
+        met = _compared(frame, measure)
         out = []
-        for same, _, at in values(frame):
+        for same, _, at in values(frame, met):
             places, n = np.unique(at, return_counts=True)
             out.append(pd.DataFrame({"same": same, "bin": places, "n": n}))
-        return pd.concat(out) if out else pd.DataFrame({"same": [], "bin": [], "n": []})
+        out += nearest(frame, met)
+        return pd.concat(out).reindex(columns=columns).astype({"bin": "Int32", "n": "Int64", "k": "Int64", "ok": "Int64", "same": "boolean"}) if out else pd.DataFrame({c: [] for c in columns})
 
-    counts = pairs.applyInPandas(binned, "same boolean, bin int, n long").groupBy("same", "bin").agg(F.sum("n").alias("n")).collect()  # at most 2 * BINS rows
+    survey = written(pairs.applyInPandas(surveyed, "same boolean, bin int, n long, k long, l string, s double, ok long, ol string"), "survey")
+    counts = survey.filter("bin IS NOT NULL").groupBy("same", "bin").agg(F.sum("n").alias("n")).collect()  # at most 2 * BINS rows
     ranks, wanted = {}, {True: [], False: []}
     for same in (True, False):
         bins = sorted((r["bin"], r["n"]) for r in counts if r["same"] is same)
@@ -91,7 +98,7 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
 
     def exact(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for same, w, at in values(frame):
+        for same, w, at in values(frame, _compared(frame, measure)):
             for place in wanted[same]:
                 v, n = np.unique(w[at == place], return_counts=True)
                 out.append(pd.DataFrame({"same": same, "bin": place, "v": v, "n": n}))
@@ -107,7 +114,7 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
             fits = fits | ((F.col("same") == same) & (F.col("bin") == place) & (F.col("_upto") > m) & (F.col("_upto") - F.col("n") <= m))
         for same in ranks:
             medians[same] = float(np.mean([r["v"] for r in cells.filter(fits).filter(F.col("same") == same).collect()]))  # two rows at most
-    first = pairs.applyInPandas(nearest, "k long, l string, s double, ok long, ol string").groupBy("k", "l").agg(F.max_by("ol", F.struct("s", -F.col("ok"))).alias("ol"))
+    first = survey.filter("k IS NOT NULL").groupBy("k", "l").agg(F.max_by("ol", F.struct("s", -F.col("ok"))).alias("ol"))
     shared = known.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
     rate = first.join(shared.filter("_n >= 2"), F.col("l") == F.col("_label")).agg(F.avg((F.col("l") == F.col("ol")).cast("double")).alias("top1_nn_same_act_rate"))
     within, between = (F.lit(medians[s]).cast("double") for s in (True, False))
