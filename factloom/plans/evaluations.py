@@ -152,7 +152,7 @@ def measured_act_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.measured_act_recall(chunks(spark, sf_dir), "y", "P", "act", ["chunk"], "measure"), "recall")
 
 
-@register("extraction_metrics", """WITH x AS (SELECT trim(regexp_replace(regexp_replace(lower(p_name), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS n, p_size FROM part),
+@register("extraction_metrics", """WITH x AS (SELECT trim(regexp_replace(regexp_replace(lower(p_name), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS n, p_size FROM part),
 e AS (SELECT n FROM x WHERE p_size < 25), k AS (SELECT n FROM x WHERE p_size >= 25),
 h AS (SELECT a.n AS en, b.n AS kn FROM (SELECT DISTINCT n FROM e) a, (SELECT DISTINCT n FROM k) b WHERE a.n = b.n OR jaro_similarity(a.n, b.n) >= 0.85),
 c AS (SELECT (SELECT count(*) FROM e WHERE n IN (SELECT en FROM h)) AS tp, (SELECT count(*) FROM e) AS ne, (SELECT count(*) FROM k WHERE n NOT IN (SELECT kn FROM h)) AS fn, (SELECT count(*) FROM k) AS nk)
