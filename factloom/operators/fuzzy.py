@@ -13,10 +13,9 @@ from factloom.storage import written
 
 def similar_across(left: DataFrame, right: DataFrame, least: float, a: str, b: str) -> DataFrame:
     """``_a``, ``_b``, ``similarity``: distinct names of two tables with a similarity of ``least``, equal names among them."""
-    one, two = (t.select(F.col(c).alias("_x")).distinct() for t, c in ((left, a), (right, b)))
-    index = written(letters.indexed(one.unionByName(two), "_x"), "letters")
-    mine, theirs = (index.join(t, F.col("_name") == F.col("_x"), "left_semi") for t in (one, two))
-    pairs = letters.candidates(mine, theirs, least).toDF("_a", "_b")
+    one, two = (t.select(F.col(c).alias("_x"), F.lit(here).alias("_one"), F.lit(not here).alias("_two")) for t, c, here in ((left, a, True), (right, b, False)))
+    index = written(letters.indexed(one.unionByName(two), "_x", "_one", "_two"), "letters")
+    pairs = letters.candidates(index.filter("_one"), index.filter("_two"), least).toDF("_a", "_b")
     return pairs.withColumn("similarity", jaro(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= least)
 
 

@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 SLACK = 1e-9
 
 
-def indexed(names: DataFrame, name: str = "name") -> DataFrame:
-    """Distinct names with ``_len`` and ``_letters``, their numbered letters, the rarest of all names first. An empty name has one letter, the empty one."""
-    one = names.select(F.col(name).alias("_name")).filter("_name IS NOT NULL").distinct()
-    letters = one.select("_name", F.explode(F.regexp_extract_all("_name", F.lit("(?s)(.)"), 1)).alias("_c")).groupBy("_name", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = letters.select("_name", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"), "_c")
-    numbered = numbered.select("_name", F.concat("_c", F.col("_k").cast("string")).alias("_t"))
-    often = numbered.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
-    listed = numbered.join(often, "_t").groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_all"))
-    empty = one.filter(F.length("_name") == 0).select("_name", F.array(F.lit("")).alias("_letters"))
-    whole = listed.select("_name", F.transform("_all", lambda x: x["_t"]).alias("_letters")).unionByName(empty)
-    return whole.select("_name", F.length("_name").alias("_len"), "_letters")
+def indexed(names: DataFrame, name: str = "name", *flags: str) -> DataFrame:
+    """Distinct names with ``_len`` and ``_letters``, their numbered letters, the rarest of all names first, and whether any row has each flag. An empty name has one letter, the empty one."""
+    one = names.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_name")).agg(F.count(F.lit(1)).alias("_rows"), *[F.bool_or(f).alias(f) for f in flags])
+    chars = F.regexp_extract_all("_name", F.lit("(?s)(.)"), 1)
+    spelled = one.select("_name", *flags, chars.alias("_c"))
+    number = F.transform("_c", lambda c, i: F.concat(c, F.size(F.filter(F.slice("_c", F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+    spelled = spelled.select("_name", *flags, F.when(F.size("_c") == 0, F.array(F.lit(""))).otherwise(number).alias("_t"))
+    long = spelled.select("_name", *flags, F.explode("_t").alias("_t"))
+    often = long.groupBy("_t").agg(F.count(F.lit(1)).alias("_f"))
+    listed = long.join(often, "_t").groupBy("_name", *flags).agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_all"))
+    return listed.select("_name", *flags, F.length("_name").alias("_len"), F.transform("_all", lambda x: x["_t"]).alias("_letters"))
 
 
 def _least_common(x: Column, y: Column, least: float) -> Column:
@@ -60,7 +60,7 @@ def candidates(left: DataFrame, right: DataFrame, least: float, ordered: bool =
     """
     if least <= 1 / 3:
         raise ValueError("a least similarity over a third is needed")
-    longest = max(left.agg(F.max("_len")).first()[0] or 0, right.agg(F.max("_len")).first()[0] or 0)
+    longest = left.select("_len").unionByName(right.select("_len")).agg(F.max("_len")).first()[0] or 0
     a, b = _keyed(left, least, longest, "a"), _keyed(right, least, longest, "b")
     met = a.join(b, ["_t", "_la", "_lb"])
     if ordered:
