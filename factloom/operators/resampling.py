@@ -44,6 +44,15 @@ def drawn(rows: DataFrame, key: str, replicates: int, seed: int, *by: str) -> Da
     return counts.join(placed, [*by, "_k"]).drop("_k")
 
 
+def drawn_counts(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """As ``drawn`` over the whole table: how often, ``_w``, each replicate draws a row with these values. Draws are counted where they are made."""
+    sizes = rows.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
+    reps = sizes.select("_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).repartition("_rep")
+    draws = reps.select("_n", "_rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_d"))
+    places = draws.select("_rep", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_d"), F.col("_n")).alias("_k"))
+    return places.join(numbered(rows, seed, key).select("_k", *values), "_k").groupBy("_rep", *values).agg(F.count(F.lit(1)).alias("_w"))
+
+
 def _interval(values: DataFrame, level: float, *by: str) -> DataFrame:
     ends = [F.percentile("value", F.lit(p)).alias(c) for c, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))]
     return values.filter("value IS NOT NULL").groupBy(*by, "metric").agg(*ends)
@@ -164,13 +173,13 @@ def cluster_intervals(predicted: DataFrame, gold: DataFrame, name: str, cluster:
     """
     clusters = predicted.select(name, cluster).distinct()
 
-    def measured(rows: DataFrame, *by: str) -> DataFrame:
-        met = goldmatch.resolved_gold(rows, name, act, *by).join(clusters, name)
+    def measured(rows: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+        met = goldmatch.resolved_gold(rows, name, act, *by, weight=weight).join(clusters, name)
         wide = metrics.partition_metrics(met, cluster, act, *by)
         return _long(wide, {m: F.col(m) for m in ("precision", "recall", "f1", "ari", "purity")}, *by)
 
-    copies = drawn(gold.select(F.col(key).alias("_key"), name, act), "_key", replicates, seed)
-    each = measured(copies.select("_rep", name, act, F.explode(F.array_repeat(F.lit(1), F.col("_w").cast("int")))), "_rep")
+    copies = drawn_counts(gold.select(F.col(key).alias("_key"), name, act), "_key", [name, act], replicates, seed)
+    each = measured(copies, "_rep", weight="_w")
     return measured(gold).join(_interval(each, level), ["metric"], "left")
 
 
