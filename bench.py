@@ -11,7 +11,7 @@ HEADLINE = [
     "binary_metrics", "fleiss_kappa", "quarter_sets", "cumulative_share", "forward_fill", "stratified_split", "scope_tally", "dup_hash",
     "search_terms", "term_counts", "paragraph_features", "chunk_checks", "repaired_clusters", "evidence_reasons", "act_evidence", "order_agreement",
     "gate_metrics", "cluster_frequency", "boundary_rows", "signed_proxy", "density_grid", "name_grid", "windowed_counts", "clusters_vs_gold",
-    "gold_intervals", "act_intervals", "cosine_probe", "name_grid_all", "exclusion_combos", "sampled_detections", "second_calls", "act_changes", "log_second_stage", "extraction_metrics", "reduced_grid",
+    "act_changes", "log_second_stage", "extraction_metrics",
 ]
 
 
