@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from factloom.operators import goldmatch, metrics
 from factloom.operators.metrics import ratio
 from factloom.operators.numbering import numbered
+from factloom.storage import written
 
 Rates = dict[str, tuple[Column, Column]]
 
@@ -21,6 +23,8 @@ Rates = dict[str, tuple[Column, Column]]
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 #: Groups whose sums a task holds at a time.
 GROUPS = 64
+#: Draws that are numbered in one row, and distinct values whose draws a task makes at a time.
+RUN, CELLS = 1 << 16, 4096
 
 
 def one(condition: Column) -> Column:
@@ -38,19 +42,46 @@ def drawn(rows: DataFrame, key: str, replicates: int, seed: int, *by: str) -> Da
     placed = numbered(rows, seed, key, *by)
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
     reps = sizes.select(*by, "_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).repartition("_rep")
-    draws = reps.select(*by, "_n", "_rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_d"))
+    # in runs, so that no row holds the numbers of all draws
+    runs = reps.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / RUN))).alias("_i"))
+    own = F.sequence(F.col("_i") * RUN + 1, F.least((F.col("_i") + 1) * RUN, F.col("_n")))
+    draws = runs.select(*by, "_n", "_rep", F.explode(own).alias("_d"))
     place = F.pmod(F.xxhash64(F.lit(seed), "_rep", "_d"), F.col("_n")).alias("_k")
     counts = draws.select(*by, "_rep", place).groupBy(*by, "_rep", "_k").agg(F.count(F.lit(1)).alias("_w"))
     return counts.join(placed, [*by, "_k"]).drop("_k")
 
 
-def drawn_counts(rows: DataFrame, key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
-    """As ``drawn`` over the whole table: how often, ``_w``, each replicate draws a row with these values. Draws are counted where they are made."""
-    sizes = rows.agg(F.count(F.lit(1)).alias("_n")).filter("_n > 0")
-    reps = sizes.select("_n", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep")).repartition("_rep")
-    draws = reps.select("_n", "_rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_d"))
-    places = draws.select("_rep", F.pmod(F.xxhash64(F.lit(seed), "_rep", "_d"), F.col("_n")).alias("_k"))
-    return places.join(numbered(rows, seed, key).select("_k", *values), "_k").groupBy("_rep", *values).agg(F.count(F.lit(1)).alias("_w"))
+def drawn_counts(rows: DataFrame, values: list[str], replicates: int, seed: int) -> DataFrame:
+    """How often, ``_w``, each replicate draws a row with these values when it draws as many rows as there are, with replacement.
+
+    Such counts are one multinomial draw over the distinct values, so no row is
+    drawn by itself. The values are dealt to buckets: a replicate draws how
+    many of its rows fall in each bucket, and in a bucket's task how many of
+    those fall on each value. Draws are seeded by replicate and bucket, so
+    reruns agree.
+    """
+    cells = written(rows.groupBy(*values).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    buckets = max(1, math.ceil(cells.count() / CELLS))
+    # null fields too, so that every combination of values has its own text
+    text = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    placed = cells.withColumn("_h", F.sha2(text, 256)).withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets)
+    for r in placed.groupBy("_b").agg(F.sum("_n").alias("n")).collect():  # a number for each bucket
+        sizes[r["_b"]] = r["n"]
+    out = T.StructType([*[f for f in cells.schema.fields if f.name != "_n"], T.StructField("_w", T.ArrayType(T.LongType()))])
+
+    def draw(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_h")
+        bucket, n, total = t.column("_b")[0].as_py(), t.column("_n").to_numpy(), int(sizes.sum())
+        w = np.empty((len(n), replicates), np.int64)
+        for rep in range(replicates):
+            mine = np.random.default_rng([seed, rep]).multinomial(total, sizes / total)[bucket]
+            w[:, rep] = np.random.default_rng([seed, rep, bucket]).multinomial(mine, n / n.sum())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, w.size + 1, replicates), pa.int32()), pa.array(w.ravel()))
+        return t.select(values).append_column("_w", pa.chunked_array([lists]))
+
+    drawn_ = placed.groupBy("_b").applyInArrow(draw, out)
+    return drawn_.select(*values, F.posexplode("_w").alias("_rep", "_w")).filter("_w > 0").withColumn("_rep", F.col("_rep") + 1)
 
 
 def _interval(values: DataFrame, level: float, *by: str) -> DataFrame:
@@ -169,7 +200,8 @@ def cluster_intervals(predicted: DataFrame, gold: DataFrame, name: str, cluster:
     """Partition metrics of clusters against gold, with intervals over resampled gold rows.
 
     Each replicate settles anew which act an ambiguous name has. Names that
-    are not in both take no part.
+    are not in both take no part. ``key`` tells the gold rows apart; each row
+    counts once, so their numbers by name and act are all that is drawn.
     """
     clusters = predicted.select(name, cluster).distinct()
 
@@ -178,7 +210,7 @@ def cluster_intervals(predicted: DataFrame, gold: DataFrame, name: str, cluster:
         wide = metrics.partition_metrics(met, cluster, act, *by)
         return _long(wide, {m: F.col(m) for m in ("precision", "recall", "f1", "ari", "purity")}, *by)
 
-    copies = drawn_counts(gold.select(F.col(key).alias("_key"), name, act), "_key", [name, act], replicates, seed)
+    copies = drawn_counts(gold, [name, act], replicates, seed)
     each = measured(copies, "_rep", weight="_w")
     return measured(gold).join(_interval(each, level), ["metric"], "left")
 
