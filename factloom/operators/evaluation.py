@@ -142,8 +142,10 @@ def left_out_evaluation(results: DataFrame, key: str, predicted: str, actual: st
         f1 = F.when(F.col("_hit") > 0, F.try_divide(2.0 * F.col("_hit"), F.col("_called") + F.col("_known")))
         return sums.groupBy(*by).agg(F.avg(f1).alias("value")) if by else sums.agg(F.avg(f1).alias("value"))
 
-    plain = rows.select(F.col(key).alias("_key"), F.col(predicted).alias("_p"), F.col(actual).alias("_y"))
+    # a class that is no level counts as none
+    known = [F.when(F.col(c).isin(*levels), F.col(c)).alias(n) for c, n in ((predicted, "_p"), (actual, "_y"))]
+    plain = rows.select(*known)
     point = macro(plain.groupBy("_p", "_y").agg(F.count(F.lit(1)).alias("_w")))
-    draws = resampling.drawn(plain, "_key", replicates, seed).groupBy("_rep", "_p", "_y").agg(F.sum("_w").alias("_w"))
+    draws = resampling.drawn_counts(plain, ["_p", "_y"], replicates, seed)
     ends = macro(draws, "_rep").filter("value IS NOT NULL").agg(F.percentile("value", F.lit((1 - level) / 2)).alias("low"), F.percentile("value", F.lit((1 + level) / 2)).alias("high"))
     return rates.unionByName(point.crossJoin(ends).select(F.lit("macro_f1").alias("metric"), "value", "low", "high"))  # one row each

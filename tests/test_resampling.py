@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from factloom.operators import fuzzy, neighbours, resampling
+from factloom.operators import evaluation, fuzzy, neighbours, resampling
 
 
 def test_drawn_takes_as_many_rows_as_there_are(spark):
@@ -97,3 +97,26 @@ def test_scoped_clusters_stay_in_their_group(spark):
     assert by_doc == {("d1", "tax reform act"): (1, 2), ("d1", "tax reform acts"): (1, 2), ("d2", "highways"): (1, 1), ("d2", "tax reform act"): (2, 1)}
     joint = fuzzy.scoped_clusters(pool.filter("doc IS NOT NULL"), None).collect()
     assert {r["scope_group"] for r in joint} == {"joint"} and len({r["cluster_id"] for r in joint}) == 2
+
+
+def test_counts_of_draws_have_the_law_of_drawing_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "abc"[min(i % 6, 2)], None if i % 5 == 0 else i % 5) for i in range(600)], "k int, x string, y int")
+    sizes = {(r.x, r.y): r["count"] for r in rows.groupBy("x", "y").count().collect()}
+    for most in (4096, 4):  # one bucket and several
+        monkeypatch.setattr(resampling, "CELLS", most)
+        got = resampling.drawn_counts(rows, ["x", "y"], 400, 3)
+        found = {(r.x, r.y, r["_rep"]): r["_w"] for r in got.collect()}
+        for rep in range(1, 401):
+            assert sum(n for (*_, r), n in found.items() if r == rep) == 600
+        for cell, n in sizes.items():
+            w = np.array([found.get((*cell, rep), 0) for rep in range(1, 401)])
+            assert abs(w.mean() - n) < 4 * math.sqrt(n / 400) and abs(w.var() / (n * (1 - n / 600)) - 1) < 0.35
+        assert found == {(r.x, r.y, r["_rep"]): r["_w"] for r in resampling.drawn_counts(rows.repartition(7), ["x", "y"], 400, 3).collect()}
+    assert resampling.drawn_counts(rows.limit(0), ["x", "y"], 5, 3).count() == 0
+
+
+def test_no_draw_is_made_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(resampling, "drawn", None)
+    rows = spark.range(3_000_000).select("id", F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("p"), F.when(F.col("id") % 4 == 0, "A").otherwise("B").alias("y"), (F.col("id") % 2 == 0).alias("e"))
+    plan = evaluation.left_out_evaluation(rows, "id", "p", "y", "e", "e", ["A", "B"], replicates=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan
