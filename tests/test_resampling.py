@@ -15,6 +15,15 @@ def test_drawn_takes_as_many_rows_as_there_are(spark):
     assert resampling.drawn(rows.limit(0), "k", 50, 3).count() == 0
 
 
+def test_draws_are_numbered_in_runs(spark, monkeypatch):
+    rows = spark.range(10).select("id")
+    whole = sorted(map(tuple, resampling.drawn(rows, "id", 20, 3).select("_rep", "id", "_w").collect()))
+    monkeypatch.setattr(resampling, "RUN", 3)
+    assert sorted(map(tuple, resampling.drawn(rows, "id", 20, 3).select("_rep", "id", "_w").collect())) == whole
+    plan = resampling.drawn(rows, "id", 20, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(1, _n" not in plan
+
+
 def test_rate_intervals_hold_the_binomial_width(spark):
     rows = spark.range(400).select("id", (F.col("id") % 4 == 0).cast("double").alias("hit"))
     got = resampling.rate_intervals(rows, "id", {"rate": (F.col("hit"), F.lit(1.0)), "none": (F.col("hit"), F.lit(0.0))}, replicates=600)
