@@ -191,17 +191,25 @@ def kept_acts(names: list[str | None], texts: list[str | None], sizes: list[int]
     Each act is held against every earlier one that is still in, even after it
     has gone itself. Texts without a word and null names are like no other.
     """
-    words = [frozenset(w for w in re.split(r"\s+", (t or "").lower())) - {""} for t in texts]
-    stays = [True] * len(texts)
+    return _kept(names, [frozenset(re.split(r"\s+", (t or "").lower())) - {""} for t in texts], sizes, alike, same_name)
+
+
+def _kept(names: list[str | None], words: list[frozenset[str]], sizes: list[int], alike: float, same_name: float) -> list[bool]:
+    """``kept_acts`` of word sets; equal ones may be one object."""
+    stays, still = [True] * len(words), {}
     for i, own in enumerate(words):
-        for j in range(i):
+        for j in list(still):
             small, large = sorted((len(own), len(words[j])))
-            if not stays[j] or not small or small / large < alike:
+            if not small or small / large < alike:
                 continue
-            both = len(own & words[j])
+            both = small if own is words[j] else len(own & words[j])
             near = both / (small + large - both) >= alike
             if near and names[i] is not None and names[j] is not None and jaro_similarity(names[i], names[j]) >= same_name:
-                stays[i if sizes[i] <= sizes[j] else j] = False
+                gone = i if sizes[i] <= sizes[j] else j
+                stays[gone] = False
+                still.pop(gone, None)
+        if stays[i]:
+            still[i] = None
     return stays
 
 
@@ -210,35 +218,54 @@ def _words(texts: pd.Series) -> pd.Series:
     return pd.Series([sorted(frozenset(re.split(r"\s+", (t or "").lower())) - {""}) for t in texts], dtype=object)
 
 
+def _near_sets(sets: DataFrame, alike: float) -> DataFrame:
+    """Pairs (a < b) of the ids of word sets ``_w`` with a Jaccard index of ``alike``.
+
+    Such sets share a word among the rarest of each: all but ``alike`` of its
+    words, and one. Sets without a word are in no pair.
+    """
+    each = sets.select("_id", F.size("_w").alias("_k"), F.explode("_w").alias("_word"))
+    often = each.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    ranked = each.join(often, "_word").groupBy("_id", "_k").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_r"))
+    # a little less than the least number of words in common, for the sake of rounding
+    rare = F.slice("_r", F.lit(1), (F.col("_k") - F.ceil(F.col("_k") * alike - 1e-9) + 1).cast("int"))
+    front = written(ranked.select("_id", "_k", F.explode(rare).alias("_c")).select("_id", "_k", "_c._word"), "rare-words")
+    one, two = (front.select(F.col("_id").alias(i), F.col("_k").alias(k), "_word") for i, k in (("a", "_ka"), ("b", "_kb")))
+    fits = F.least("_ka", "_kb") / F.greatest("_ka", "_kb") >= alike
+    pairs = one.join(two, "_word").filter((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    words = [sets.select(F.col("_id").alias(i), F.col("_w").alias(w)) for i, w in (("a", "_wa"), ("b", "_wb"))]
+    both = F.size(F.array_intersect("_wa", "_wb"))
+    met = pairs.join(words[0], "a").join(words[1], "b")
+    return met.filter(both / (F.size("_wa") + F.size("_wb") - both) >= alike).select("a", "b")
+
+
 def distinct_acts(rows: DataFrame, order: str, name: str, text: str, size: str, alike: float = 0.9, same_name: float = 0.8) -> DataFrame:
     """C11: the rows of the acts that stay, by ``kept_acts`` in the order of ``order`` (no value twice).
 
-    Pairs of acts with similar names and texts are joined first; acts that such
-    pairs connect are judged together, one group of copies a task. An act
-    without a pair stays.
+    Distinct word sets that are alike are joined first. Acts whose sets such
+    pairs connect are judged together, a task for each connected lot: each act
+    meets the earlier ones there that are still in. Acts without a name or a
+    word stay.
     """
-    listed = rows.select(F.col(order).alias("_o"), normalize_name_for_grouping(F.col(name)).alias("_n"), F.col(text).alias("_t"), F.col(size).cast("long").alias("_s"))
-    listed = written(listed.withColumn("_w", _words(F.col("_t"))), "acts")
-    names = listed.select("_n").filter("_n IS NOT NULL")
-    pairs = fuzzy.similar_across(names, names, same_name, "_n", "_n").select("_a", "_b")
-    own = [F.col(c).alias(f"{c}2") for c in ("_o", "_n", "_w")]
-    met = listed.join(pairs, F.col("_n") == F.col("_a")).join(listed.select(*own), (F.col("_b") == F.col("_n2")) & (F.col("_o") < F.col("_o2")))
-    both = F.size(F.array_intersect("_w", "_w2"))
-    near = met.filter((both > 0) & (both / (F.size("_w") + F.size("_w2") - both) >= alike)).select(F.col("_o").alias("a"), F.col("_o2").alias("b"))
-    near = written(near, "near-acts")
-    ends = near.select(F.col("a").alias("_o")).unionByName(near.select(F.col("b").alias("_o"))).distinct()
-    groups = fuzzy.connected(ends, near, "_o").withColumnRenamed("v", "_v")
+    listed = rows.select(F.col(order).alias("_o"), normalize_name_for_grouping(F.col(name)).alias("_n"), F.col(size).cast("long").alias("_s"), _words(F.col(text)).alias("_w"))
+    able = listed.filter(F.col("_n").isNotNull() & (F.size("_w") > 0))
+    able = written(able.withColumn("_id", F.sha2(F.array_join("_w", " "), 256)), "acts")
+    sets = written(able.groupBy("_id").agg(F.first("_w").alias("_w")), "word-sets")
+    near = written(_near_sets(sets, alike), "near-sets")
+    ends = near.select(F.col("a").alias("_id")).unionByName(near.select(F.col("b").alias("_id"))).distinct()
+    linked = fuzzy.connected(ends, near, "_id").select(F.col("v").alias("_id"), F.col("label").alias("_label"))
+    lots = sets.join(linked, "_id", "left").select("_id", "_w", F.coalesce("_label", "_id").alias("_lot"))
+    members = able.select("_o", "_n", "_s", "_id").join(lots.select("_id", "_lot"), "_id")
     key = rows.schema[order].dataType.simpleString()
 
-    def gone(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_o")
-        names = [None if pd.isna(n) else n for n in frame["_n"]]
-        texts = [None if pd.isna(t) else t for t in frame["_t"]]
-        stays = kept_acts(names, texts, frame["_s"].fillna(0).tolist(), alike, same_name)
-        return frame.loc[[not x for x in stays], ["_o"]]
+    def gone(acts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        acts = acts.sort_values("_o")
+        words = dict(zip(known["_id"], map(frozenset, known["_w"])))
+        stays = _kept(acts["_n"].tolist(), [words[i] for i in acts["_id"]], acts["_s"].fillna(0).tolist(), alike, same_name)
+        return acts.loc[[not x for x in stays], ["_o"]]
 
-    judged = listed.join(groups, F.col("_o") == F.col("_v")).select("label", "_o", "_n", "_t", "_s")
-    return rows.join(judged.groupBy("label").applyInPandas(gone, f"_o {key}"), F.col(order) == F.col("_o"), "left_anti")
+    judged = members.groupBy("_lot").cogroup(lots.select(F.col("_lot").alias("_of"), "_id", "_w").groupBy("_of")).applyInPandas(gone, f"_o {key}")
+    return rows.join(judged, F.col(order) == F.col("_o"), "left_anti")
 
 
 def joined_once(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

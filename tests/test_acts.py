@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from factloom.functions.text import normalize_name_for_grouping
 from factloom.operators import shaping, tallies
 
@@ -55,3 +57,19 @@ def test_consistency_tallies(spark):
     assert set(got["counts"]) == {("en", 2, 1, 0), ("bm", 1, 0, 1)}
     assert set(got["labels"]) == {("en", "X", 2), ("bm", None, 1)} and set(got["act_years"]) == {("en", 2010, 1), ("bm", 2010, 1)}
     assert got["joint"][0][:2] == (2, 1)
+
+
+def test_near_word_sets_are_those_of_all_pairs(spark):
+    rng = random.Random(2)
+    base = [rng.sample([f"w{i}" for i in range(60)], 22) for _ in range(5)]
+    sets = {f"s{i}": frozenset(w for w in base[i % 5] if rng.random() > 0.04) | ({"more"} if i % 7 == 0 else set()) for i in range(90)} | {"none": frozenset(), "one": frozenset({"w1"})}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "_id string, _w array<string>")
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.9}
+    assert {tuple(r) for r in shaping._near_sets(df, 0.9).collect()} == want and len(want) > 20
+
+
+def test_copies_of_acts_are_never_joined_in_pairs(spark, monkeypatch):
+    monkeypatch.setattr(shaping.fuzzy, "similar_across", None)
+    rows = spark.range(30_000).select("id", F.format_string("Supplier#%09d", "id").alias("name"), F.concat(F.lit("act of nation "), (F.col("id") % 5).cast("string")).alias("text"), (F.col("id") % 5).alias("n"))
+    got = sorted(r.id for r in shaping.distinct_acts(rows, "id", "name", "text", "n").collect())
+    assert 5 <= len(got) < 500
