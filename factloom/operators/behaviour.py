@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import metrics
 from factloom.operators.consistency import few_shot_prompt
-from factloom.operators.model_calls import Client, answered
+from factloom.operators.model_calls import Client, answered, answered_variants
 from factloom.operators.replies import EVIDENCE, evidence_reason, json_body, parsed
 from factloom.sources import codebooks
 from factloom.storage import written
@@ -127,30 +127,35 @@ def ablation_variants(book: dict, conditions: dict[str, frozenset[str]] | None =
     return [_variant(name, book, without=cut, **how) for name, cut in (ABLATIONS if conditions is None else conditions).items()]
 
 
-def classified(texts: DataFrame, variants: list[Variant], client: Client, key: str, text: str, *keep: str) -> DataFrame:
-    """Each text under each variant: ``variant``, ``label`` (null if it is none of the codebook's), ``raw_label``, ``measures``, ``reasoning``, ``reply``, ``error``.
+#: What is told of a reply besides its label.
+TOLD = ("raw_label", "measures", "reasoning", "reply", "error")
+
+
+def classified(texts: DataFrame, variants: list[Variant], client: Client, key: str, text: str, *keep: str, told: tuple[str, ...] = TOLD) -> DataFrame:
+    """Each text under each variant: ``variant``, ``label`` (null if it is none of the codebook's), ``raw_label``, ``measures``, ``reasoning``, ``reply``, ``error`` (of these what ``told`` names).
 
     ``label`` is told in the labels of the original codebook. A call that fails
     and a reply that is no JSON give a null label. The replies are written, so
-    tests over them call nothing again.
+    tests over them call nothing again. Only texts and replies are shuffled:
+    prompts are made in the tasks that call.
     """
-    one = F.explode(F.array(*[F.struct(F.lit(v.name).alias("variant"), F.lit(v.prompt).alias("_system"), F.lit(v.suffix).alias("_suffix")) for v in variants])).alias("_v")
-    asked = texts.select(key, *keep, F.col(text).alias("_text"), one).select(key, *keep, "_v.variant", "_v._system", few_shot_prompt(TASK, [], F.concat("_text", "_v._suffix")).alias("_prompt"))
-    got = answered(asked, client, "_prompt", "_system")
-    body = parsed(F.col("reply"), REPLY)
-    rows = got.select(key, *keep, "variant", body.alias("_b"), "reply", "error")
-    legal, original = F.lit(None).cast("string"), F.lit(None).cast("string")
-    raw = F.col("_b.label")
-    for v in variants:
-        here = F.col("variant") == v.name
-        legal = F.when(here, F.when(raw.isin(*v.labels), raw)).otherwise(legal)
-    own = F.col("_label")
-    original = own
+    asks = list(dict.fromkeys((v.prompt, v.suffix) for v in variants))
+    got = answered_variants(texts, client, text, asks, lambda t: few_shot_prompt(TASK, [], t))
+    replies = written(got.select("_text_key", "ask", parsed(F.col("reply"), REPLY).alias("_b"), *[c for c in ("reply", "error") if c in told]), "replies")
+    by_text = replies.select("_text_key", "ask", F.col("_b.label").alias("raw_label"), *[f"_b.{c}" for c in ("measures", "reasoning") if c in told], *[c for c in ("reply", "error") if c in told])
+    rows = texts.select(key, *keep, F.sha2(text, 256).alias("_own"))
+    met = rows.filter("_own IS NOT NULL").join(by_text, F.col("_own") == F.col("_text_key")).drop("_own", "_text_key")
+    none = rows.filter("_own IS NULL").select(key, *keep, F.explode(F.array(*[F.lit(i) for i in range(len(asks))])).alias("ask"), F.lit(None).cast("string").alias("raw_label"), *([F.lit("no prompt").alias("error")] if "error" in told else []))
+    met = met.unionByName(none, allowMissingColumns=True)
+    names = F.create_map(*[x for i, a in enumerate(asks) for x in (F.lit(i), F.array(*[F.lit(v.name) for v in variants if (v.prompt, v.suffix) == a]))])
+    met = met.withColumn("variant", F.explode(F.element_at(names, F.col("ask"))))
+    label, raw = F.lit(None).cast("string"), F.col("raw_label")
     for v in variants:
+        own = F.when(raw.isin(*v.labels), raw)
         for new, old in v.originals.items():
-            original = F.when((F.col("variant") == v.name) & (own == new), F.lit(old)).otherwise(original)
-    named = rows.withColumn("_label", legal)
-    return written(named.select(key, *keep, "variant", original.alias("label"), raw.alias("raw_label"), "_b.measures", "_b.reasoning", "reply", "error"), "classified")
+            own = F.when(raw == new, F.lit(old)).otherwise(own)
+        label = F.when(F.col("variant") == v.name, own).otherwise(label)
+    return written(met.select(key, *keep, "variant", label.alias("label"), *told), "classified")
 
 
 def measures_fit(label: Column, measures: Column, positive: str, iso: str) -> Column:
@@ -366,14 +371,22 @@ def before_evaluation(texts: DataFrame, book: dict, client: Client, key: str, te
     return {"legal": legal, "recovery": found, "order": changes, "order_summary": ordered, "summary": summary}
 
 
-def error_analysis(texts: DataFrame, book: dict, client: Client, key: str, text: str, true_label: str, tier: str, **how) -> dict[str, DataFrame]:
-    """Tests V to VII and the ablation; the codebook's first class is the positive one, its last the negative one."""
+def error_analysis(texts: DataFrame, book: dict, client: Client, key: str, text: str, true_label: str, tier: str, tests: tuple[str, ...] = ("exclusion", "labels", "ablation"), **how) -> dict[str, DataFrame]:
+    """Tests V to VII and the ablation; the codebook's first class is the positive one, its last the negative one.
+
+    ``tests`` names those to make: the exclusion (V), the labels (VI and VII),
+    the ablation. Models are asked for these alone.
+    """
     labels = codebooks.labels(book)
-    keep = (true_label, tier)
-    variants = {v.name: v for make in (exclusion_variants, label_variants, ablation_variants) for v in make(book, **how)}
-    rows = classified(texts, list(variants.values()), client, key, text, *keep)
-    combos = exclusion_details(rows.filter(F.col("variant").isin(*[v.name for v in exclusion_variants(book, **how)])), key, true_label, labels[-1])
-    return {
-        "combos": exclusion_combos(combos), "exclusion": exclusion_summary(combos, key), "generic": generic_summary(rows, key, true_label, labels[0]),
-        "swapped": swapped_summary(rows, key, true_label, book), "ablation": ablation_table(rows.filter(F.col("variant").isin(*ABLATIONS)), true_label, labels[0], tier),
-    }
+    makers = {"exclusion": exclusion_variants, "labels": label_variants, "ablation": ablation_variants}
+    variants = {v.name: v for t in tests for v in makers[t](book, **how)}
+    rows = classified(texts, list(variants.values()), client, key, text, true_label, tier, told=())
+    got = {}
+    if "exclusion" in tests:
+        combos = exclusion_details(rows.filter(F.col("variant").isin(*[v.name for v in exclusion_variants(book, **how)])), key, true_label, labels[-1])
+        got |= {"combos": exclusion_combos(combos), "exclusion": exclusion_summary(combos, key)}
+    if "labels" in tests:
+        got |= {"generic": generic_summary(rows, key, true_label, labels[0]), "swapped": swapped_summary(rows, key, true_label, book)}
+    if "ablation" in tests:
+        got["ablation"] = ablation_table(rows.filter(F.col("variant").isin(*ABLATIONS)), true_label, labels[0], tier)
+    return got

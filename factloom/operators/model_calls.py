@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ CROWDED_WAIT = 60.0
 #: How often a request is tried, and how many texts an embedding call takes.
 TRIES = 10
 TEXTS_A_CALL = 32
+#: Keys of texts that a task remembers at a time.
+SEEN = 1 << 20
 
 Request = dict[str, object]
 
@@ -153,6 +156,72 @@ def answered(rows: DataFrame, client: Client, prompt: str = "prompt", system: st
     return met.select(*rows.columns, "reply", F.when(none, "no prompt").otherwise(F.col("error")).alias("error"), F.coalesce("n_calls", F.lit(0)).alias("n_calls"))
 
 
+def answered_variants(texts: DataFrame, client: Client, text: str, variants: list[tuple[str, str]], prompt: Callable[[Column], Column]) -> DataFrame:
+    """S18, L01 for several requests of one text: ``_text_key``, ``ask`` (the place in ``variants``), ``reply``, ``error`` of each distinct text that is not null.
+
+    A variant is a system text and a suffix of the text; ``prompt`` makes the
+    prompt of a text with its suffix. Equal requests are called once, as in
+    ``answered``, but their prompts are made in the tasks that call: only the
+    texts are shuffled, once, whatever the number of variants. Texts that differ
+    by suffixes alone may make equal requests; they are dealt to one task, side
+    by side. Copies of a text are dropped where they are read, as far as a task
+    sees them.
+    """
+    ends = sorted({suffix for _, suffix in variants if suffix}, key=len, reverse=True)
+    stem = F.regexp_replace(F.col(text), f"(?:{'|'.join(map(java_literal, ends))})+\\z", "") if ends else F.col(text)
+    keyed = texts.filter(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("_text_key"), F.xxhash64(stem).alias("_stem"), F.col(text).alias("_text"))
+
+    def seen_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for b in batches:
+            new = []
+            for k in b.column(0).to_pylist():
+                new.append(k not in seen)
+                seen.add(k)
+            if len(seen) > SEEN:
+                seen.clear()
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    dealt = keyed.mapInArrow(seen_once, keyed.schema).repartition("_stem").sortWithinPartitions("_stem")
+    asks = F.explode(F.array(*[F.struct(F.lit(i).alias("ask"), F.lit(system).alias("system"), F.lit(suffix).alias("suffix")) for i, (system, suffix) in enumerate(variants)])).alias("_a")
+    said = dealt.select("_text_key", "_stem", "_text", asks).select("_text_key", "_stem", "_a.ask", prompt(F.concat("_text", "_a.suffix")).alias("prompt"), "_a.system")
+    parts = [F.col("prompt").cast("string"), F.col("system").cast("string"), F.lit(1), F.lit(1)]
+    asked = said.withColumn("_request", request_key(client, *parts))
+    out = "_text_key string, ask int, reply string, error string"
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stem, known, told = None, {}, set()
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False, name=None):
+                text_key, own, place, said, system, request = r
+                if own != stem:
+                    stem, known, told = own, {}, set()
+                if (text_key, place) in told:
+                    continue
+                told.add((text_key, place))
+                if request not in known:
+                    reply = client.replays.get(request) if client.replays else None
+                    why = None
+                    if reply is None:
+                        sent = client.settings | {"prompt": said, "system": system, "sample": 1, "attempt": 1}
+                        reply, why, _ = patient(lambda x=sent: client.call(x), client.tries, client.sleep)
+                        if reply is not None and client.replays:
+                            client.replays.put(request, reply)
+                        if client.spacing:
+                            client.sleep(client.spacing)
+                    known[request] = (reply, why)
+                rows.append((text_key, place, *known[request]))
+            yield pd.DataFrame(rows, columns=["_text_key", "ask", "reply", "error"])
+
+    return asked.mapInPandas(ask, out)
+
+
+def java_literal(text: str) -> str:
+    """A text as part of a regular expression that matches nothing else."""
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
 def answered_validly(rows: DataFrame, client: Client, reason: Callable[[Column], Column], prompt: str = "prompt", system: str | None = None, again: int = 1) -> DataFrame:
     """As ``answered``, and rows whose reply is not valid are asked ``again`` times more.
 

@@ -68,11 +68,11 @@ def order_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT combo, CASE WHEN label IS NULL THEN NULL WHEN combo = 'modified_doc_modified_cb' OR combo = 'normal_doc_modified_cb' AND e THEN 'OTHER' ELSE label END AS predicted, CASE WHEN combo = 'modified_doc_modified_cb' THEN 'OTHER' ELSE truth END AS expected FROM c)
 SELECT combo, count(*) FILTER (predicted = expected) AS n_correct, count(*) AS n_total, round(count(*) FILTER (predicted = expected) / count(*), 9) AS accuracy FROM p GROUP BY 1""")
 def exclusion_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _analysis(spark, sf_dir)["combos"].withColumn("accuracy", F.round("accuracy", 9))
+    return _analysis(spark, sf_dir, "exclusion")["combos"].withColumn("accuracy", F.round("accuracy", 9))
 
 
-def _analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return behaviour.error_analysis(texts(spark, sf_dir), BOOK, rule_client(), "doc_id", "text", "truth", "tier")
+def _analysis(spark: SparkSession, sf_dir: str, test: str) -> dict[str, DataFrame]:
+    return behaviour.error_analysis(texts(spark, sf_dir), BOOK, rule_client(), "doc_id", "text", "truth", "tier", (test,))
 
 
 @register("label_tests", f"""WITH {RULED}, f AS (SELECT avg(CAST(label = truth AS DOUBLE)) AS a, 2.0 * count(*) FILTER (label = 'MEASURE' AND truth = 'MEASURE') / (count(*) FILTER (label = 'MEASURE') + count(*) FILTER (truth = 'MEASURE' AND label IS NOT NULL)) AS f1,
@@ -80,7 +80,7 @@ def _analysis(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 SELECT round(a, 9) AS original_accuracy, round(a, 9) AS generic_accuracy, 0.0::DOUBLE AS change_rate, round(f1, 9) AS original_f1, 1.0::DOUBLE AS follows_definitions_rate, 0.0::DOUBLE AS follows_names_rate, round(b, 9) AS swapped_accuracy, round(f2, 9) AS swapped_f1, FALSE AS relies_on_names FROM f""")
 def label_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generic labels and swapped definitions under a model that follows definitions: it must pass both."""
-    got = _analysis(spark, sf_dir)
+    got = _analysis(spark, sf_dir, "labels")
     both = got["generic"].select("original_accuracy", "generic_accuracy", "change_rate", "original_f1").crossJoin(got["swapped"])  # one row each
     return both.select(*[c if c == "relies_on_names" else F.round(c, 9).alias(c) for c in both.columns])
 
@@ -90,7 +90,7 @@ p AS (SELECT condition, truth, tier, CASE WHEN condition IN ('full', 'no_clarifi
 m AS (SELECT condition, avg(CAST(l = truth AS DOUBLE)) AS accuracy, count(*) FILTER (l = 'MEASURE' AND truth = 'MEASURE') / count(*) FILTER (truth = 'MEASURE') AS recall, avg(CAST(l = 'MEASURE' AS DOUBLE)) FILTER (tier = 1) AS tier1_recall FROM p GROUP BY 1)
 SELECT m.condition, round(m.accuracy, 9) AS accuracy, round(m.recall, 9) AS recall, round(f.accuracy - m.accuracy, 9) AS accuracy_drop, round(f.recall - m.recall, 9) AS recall_drop, round(f.tier1_recall - m.tier1_recall, 9) AS tier1_recall_drop FROM m, m AS f WHERE f.condition = 'full'""")
 def ablation_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = _analysis(spark, sf_dir)["ablation"]
+    got = _analysis(spark, sf_dir, "ablation")["ablation"]
     return got.select("condition", *[F.round(c, 9).alias(c) for c in ("accuracy", "recall", "accuracy_drop", "recall_drop", "tier1_recall_drop")])
 
 

@@ -1,5 +1,6 @@
 """Calls of models, votes over their samples and behavioural tests, with rule-based models."""
 
+import hashlib
 import json
 import os
 import sys
@@ -276,3 +277,22 @@ def test_evidence_under_every_order(spark):
     assert all(r.passed for r in done["summary"].collect()) and done["order"].first().original == "a|s||q|s"
     broken = Client(lambda r: "no json", tries=1, sleep=no_wait)
     assert {r.invalid for r in behaviour.evidence_tests(passages, passages, THREE, broken, "id", "text")["legal"].collect()} == {"JSON parse error"}
+
+
+def test_variants_shuffle_texts_once_and_call_equal_requests_once(spark, tmp_path):
+    calls = str(tmp_path)
+
+    def model(request):
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        return json.dumps({"label": str(len(request["prompt"]))})
+
+    end = "\n\n(elephants.*"
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a" + end), (4, None), (5, "a" + end + end), (6, "b"), (7, "")], "id int, t string").repartition(3)
+    variants = [("s", ""), ("s", end), ("u", end)]
+    rows = model_calls.answered_variants(df, model_calls.Client(model), "t", variants, lambda t: F.concat(F.lit("say "), t))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1
+    found = {(r["_text_key"], r.ask): r.reply for r in rows.collect()}
+    texts = {t for _, t in df.collect() if t is not None}
+    assert found == {(hashlib.sha256(t.encode()).hexdigest(), i): json.dumps({"label": str(len(t + e) + 4)}) for t in texts for i, (_, e) in enumerate(variants)}
+    assert len(os.listdir(calls)) == len({(s, t + e) for t in texts for s, e in variants}) < len(found)
