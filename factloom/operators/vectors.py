@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +23,28 @@ def unit(v: Column) -> Column:
 def class_centres(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector of each label: (label, position, value)."""
     return rows.select(label, F.posexplode(vector).alias("pos", "x")).groupBy(label, "pos").agg(F.avg("x").alias("value"))
+
+
+#: Lots of points, of which every two meet in a task, as long as they are not too large; points of a lot at most.
+LOTS, LOT = 16, 1 << 15
+
+
+def lots_for(n: int, block: int) -> int:
+    """How many lots ``n`` points are dealt to: about ``LOTS``, of ``block`` points at least and ``LOT`` at most."""
+    return max(1, math.ceil(n / max(block, min(LOT, math.ceil(n / LOTS)))))
+
+
+def euclidean(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``x`` to all of ``y``; that of two rows is the same whichever others there are."""
+    d = np.zeros((len(x), len(y)))
+    if x.shape[1] <= 16:
+        for a, b in zip(x.T, y.T):
+            gap = a[:, None] - b[None, :]
+            gap *= gap
+            d += gap
+    else:
+        gap = np.empty(y.shape)
+        for i, row in enumerate(x):
+            np.subtract(y, row, out=gap)
+            np.einsum("ij,ij->i", gap, gap, out=d[i])
+    return np.sqrt(d, out=d)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import plans
-from factloom.operators import density, proxies
+from factloom.operators import density, proxies, vectors
 from factloom.streaming import windows as streams
 
 
@@ -116,3 +116,17 @@ def test_all_orders_enter_the_signed_series(spark):
     sf = "/root/testdata/sf0.001"
     n = plans.queries()["signed_proxy"](spark, sf).agg(F.sum("n_acts")).first()[0]
     assert n == spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderdate IS NOT NULL").count()
+
+
+def test_points_are_sent_once_for_each_lot(spark, monkeypatch):
+    """However many blocks there are, a point goes to as many tasks as there are lots; several blocks of one lot meet too."""
+    assert [vectors.lots_for(n, 1000) for n in (0, 900, 10_256, 51_282, 500_000, 615_000, 2_000_000)] == [1, 1, 11, 16, 16, 19, 62]
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(0, 1, 4).tolist(), 1990.0 + i % 5) for i in range(90)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, y double")
+    monkeypatch.setattr(vectors, "LOTS", 2)
+    monkeypatch.setattr(density, "HELD", 50)
+    assert vectors.lots_for(90, 7) == 2
+    for measure in ("cosine", "euclidean"):
+        got = density.density_grid(df, "k", "v", [3], [2], "y", measure, 7).collect()
+        assert {r.k: r.cluster_id for r in got} == plain_labels(rows, 3, 2, None if measure == "cosine" else 1)
