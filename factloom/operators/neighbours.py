@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.operators.vectors import dot, unit
+from factloom.operators.vectors import dot, euclidean, lots_for, unit
 from factloom.storage import written
 
 #: Bins of the first pass over all pairs; the median's own bins are read exactly in a second.
 BINS = 1 << 16
 
 
-def _compared(frame: pd.DataFrame, measure: str) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray] | None:
-    """Both blocks of a pair of blocks, by key, and the measure of all their pairs."""
+#: Both blocks, by key, the measure of all their pairs, and whether they are one block.
+Met = tuple[pd.DataFrame, pd.DataFrame, np.ndarray, bool]
+
+
+def _compared(frame: pd.DataFrame, measure: str, block: int) -> Iterator[Met]:
+    """Every two blocks of a pair of lots."""
     i, j = int(frame["_i"].iat[0]), int(frame["_j"].iat[0])
-    a, b = (frame[frame["_b"] == k].sort_values("_key") for k in (i, j))
-    if a.empty or b.empty:
-        return None
-    x, y = np.stack(a["_x"].to_list()), np.stack(b["_x"].to_list())
-    v = x @ y.T if measure == "cosine" else np.stack([np.linalg.norm(y - row, axis=1) for row in x])
-    return a, b, np.round(v, 12)
+    one, two = ([(t.iloc[lo : lo + block], np.stack(t["_x"].iloc[lo : lo + block].to_list())) for lo in range(0, len(t), block)] for t in (frame[frame["_b"] == k].sort_values("_key") for k in (i, j)))
+    for p, (a, x) in enumerate(one):
+        for b, y in one[p:] if i == j else two:
+            v = x @ y.T if measure == "cosine" else euclidean(x, y)
+            yield a, b, np.round(v, 12), i == j and a is b
+
+
+def _best(found: list[pd.DataFrame]) -> pd.DataFrame:
+    """Each name's nearest of several lists; ties go to the smaller key."""
+    return pd.concat(found).sort_values(["k", "s", "ok"], ascending=[True, False, True]).drop_duplicates("k")
 
 
 def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure: str = "cosine", block: int = 2000) -> DataFrame:
@@ -33,7 +41,8 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
     One row. The share is over labels of two names or more, ties go to the
     smaller key; separation is above 0 where labels hold together. All pairs
     are compared, as the medians ask, in blocks of names, twice (the medians are
-    read exactly where a first pass found their bins): names without a
+    read exactly where a first pass found their bins). Blocks lie in lots of
+    which a task gets two, so a name is sent once for each lot. Names without a
     label or vector, or with nulls in it, take no part; fewer than two names
     give nulls. ``key`` is a whole number, one row each; vectors are of one length.
     """
@@ -41,45 +50,44 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
     x = unit(F.col(vector)) if measure == "cosine" else F.col(vector).cast("array<double>")
     known = whole.select(F.col(key).cast("long").alias("_key"), F.col(label).cast("string").alias("_label"), x.alias("_x"))
     names, reach = known.agg(F.count(F.lit(1)), F.max(F.sqrt(dot(F.col("_x"), F.col("_x"))))).first()
-    blocks = max(1, math.ceil(names / block))
+    blocks = lots_for(names, block)
     low, high = (-1.0, 1.0) if measure == "cosine" else (0.0, 2 * (reach or 0.0) or 1.0)
     placed = known.withColumn("_b", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = placed.select("_key", "_label", "_x", "_b", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j")).groupBy("_i", "_j")
     sign = 1.0 if measure == "cosine" else -1.0
 
-    def nearest(frame: pd.DataFrame, met: tuple | None) -> list[pd.DataFrame]:
-        out = []
-        if met:
-            a, b, v = met
-            score = sign * v
-            own = frame["_i"].iat[0] == frame["_j"].iat[0]
-            if own:
-                np.fill_diagonal(score, -np.inf)
-            for mine, theirs, s in ((a, b, score),) if own else ((a, b, score), (b, a, score.T)):
-                best = s.argmax(axis=1)
-                found = pd.DataFrame({"k": mine["_key"].to_numpy(), "l": mine["_label"].to_numpy(), "s": s[np.arange(len(s)), best], "ok": theirs["_key"].to_numpy()[best], "ol": theirs["_label"].to_numpy()[best]})
-                out.append(found[np.isfinite(found["s"])])
+    def nearest(met: Met) -> list[pd.DataFrame]:
+        a, b, v, own = met
+        out, score = [], sign * v
+        if own:
+            np.fill_diagonal(score, -np.inf)
+        for mine, theirs, s in ((a, b, score),) if own else ((a, b, score), (b, a, score.T)):
+            best = s.argmax(axis=1)
+            found = pd.DataFrame({"k": mine["_key"].to_numpy(), "l": mine["_label"].to_numpy(), "s": s[np.arange(len(s)), best], "ok": theirs["_key"].to_numpy()[best], "ol": theirs["_label"].to_numpy()[best]})
+            out.append(found[np.isfinite(found["s"])])
         return out
 
-    def values(frame: pd.DataFrame, met: tuple | None) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-        if not met:
-            return []
-        a, b, v = met
-        alike = a["_label"].to_numpy()[:, None] == b["_label"].to_numpy()[None, :]
-        free = np.triu(np.ones(v.shape, dtype=bool), 1) if frame["_i"].iat[0] == frame["_j"].iat[0] else np.ones(v.shape, dtype=bool)
+    def values(met: Met) -> list[tuple[bool, np.ndarray, np.ndarray]]:
+        a, b, v, own = met
+        number = pd.factorize(pd.concat([a["_label"], b["_label"]]))[0]  # numbers are compared faster than texts
+        alike = number[: len(a), None] == number[None, len(a) :]
+        free = np.triu(np.ones(v.shape, dtype=bool), 1) if own else np.ones(v.shape, dtype=bool)
         parts = [(same, v[free & (alike == same)]) for same in (True, False)]
         return [(same, w, np.clip((w - low) / (high - low) * BINS, 0, BINS - 1).astype(int)) for same, w in parts]
 
     columns = ["same", "bin", "n", "k", "l", "s", "ok", "ol"]
 
     def surveyed(frame: pd.DataFrame) -> pd.DataFrame:
-        """Of a pair of blocks the bins of its values and each name's nearest there, in rows of their own."""
-        met = _compared(frame, measure)
-        out = []
-        for same, _, at in values(frame, met):
-            places, n = np.unique(at, return_counts=True)
-            out.append(pd.DataFrame({"same": same, "bin": places, "n": n}))
-        out += nearest(frame, met)
+        """Of a pair of lots the bins of its values and each name's nearest there, in rows of their own."""
+        bins, near = {True: np.zeros(BINS, np.int64), False: np.zeros(BINS, np.int64)}, []
+        for met in _compared(frame, measure, block):
+            for same, _, at in values(met):
+                bins[same] += np.bincount(at, minlength=BINS)
+            near += nearest(met)
+            if len(near) > 64:
+                near = [_best(near)]
+        out = [pd.DataFrame({"same": same, "bin": np.flatnonzero(n), "n": n[n > 0]}) for same, n in bins.items() if n.any()]
+        out += [_best(near)] if near else []
         return pd.concat(out).reindex(columns=columns).astype({"bin": "Int32", "n": "Int64", "k": "Int64", "ok": "Int64", "same": "boolean"}) if out else pd.DataFrame({c: [] for c in columns})
 
     survey = written(pairs.applyInPandas(surveyed, "same boolean, bin int, n long, k long, l string, s double, ok long, ol string"), "survey")
@@ -98,11 +106,12 @@ def neighbour_probe(rows: DataFrame, key: str, label: str, vector: str, measure:
 
     def exact(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for same, w, at in values(frame, _compared(frame, measure)):
-            for place in wanted[same]:
-                v, n = np.unique(w[at == place], return_counts=True)
-                out.append(pd.DataFrame({"same": same, "bin": place, "v": v, "n": n}))
-        return pd.concat(out) if out else pd.DataFrame({"same": [], "bin": [], "v": [], "n": []})
+        for met in _compared(frame, measure, block):
+            for same, w, at in values(met):
+                for place in wanted[same]:
+                    v, n = np.unique(w[at == place], return_counts=True)
+                    out.append(pd.DataFrame({"same": same, "bin": place, "v": v, "n": n}))
+        return pd.concat(out).groupby(["same", "bin", "v"], as_index=False)["n"].sum() if out else pd.DataFrame({"same": [], "bin": [], "v": [], "n": []})
 
     medians = {True: None, False: None}
     if ranks:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from factloom.operators import evaluation, fuzzy, neighbours, resampling
+from factloom.operators import evaluation, fuzzy, neighbours, resampling, vectors
 
 
 def test_drawn_takes_as_many_rows_as_there_are(spark):
@@ -129,3 +129,23 @@ def test_no_draw_is_made_row_by_row(spark, monkeypatch):
     rows = spark.range(3_000_000).select("id", F.when(F.col("id") % 3 == 0, "A").otherwise("B").alias("p"), F.when(F.col("id") % 4 == 0, "A").otherwise("B").alias("y"), (F.col("id") % 2 == 0).alias("e"))
     plan = evaluation.left_out_evaluation(rows, "id", "p", "y", "e", "e", ["A", "B"], replicates=2)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan
+
+
+def test_names_of_one_lot_meet_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, f"l{i % 4}", [float(v) for v in rng.normal(size=20) + i % 4]) for i in range(80)], "k int, label string, v array<double>")
+    for measure in ("cosine", "euclidean"):
+        monkeypatch.setattr(vectors, "LOTS", 16)
+        whole = neighbours.neighbour_probe(df, "k", "label", "v", measure, 1000).first()
+        monkeypatch.setattr(vectors, "LOTS", 2)
+        lots = neighbours.neighbour_probe(df, "k", "label", "v", measure, 7).first()
+        assert vectors.lots_for(80, 7) == 2 and all(abs(x - y) < 1e-11 for x, y in zip(whole, lots))
+
+
+def test_a_distance_is_the_same_in_any_block():
+    rng = np.random.default_rng(1)
+    for dim in (2, 16, 17, 64):
+        x, y = rng.normal(size=(30, dim)), rng.normal(size=(41, dim))
+        whole = vectors.euclidean(x, y)
+        assert np.allclose(whole, np.linalg.norm(x[:, None] - y[None], axis=2), rtol=1e-13)
+        assert (whole[3:9, 5:12] == vectors.euclidean(x[3:9], y[5:12])).all() and (whole == vectors.euclidean(y, x).T).all()
