@@ -15,19 +15,25 @@ from __future__ import annotations
 import itertools
 import unicodedata
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import give_back, written
+from factloom.llm.common import doc_runs, give_back, text_column, written
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids binary, row long"
-#: Distinct words that a worker remembers before it starts anew.
-WORD_CACHE = 400_000
+#: Distinct words, and parts of words, that a worker remembers before it forgets those that it has not met again.
+WORD_CACHE, PART_CACHE = 400_000, 500_000
+#: Bytes of texts whose words are looked up at a time.
+RUN_BYTES = 1 << 21
+#: Bytes, with those that part words as spaces.
+SPACED = np.arange(256, dtype=np.uint8)
+SPACED[[9, 10, 13]] = 32
 
 
 class FitTree:
@@ -108,8 +114,8 @@ def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int,
 class _Numbered(dict):
     """Words to numbers; a new word gets the next one and is noted."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, words: list[str]) -> None:
+        super().__init__(zip(words, range(len(words))))
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -118,6 +124,68 @@ class _Numbered(dict):
         return n
 
 
+class _Known:
+    """Words by number, from 0, and their ids in one growing array.
+
+    ``numbers`` gives new words numbers, then ``add`` takes the ids of those in
+    ``number.new``. ``forget`` drops words not met again, once there are more than ``most``.
+    """
+
+    def __init__(self, width: np.dtype, most: int) -> None:
+        self.most = most
+        self.number = _Numbered([])
+        self.ids = np.zeros(1 << 16, width)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
+        self.n = 0
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        self.again[at[at < self.n]] = True
+        return at
+
+    def add(self, flat: np.ndarray, lens: np.ndarray) -> None:
+        at = int(self.ends[self.n - 1]) if self.n else 0
+        while at + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(lens) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
+        self.ids[at : at + len(flat)] = flat
+        self.ends[self.n : self.n + len(lens)] = at + np.cumsum(lens)
+        self.n += len(lens)
+        self.number.new = []
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these numbers behind one another, and how many each has."""
+        stop = self.ends[at]
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        lens = stop - begin
+        where = np.repeat(begin - (np.cumsum(lens) - lens), lens)
+        where += np.arange(len(where))
+        return self.ids[where], lens
+
+    def forget(self) -> None:
+        if self.n <= self.most:
+            return
+        kept = self.again[: self.n].copy()
+        if 2 * int(kept.sum()) > self.most:
+            kept[:] = False
+        words, (flat, lens) = list(itertools.compress(self.number, kept.tolist())), self.take(np.flatnonzero(kept))
+        self.__init__(self.ids.dtype, self.most)
+        self.number = _Numbered(words)
+        self.add(flat, lens)
+
+
+def _joined(lists: Iterable[list[int]], width: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    flat: list[int] = []
+    ends = [0]
+    for x in lists:
+        flat += x
+        ends.append(len(flat))
+    return np.fromiter(flat, width, len(flat)), np.diff(ends)
+
+
 #: Marks that may close a word; the apostrophe is left out, since contractions are pre-tokens of their own.
 CLOSING = ".,;:!?*$%&|#\"()[]{}<>/+-=_@~^`"
 
@@ -129,7 +197,7 @@ class WordEncoder:
     carriage return and that put no id for white space; each distinct word is
     encoded once and remembered. Words of letters with closing marks are taken
     apart here and only their parts are given to the file's model: letters and
-    marks are pre-tokens of their own in the file named by ``parts``; any other
+    marks are pre-tokens of their own in the file named by ``apart``; any other
     file or word goes through the whole tokenizer.
     """
 
@@ -143,77 +211,69 @@ class WordEncoder:
         spec = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         split = next((x["pattern"].get("Regex", "") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"), "")
-        self.parts = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split.endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        self.apart = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and split.endswith("[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        self.tokenize = self.tokenizer.model.tokenize
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(shown)]
         self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.reset()
 
-    def reset(self) -> None:
-        self.known = _Numbered()
-        self.pieces: dict[str, list[int]] = {}
-        self.ids = np.zeros(1 << 16, self.width)
-        self.ends = np.zeros(1 << 14, np.int64)
-        self.n = 0
+        self.words, self.known_parts = _Known(self.width, WORD_CACHE), _Known(self.width, PART_CACHE)
 
     def _part(self, text: str) -> list[int]:
-        got = self.pieces.get(text)
-        if got is None:
-            shown = text if text.isascii() else "".join(map(self.byte_level.__getitem__, text.encode()))
-            got = self.pieces[text] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return got
-
-    def _encoded(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
-        whole = []
-        for w in words:
-            core = w.rstrip(CLOSING)
-            if self.parts and core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and "\u03a3" not in core and "\u0130" not in core):
-                tail = w[len(core) :]
-                out.append(self._part(core.lower()) + self._part(tail) if tail else self._part(core.lower()))
-            else:
-                whole.append(w)
-                out.append(None)
-        if whole:
-            rest = iter(self.tokenizer.encode_batch_fast(whole, add_special_tokens=False))
-            out = [next(rest).ids if x is None else x for x in out]
-        return out
+        shown = text if text.isascii() else "".join(map(self.byte_level.__getitem__, text.encode()))
+        return [t.id for t in self.tokenize(shown)] if text else []
 
     def _learn(self, words: list[str]) -> None:
-        got = self._encoded(words)
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(itertools.chain.from_iterable(got), self.width, int(lens.sum()))
-        at = int(self.ends[self.n - 1]) if self.n else 0
-        while at + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lens) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[at : at + len(flat)] = flat
-        self.ends[self.n : self.n + len(lens)] = at + np.cumsum(lens)
-        self.n += len(lens)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        if self.n > WORD_CACHE:
-            self.reset()
-        spots, counts, number = [], [], self.known.__getitem__
-        for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            spots.extend(map(number, words))
-            counts.append(len(words))
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
-        at = np.array(spots, np.int64)
-        stop = self.ends[at]
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        lens = stop - begin
-        total = np.cumsum(lens)
-        where = np.repeat(begin - (total - lens), lens)
-        where += np.arange(len(where))
-        flat = self.ids[where]
-        cut = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
-        return [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        """Words of letters and closing marks as two parts, the others as the whole tokenizer has them."""
+        known = self.known_parts
+        known.forget()
+        column = pa.array(words, pa.large_string())
+        core = pc.ascii_rtrim(column, characters=CLOSING)
+        ascii_ = pc.ascii_is_alpha(core).to_numpy(zero_copy_only=False) if self.apart else np.zeros(len(words), bool)
+        size = pc.binary_length(core).to_numpy()
+        first, last = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        letters = pc.ascii_lower(core.filter(pa.array(ascii_))).dictionary_encode()
+        first[ascii_] = known.numbers(letters.dictionary.to_numpy(zero_copy_only=False).tolist())[letters.indices.to_numpy()]
+        apart = ascii_.copy()
+        other, whole = [], []
+        for i in np.flatnonzero(~ascii_).tolist():
+            w = words[i].rstrip(CLOSING)
+            if self.apart and w.isalpha() and unicodedata.is_normalized("NFC", w) and "\u03a3" not in w and "\u0130" not in w:
+                apart[i] = True
+                other.append(w.lower())
+            else:
+                whole.append(words[i])
+        first[apart & ~ascii_] = known.numbers(other)
+        bare = pc.binary_length(column).to_numpy() == size
+        last[apart] = known.numbers(["" if b else w[len(w.rstrip(CLOSING)) :] for w, b in zip(itertools.compress(words, apart.tolist()), bare[apart].tolist())])
+        known.add(*_joined(map(self._part, known.number.new), self.width))
+        of_parts, part_lens = known.take(np.stack([first[apart], last[apart]], 1).ravel())
+        of_whole, whole_lens = _joined((x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)), self.width)
+        lens = np.zeros(len(words), np.int64)
+        lens[apart], lens[~apart] = part_lens.reshape(-1, 2).sum(1), whole_lens
+        flat = np.zeros(int(lens.sum()), self.width)
+        in_parts = np.repeat(apart, lens)
+        flat[in_parts], flat[~in_parts] = of_parts, of_whole
+        self.words.add(flat, lens)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, given as their bytes and offsets, and where those of each begin and end."""
+        self.words.forget()
+        data = SPACED[data]
+        ends = np.zeros(len(data) + 1, bool)
+        ends[1:] = data == 32
+        ends[offsets[1:]] = True
+        ends[0] = False
+        bounds = np.concatenate([[0], np.flatnonzero(ends)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        # a word has the space that ends it
+        words = pc.ascii_rtrim(found.dictionary.cast(pa.large_string()), characters=" ").to_numpy(zero_copy_only=False).tolist()
+        numbers = self.words.numbers(words)
+        if self.words.number.new:
+            self._learn(self.words.number.new)
+        flat, lens = self.words.take(numbers[found.indices.to_numpy()])
+        total = np.concatenate([[0], np.cumsum(lens)])
+        return flat, total[np.searchsorted(bounds, offsets, side="right") - 1]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -229,12 +289,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, do
         tail = np.array([end_id], encoder.width)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                names, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+            data, offsets = text_column(b)
+            for lo, hi in doc_runs(offsets, RUN_BYTES):
+                flat, cuts = encoder.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 rows: list[tuple] = []
-                for name, ids in zip(names, encoder.encode(texts)):
-                    ids = np.concatenate([ids, tail])
+                for name, begin, stop in zip(b.column(0).slice(lo, hi - lo).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                    ids = np.concatenate([flat[begin:stop], tail])
                     for k, at in enumerate(range(0, len(ids), capacity)):
                         cut = ids[at : at + capacity]
                         rows.append((name, k, at, len(cut), cut.tobytes(), row))

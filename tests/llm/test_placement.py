@@ -74,6 +74,26 @@ def test_pack_edges_and_ids(spark):
     assert packing.pack_documents(docs(spark, []), queries.WORD_TOKENIZER).count() == 0
 
 
+def test_words_met_again_are_tokenized_once(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "WORD_CACHE", 60)
+    monkeypatch.setattr(packing, "PART_CACHE", 60)
+    rng, t, seen = random.Random(4), Tokenizer.from_file(queries.WORD_TOKENIZER), []
+    encoder = packing.WordEncoder(queries.WORD_TOKENIZER)
+    monkeypatch.setattr(encoder, "tokenize", lambda x, f=encoder.tokenize: seen.append(x) or f(x))
+    odd = ["Straße,", "ΟΔΟΣ", "İzmir", "e\u0301t\u00e9", "don't", "x2!", "a\u00a0b", "\u3000", "...", "中文", "", "I", "co-op;", "\x0b", "😀", "É."]
+    for _ in range(40):
+        words = ["common", "Common,", *rng.sample(odd, 6), *("".join(rng.choices("abcdefgh", k=6)) for _ in range(12))]
+        texts = [rng.choice(" \n\t").join(rng.sample(words, k)) for k in (20, 9, 0, 1)] + ["", " ", "end \r"]
+        data = [x.encode() for x in texts]
+        offsets = np.cumsum([0, *map(len, data)])
+        flat, cuts = encoder.encode(np.frombuffer(b"".join(data), np.uint8), offsets)
+        assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(encoder.words.number) < 120 and len(seen) > 300
+    assert seen.count("common") == 1
+
+
 def test_pack_query_against_tokenizer(spark):
     from tokenizers import Tokenizer
 
