@@ -43,6 +43,8 @@ HEAD = 4
 DEEPEST = 64 // BITS - 1
 #: Bytes of a text from which it is cut into pieces.
 PIECE = 1 << 20
+#: Bytes of texts whose symbols a task holds at a time, unless one text has more.
+RUN = 1 << 18
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, pad: int, heads: list[bytes] | None = None, closes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
@@ -157,33 +159,64 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(n[order], at) if len(at) else n, order, np.cumsum(new) - 1
 
 
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The first two of ``summed``, in less memory."""
+    k = np.concatenate(keys)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    n = np.concatenate(counts)[order]
+    del order
+    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])[: len(k)])
+    return k[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def distinct_keys(keys: list[np.ndarray]) -> np.ndarray:
+    k = np.concatenate(keys)
+    k.sort()
+    return k[np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]]
+
+
 class Tally:
-    """Counts of 64-bit keys of which all are kept; about ``most`` keys at a time are sorted."""
+    """Distinct 64-bit keys, ``counted`` or not; about ``most`` keys at a time are sorted, and sorted ones merged before they are twice as many as the distinct."""
 
-    def __init__(self, most: int = 1 << 21) -> None:
+    def __init__(self, most: int = 1 << 21, counted: bool = True) -> None:
         self.waiting: list[np.ndarray] = []
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.size, self.most = 0, most
+        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.counts: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.size, self.most, self.counted = 0, most, counted
 
     def add(self, keys: np.ndarray) -> None:
         self.waiting.append(keys)
         self.size += len(keys)
         if self.size > self.most:
             self._sort()
+            if sum(map(len, self.keys)) > 2 * max(len(self.keys[0]), self.most // 2):
+                self._merge()
 
     def _sort(self) -> None:
         if self.waiting:
-            k, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            if self.counted:
+                k, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+                self.counts.append(n)
+            else:
+                k = distinct_keys(self.waiting)
             self.keys.append(k)
-            self.counts.append(n)
             self.waiting, self.size = [], 0
 
+    def _merge(self) -> None:
+        if self.counted:
+            k, n = merged(self.keys, self.counts)
+            self.counts = [n]
+        else:
+            k = distinct_keys(self.keys)
+        self.keys = [k]
+
     def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys, ascending, and their counts; none if they are not counted."""
         self._sort()
-        if len(self.keys) == 1:
-            return self.keys[0], self.counts[0]
-        return summed(self.keys, self.counts)[:2]
+        if len(self.keys) > 1:
+            self._merge()
+        return self.keys[0], self.counts[0]
 
 
 def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -339,23 +372,25 @@ def block_rows(block: int, t: pa.RecordBatch, depth: int, parts: int) -> Iterato
 
     held, last = (t.column(c).to_numpy(zero_copy_only=False) for c in ("held_out", "last"))
     ends = int((~held & last).sum())
-    grams, words = [Tally(), Tally()], [Tally(), Tally()]
+    grams, words = [Tally(), Tally(counted=False)], [Tally(), Tally(counted=False)]
     for flag in (False, True):
         some = t.filter(pa.array(held == flag))
         data, offs = text_column(some)
         heads, closes = some.column("head").to_pylist(), some.column("last").to_numpy(zero_copy_only=False)
-        for lo, hi in doc_runs(offs):
+        for lo, hi in doc_runs(offs, RUN):
             part = data[offs[lo] : offs[hi]]
             sym, begin, count, (start, end, _) = symbols(part, offs[lo : hi + 1] - offs[lo], depth, heads[lo:hi], closes[lo:hi])
             grams[flag].add(turned(ngram_codes(sym, begin, count, depth + 1), depth))
             words[flag].add(tb.word_hashes(part, start, end).view(np.int64))
     for kind, tallies in ((GRAMS, grams), (WORDS, words)):
         (known, n), (other, _) = tallies[0].total(), tallies[1].total()
+        tallies.clear()
         if kind == GRAMS:
-            heads, sums, _, _ = summed([straight(known, depth) & ((1 << BITS * HEAD) - 1)], [n])
+            heads, sums = merged([straight(known, depth) & ((1 << BITS * HEAD) - 1)], [n])
             yield rows(HEADS, [(-1, len(heads), 0, packed(heads, True), packed(sums))])
         learnt = int(n.sum())
-        key, n, _, _ = summed([known, other], [n, np.zeros(len(other), n.dtype)])
+        key, n = merged([known, other], [n, np.zeros(len(other), n.dtype)])
+        del known, other
         part = part_of(key, parts, kind, depth)
         order = np.argsort(part, kind="stable")
         key, n = key[order], n[order]
@@ -502,12 +537,12 @@ def score_documents(
             heads, closes = b.column("head").to_pylist(), b.column("last").to_numpy(zero_copy_only=False)
 
             def runs() -> Iterator[tuple]:
-                for lo, hi in doc_runs(offs):
+                for lo, hi in doc_runs(offs, RUN):
                     part = data[offs[lo] : offs[hi]]
                     sym, begin, count, (start, end, first) = symbols(part, offs[lo : hi + 1] - offs[lo], depth, heads[lo:hi], closes[lo:hi])
                     yield lo, hi, count, first, turned(ngram_codes(sym, begin, count, depth + 1), depth), tb.word_hashes(part, start, end).view(np.int64)
 
-            grams, words = Tally(), Tally()
+            grams, words = Tally(counted=False), Tally(counted=False)
             for *_, code, h in runs():
                 grams.add(code)
                 words.add(h)

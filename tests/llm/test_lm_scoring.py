@@ -173,3 +173,22 @@ def test_one_text_of_many_megabytes(spark):
 def test_depths_that_do_not_fit_are_refused(spark, depth):
     with pytest.raises(ValueError, match="4 to 6"):
         lm.score_documents(spark.createDataFrame([], SCHEMA), depth=depth)
+
+
+@pytest.mark.parametrize("counted", [True, False])
+def test_a_tally_holds_little_more_than_its_distinct_keys(counted):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 60_000, 20_000) for _ in range(60)]
+    tracemalloc.start()
+    t = lm.Tally(1 << 15, counted=counted)
+    for x in some:
+        t.add(x)
+    keys, counts = t.total()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, n = np.unique(np.concatenate(some), return_counts=True)
+    assert (keys == want).all() and (not counted or (counts == n).all())
+    assert peak < 150 * len(want)  # bytes; all sorted lots together would take several times that
+    assert not len(lm.Tally(counted=counted).total()[0])
