@@ -1,6 +1,7 @@
 """Folds, series, density clusters and streams on small fixtures."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,26 @@ def test_points_are_sent_once_for_each_lot(spark, monkeypatch):
     for measure in ("cosine", "euclidean"):
         got = density.density_grid(df, "k", "v", [3], [2], "y", measure, 7).collect()
         assert {r.k: r.cluster_id for r in got} == plain_labels(rows, 3, 2, None if measure == "cosine" else 1)
+
+
+def test_tree_grows_from_near_ones_and_open_parts_are_looked_for(spark, monkeypatch):
+    """Tight groups larger than the kept lists have no listed way out; copies are one point of the search and keep their labels."""
+    # the edge at 2.0 is not certain while pairs from 1.0 on may be missing on both its sides
+    rows = [(0.5, 1, 2, 0), (0.5, 3, 4, 0), (2.0, 2, 3, 0)] + [(1.0, k, k, 0) for k in (1, 2, 3, 4)]
+    got = density._grown(pd.DataFrame(rows, columns=["d", "u", "v", "sure"]).assign(s=2, w=-1), False)
+    assert sorted(got[got["sure"] == 1]["d"]) == [0.5, 0.5] and set(got[got["sure"] == 2]["v"]) == {1, 3}
+    closed = pd.DataFrame([r if r[1] != r[2] or r[1] > 2 else (2.0, *r[1:]) for r in rows], columns=["d", "u", "v", "sure"]).assign(s=2, w=-1)
+    assert sorted(density._grown(closed, False)["d"]) == [0.5, 0.5, 2.0]
+
+    rng = np.random.default_rng(12)
+    centres = rng.normal(0, 1, (6, 20))
+    rows = [(i, (centres[i % 6] + rng.normal(0, 0.02 + 0.01 * (i % 6), 20)).tolist(), 1990.0 + i % 6) for i in range(150)]
+    rows += [(1000 + i, rows[i % 5][1], rows[i % 5][2]) for i in range(40)] + [(2000 + i, rows[i][1], None) for i in range(4)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, y double")
+    monkeypatch.setattr(density, "SOUGHT", 40)
+    full = [(k, v, np.nan if t is None else t) for k, v, t in rows]
+    for measure in ("cosine", "euclidean"):
+        got = density.density_grid(df, "k", "v", [2, 5], [None, 1], "y", measure, 16).collect()
+        for s in (2, 5):
+            for w in (None, 1):
+                assert {r.k: r.cluster_id for r in got if r.min_cluster_size == s and r.year_window == w} == plain_labels(full, s, w, None if measure == "cosine" else 1), (measure, s, w)
