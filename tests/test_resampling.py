@@ -149,3 +149,19 @@ def test_a_distance_is_the_same_in_any_block():
         whole = vectors.euclidean(x, y)
         assert np.allclose(whole, np.linalg.norm(x[:, None] - y[None], axis=2), rtol=1e-13)
         assert (whole[3:9, 5:12] == vectors.euclidean(x[3:9], y[5:12])).all() and (whole == vectors.euclidean(y, x).T).all()
+
+
+def test_medians_are_found_wherever_a_few_names_point(spark, monkeypatch):
+    """The first names' pairs only tell where to look: medians out of that range are looked for there, and no number that is none makes it endless."""
+    rng = np.random.default_rng(14)
+    rows = [(i, f"l{i % 3}", [float(v) for v in rng.normal(size=20) + (i % 3) * (i % 2)]) for i in range(120)] + [(200 + i, "l1", [1.0] * 20) for i in range(30)]
+    df = spark.createDataFrame(rows, "k int, label string, v array<double>")
+    want = {measure: neighbours.neighbour_probe(df, "k", "label", "v", measure, 1000).first() for measure in ("cosine", "euclidean")}
+    monkeypatch.setattr(neighbours, "TRIED", 60)
+    monkeypatch.setattr(neighbours, "BINS", 8)
+    for measure in want:
+        assert all(abs(x - y) < 1e-11 for x, y in zip(want[measure], neighbours.neighbour_probe(df, "k", "label", "v", measure, 16).first()))
+    x, labels = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    up = np.triu_indices(len(x), 1)
+    far, same = np.linalg.norm(x[up[0]] - x[up[1]], axis=1), labels[up[0]] == labels[up[1]]
+    assert abs(want["euclidean"]["median_within_act_distance"] - np.median(far[same])) < 1e-9 and abs(want["euclidean"]["median_between_act_distance"] - np.median(far[~same])) < 1e-9
